@@ -22,11 +22,14 @@ def network_lookup(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     inside an equi-join on the prefix. Addresses are distinct first, so a prefix can hold at most
     65,536 of them and no prefix becomes hot. Whether the join is broadcast is left to the measured
     size (auto-broadcast threshold and AQE)."""
-    addr = (addresses.where(F.col("ip_number").isNotNull() & (F.col("address_type") == "public"))
-            .select("clean_ip", "ip_number").distinct().withColumn("prefix", F.shiftright("ip_number", 16)))
+    # non-public rows get an empty slot instead of a filter: a filter over the long address rules would
+    # be copied through every projection below it by the optimizer
+    public = F.when((F.col("address_type") == "public") & F.col("ip_number").isNotNull(), F.array(
+        F.struct(F.col("ip_number").alias("number"), F.shiftright("ip_number", 16).alias("prefix"))))
+    addr = addresses.select("clean_ip", F.explode_outer(public).alias("a")).select("clean_ip", "a.number", "a.prefix").distinct()
     nets = networks.withColumn("prefix", F.explode(F.sequence(F.shiftright(F.col("start_ip").cast("bigint"), 16), F.shiftright(F.col("end_ip").cast("bigint"), 16))))
     size = F.col("end_ip").cast("bigint") - F.col("start_ip").cast("bigint")
-    hit = addr.join(nets, "prefix").where(F.col("ip_number").between(F.col("start_ip").cast("bigint"), F.col("end_ip").cast("bigint")))
+    hit = addr.join(nets, "prefix").where(F.col("number").between(F.col("start_ip").cast("bigint"), F.col("end_ip").cast("bigint")))
     place = (F.col("city") != "Unknown") | (F.col("country") != "Unknown")
     owner = F.col("asn").isNotNull() | (F.col("organization") != "Unknown")
     rank = F.struct(size, F.col("start_ip"))
