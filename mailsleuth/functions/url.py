@@ -234,8 +234,8 @@ def assess(df: DataFrame, col: str = "url") -> DataFrame:
 
 def with_fetch_reason(df: DataFrame, col: str = "url") -> DataFrame:
     """Add ``fetch_reason`` and ``fetch_allowed`` after ``url_parts``: literal checks only, no name lookup.
-    A name that needs a lookup has no reason yet."""
-    df = IP.with_ip_flags(df, F.col("hostname"), "_hf")
+    Numeric host forms count as the address they stand for. A name that needs a lookup has no reason yet."""
+    df = IP.with_ip_flags(df, F.col("evaluated_host"), "_hf")
     host, f = F.col("hostname"), F.col("_hf")
     internal = host.isin(R.BLOCKED_HOSTS) | reduce(lambda a, s: a | host.endswith(s), R.INTERNAL_SUFFIXES, F.lit(False))
     written = F.lower(F.regexp_extract(F.trim(F.col(col)), r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))

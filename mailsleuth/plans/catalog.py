@@ -648,9 +648,15 @@ def f13_query_payloads(v):
 
 
 @query
-def f14_punycode(v):
+def f14_punycode_flag(v):
     hosts = U.url_parts(v.urls.select("url").distinct()).select("hostname").distinct()
-    return hosts.select("hostname", U.is_punycode(F.col("hostname")).alias("is_punycode"), U.unicode_host(F.col("hostname")).alias("decoded"))
+    return hosts.select("hostname", U.is_punycode(F.col("hostname")).alias("is_punycode"))
+
+
+@query
+def f14_punycode_text(v):
+    hosts = U.url_parts(v.urls.select("url").distinct()).select("hostname").distinct()
+    return hosts.select("hostname", U.unicode_host(F.col("hostname")).alias("decoded"))
 
 
 @query
