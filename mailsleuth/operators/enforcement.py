@@ -100,7 +100,7 @@ def fold_attempts(attempts: DataFrame, max_retries: int = R.MAX_RETRIES) -> Data
 def relay_results(outcomes: DataFrame, messages: DataFrame) -> DataFrame:
     """Delivery result of messages ready for relay: their first attempt decides, as it leaves the ready state."""
     ready = messages.where(F.col("final_status") == "READY_FOR_RELAY").select("message_id", "tenant_id")
-    first = outcomes.groupBy("message_id").agg(F.min_by(F.struct("smtp_code", "relay_host"), "attempt_no").alias("a"))
+    first = outcomes.groupBy("message_id").agg(F.min(F.struct("attempt_no", "smtp_code", "relay_host")).alias("a"))
     df = ready.join(first, "message_id")
     ok = F.col("a.smtp_code") == 250
     return df.select("message_id", "tenant_id", F.col("a.relay_host").alias("relay_host"), F.col("a.smtp_code").alias("smtp_code"),

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import bands, dates, files, header as H, ip as IP, rules as R, text as TX, url as U
 from ..operators import analyst, correlation, enforcement, enrichment, indicators, ingest, postdelivery, redirects, routing, scoring, skew, urls
 from ..sources import mail_files, tables
-from .fixtures import Views
+from ..session import new_folder
+from ..streaming import jobs
+from .fixtures import VIEWS, Views
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -513,7 +515,7 @@ def t03_work_batch(v):
 @query
 def t04_severity_ranking(v):
     p = H.header_profile(v.messages)
-    return p.select("message_id", F.posexplode("header_findings").alias("rank", "f")).select("message_id", *big("rank"), F.col("f.finding").alias("finding"), F.col("f.severity").alias("severity"))
+    return p.select("message_id", F.posexplode_outer("header_findings").alias("rank", "f")).where(F.col("f").isNotNull()).select("message_id", *big("rank"), F.col("f.finding").alias("finding"), F.col("f.severity").alias("severity"))
 
 
 @query
@@ -771,8 +773,41 @@ def f32_quarantine_ids(v):
     return quarantined(v).select("message_id", "tenant_id", "quarantine_id")
 
 
+def stream_of(v: Views, view: str, table: str) -> DataFrame:
+    """A view over the stream of the files of its base table."""
+    schema = v.base(table).schema
+    landed = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{v.sf_dir}/{table}.parquet*")
+    return v.spark.sql(VIEWS[view], **{table: landed})
+
+
 # ---- state and flow ------------------------------------------------------------------------
 
+@query
+def st1_ingest_stream(v):
+    """The attempts are landed files; every repeat of a message id is ignored."""
+    spark = v.spark
+    out = new_folder(spark, "ingest")
+    landed = stream_of(v, "attempts", "events").withColumn("received_at", F.col("attempted_at").cast("timestamp"))
+    jobs.drain(jobs.new_jobs(landed), f"{out}/jobs", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/jobs").select("message_id", "status")
+
+
+@query
+def st2_scoring_stream(v):
+    """Micro-batches of landed messages through the same scoring job as the batch side."""
+    out = new_folder(v.spark, "scoring")
+    jobs.run_scoring_stream(stream_of(v, "messages", "documents"), f"{out}/scores", f"{out}/checkpoint").awaitTermination()
+    return v.spark.read.parquet(f"{out}/scores").select("message_id", *big("risk_score"), "severity", "decision", "final_status")
+
+
+@query
+def st3_retry_stream(v):
+    out = new_folder(v.spark, "retries")
+    jobs.drain(jobs.retry_states(stream_of(v, "attempts", "events")), f"{out}/states", f"{out}/checkpoint", "update")
+    states = v.spark.read.parquet(f"{out}/states")
+    return skew.latest(states, ["message_id"], F.col("batch_id")).select("message_id", "retry_count", "status", "error_message")
+
+
 @query
 def st3_retry_fold(v):
     return enforcement.fold_attempts(v.attempts)

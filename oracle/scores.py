@@ -64,6 +64,7 @@ GATE = [*GP, *GURL, ATT, f"""g0 AS (SELECT pz.*, cast(coalesce(url_pts, 0) AS bi
   CASE WHEN risk_score <= 29 THEN 'ALLOW' WHEN risk_score <= 64 THEN 'REVIEW' WHEN risk_score <= 95 THEN 'QUARANTINE' ELSE 'REJECT' END AS decision FROM g1)"""]
 S["a14_gateway_score"] = stmt(*GATE, final="SELECT message_id, header_penalty, auth_penalty, sender_penalty, content_penalty, url_penalty, attachment_penalty, risk_score, severity, recommendation, decision, len(fl) AS findings, array_to_string(fl[:3], '|') AS top_findings FROM g")
 _BOX = "bx AS (SELECT 'user' || cast(doc_id % 7 AS varchar) || '@corp.example.com' AS user_email, message_id, risk_score, severity, CASE WHEN risk_score >= 65 THEN 'TRASHED' ELSE 'ALLOWED' END AS action_taken, CASE WHEN risk_score >= 65 THEN 'POST_DELIVERY_QUARANTINED' END AS audit_action FROM g)"
+S["st2_scoring_stream"] = stmt(*GATE, final="SELECT message_id, risk_score, severity, decision, CASE decision WHEN 'ALLOW' THEN 'READY_FOR_RELAY' WHEN 'REVIEW' THEN 'REVIEW' WHEN 'QUARANTINE' THEN 'QUARANTINED' ELSE 'REJECTED' END AS final_status FROM g")
 S["c06_mailbox_rescan"] = stmt(*GATE, _BOX, final="SELECT * FROM bx")
 S["a19_rescan_totals"] = stmt(*GATE, _BOX, final="SELECT user_email, count(*) AS total_scanned, count(*) FILTER (action_taken = 'TRASHED') AS total_remediated FROM bx GROUP BY ROLLUP (user_email)")
 
