@@ -219,6 +219,16 @@ def view_sql(name: str) -> str:
     return VIEWS[name].format(**{t: t for t in BASE_TABLES})
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy text work all cores when the input is one small file; a scan that already has as
+    many partitions as the cluster has cores, as any large input does, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Views:
     """Spark side of the views; a view is read lazily and only its base tables are opened."""
 
@@ -226,7 +236,8 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def base(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return spread(df) if table in TEXT_TABLES else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
