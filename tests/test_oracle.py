@@ -6,11 +6,12 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from mailsleuth.plans.catalog import all_queries
 from mailsleuth.plans.fixtures import BASE_TABLES
+from oracle import oracle_sql
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-ORACLE, QUERIES = oracle_sql(), queries()
+ORACLE, QUERIES = oracle_sql(), all_queries()
 
 
 @pytest.fixture(scope="module")
