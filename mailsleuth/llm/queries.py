@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import source_mix, url_filter, warc_archive
+from . import language_id, quality, source_mix, url_filter, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out():
+    return F.coalesce(language_id.remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    """Language of every document, by prototypes learnt from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    languages, prototypes = language_id.learn(docs)
+    return language_id.predict(docs.select("doc_id", "text"), languages, prototypes).select("doc_id", held_out(), "lang_pred", "score")
+
+
 @query
 def op6_url_filter(spark, sf_dir):
     """Rule, verdict and host of every page; the list is made of the pages' own spam hosts."""
@@ -44,3 +56,11 @@ def op9_warc_archive(spark, sf_dir):
     number = lambda c: F.col(c).cast("long").alias(c)
     return records.select(F.col("record_of").cast("long").alias("page_id"), F.col("length").alias("payload_bytes"),
                           F.col("read_sha1").alias("payload_digest"), "record_type", number("refers_to"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Quality score of every document, by weights learnt from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

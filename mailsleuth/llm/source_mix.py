@@ -79,7 +79,8 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = W
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     dealt = (rows.join(sources.select("skey", "source_size", "docs", "target"), "skey")
              .withColumn("shard", digest_number(F.lit(seed), F.lit("shard"), ident) % F.ceil(F.col("docs") / shard_docs))
-             .withColumn("turn", F.md5(F.concat_ws(":", F.lit(seed), F.lit("turn"), ident))))
+             .withColumn("turn", F.md5(F.concat_ws(":", F.lit(seed), F.lit("turn"), ident)))
+             .repartition("skey", "shard"))  # else the rows stay as the join on skey dealt them
     shards = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     shards = (shards.withColumn("blocks", F.ceil(F.col("words") / block_tokens))
               .withColumns({"votes": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0), "most": F.col("blocks") * repeat})
