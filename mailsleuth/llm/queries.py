@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import language_id, quality, source_mix, url_filter, warc_archive
+from . import language_id, lz_fingerprint, quality, source_mix, url_filter, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_lz_fingerprint(spark, sf_dir):
+    """Phrase fingerprint of every document, and its likeness to an edited form and to the next document."""
+    return lz_fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def held_out():
     return F.coalesce(language_id.remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
 

@@ -46,15 +46,19 @@ class WordHasher:
         self.table = word_bytes() if table is None else table
         self.up = self.down = np.ones(0, np.uint64)
 
+    def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end."""
+        is_word = data != 0
+        edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
+        return edge[0::2], edge[1::2]
+
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every word, and for each text the place of its first word (one more entry at the end)."""
         joined = np.frombuffer(b"\x00" + b"\x00".join(texts) + b"\x00", np.uint8)
         data = self.table[joined]
         if len(self.up) < len(data):
             self.up, self.down = powers(_BASE, len(data)), powers(pow(_BASE, -1, 1 << 64), len(data))
-        is_word = data != 0
-        edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
-        start, end = edge[0::2], edge[1::2]
+        start, end = self.edges(data)
         total = np.cumsum(data * self.up[:len(data)], dtype=np.uint64)
         hashes = mix((total[end - 1] - total[start - 1]) * self.down[start] + (end - start).astype(np.uint64))
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
