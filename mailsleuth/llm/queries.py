@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import language_id, lz_fingerprint, quality, source_mix, url_filter, warc_archive
+from . import decontaminate, language_id, lz_fingerprint, quality, source_mix, url_filter, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +27,13 @@ def op3_lz_fingerprint(spark, sf_dir):
     return lz_fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_decontaminate(spark, sf_dir):
+    """Words of every document that stand in windows of benchmark items, and those items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULTS)
+
+
 def held_out():
     return F.coalesce(language_id.remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
 

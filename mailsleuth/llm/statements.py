@@ -72,4 +72,19 @@ SELECT p.page_id, CAST(octet_length(encode(p.body)) AS BIGINT) AS payload_bytes,
 FROM p JOIN f ON p.body = f.body
 """
 
-STATEMENTS = {"op6_url_filter": URL_FILTER, "op8_source_mix": MIX.format(documents="documents"), "op9_warc_archive": WARC}
+LEAKS = f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {WORDS.format(c="coalesce(text, '')")} AS w FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS win
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format(c="coalesce(text, '')")} AS w FROM {{documents}}),
+g AS (SELECT r, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS win
+      FROM (SELECT d.r, d.w, s.size, unnest(range(1, greatest(len(d.w) - s.size, -1) + 2)) AS i FROM d, (SELECT DISTINCT size FROM w) s)),
+h AS (SELECT g.r, g.i, g.size, w.item_id FROM g JOIN w ON g.size = w.size AND g.win = w.win),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN t ON d.r = t.r
+"""
+
+STATEMENTS = {"op4_decontaminate": LEAKS.format(documents="documents"), "op6_url_filter": URL_FILTER, "op8_source_mix": MIX.format(documents="documents"), "op9_warc_archive": WARC}
