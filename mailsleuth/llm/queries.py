@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontaminate, language_id, lz_fingerprint, quality, source_mix, url_filter, warc_archive
+from . import decontaminate, language_id, license_scan, lz_fingerprint, quality, source_mix, url_filter, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,6 +54,13 @@ def op6_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op7_license_scan(spark, sf_dir):
+    """License phrases and matching license templates of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).select("doc_id", *license_scan.RESULTS)
+
+
 @query
 def op8_source_mix(spark, sf_dir):
     """Words that a mix of 150 % of all words takes from every document."""

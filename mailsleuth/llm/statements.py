@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import TEMPLATES
+
 LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 HOST = LOWER.format(c=r"regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")
@@ -87,4 +89,23 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN t ON d.r = t.r
 """
 
-STATEMENTS = {"op4_decontaminate": LEAKS.format(documents="documents"), "op6_url_filter": URL_FILTER, "op8_source_mix": MIX.format(documents="documents"), "op9_warc_archive": WARC}
+_TEMPLATES = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in TEMPLATES)
+LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, {WORDS.format(c="coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+b AS (SELECT r, i - 1 AS i, CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl'
+        WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label FROM p),
+base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi FROM b WHERE label IS NOT NULL GROUP BY r),
+t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(label, words)),
+l AS (SELECT r, {WORDS.format(c="line")} AS w FROM (SELECT r, unnest(lines) AS line FROM d)),
+m AS (SELECT l.r, t.label, CAST(len(list_distinct(list_intersect(t.words, l.w))) AS DOUBLE) / len(t.words) AS score FROM l, t),
+k AS (SELECT r, label, max(score) AS score FROM m WHERE score >= 0.8 GROUP BY r, label),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT r, label FROM b WHERE label IS NOT NULL) GROUP BY r),
+al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b WHERE label IS NOT NULL UNION SELECT r, label FROM k) GROUP BY r),
+s AS (SELECT r, max(score) AS score FROM k GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, base.lo AS first_word, base.hi AS last_word,
+  coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, coalesce(s.score, 0.0) AS score
+FROM d LEFT JOIN base ON d.r = base.r LEFT JOIN bl ON d.r = bl.r LEFT JOIN al ON d.r = al.r LEFT JOIN s ON d.r = s.r
+"""
+
+STATEMENTS = {"op7_license_scan": LICENSES, "op4_decontaminate": LEAKS.format(documents="documents"), "op6_url_filter": URL_FILTER, "op8_source_mix": MIX.format(documents="documents"), "op9_warc_archive": WARC}
