@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontaminate, language_id, license_scan, lz_fingerprint, quality, source_mix, url_filter, warc_archive
+from . import decontaminate, language_id, license_scan, lz_fingerprint, quality, secret_scan, source_mix, url_filter, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_secret_scan(spark, sf_dir):
+    """Every candidate of every document with the forest's score; values as digests."""
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "nth", F.col("start").cast("long").alias("start"), "length", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "secret")
+
+
 @query
 def op3_lz_fingerprint(spark, sf_dir):
     """Phrase fingerprint of every document, and its likeness to an edited form and to the next document."""
