@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontaminate, language_id, license_scan, lz_fingerprint, quality, secret_scan, source_mix, url_filter, warc_archive
+from . import decontaminate, language_id, license_scan, lz_fingerprint, ngram_join, quality, secret_scan, source_mix, url_filter, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_ngram_join(spark, sf_dir):
+    """Class of near duplicates and number of links of every document."""
+    return ngram_join.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 @query
 def op2_secret_scan(spark, sf_dir):
     """Every candidate of every document with the forest's score; values as digests."""
