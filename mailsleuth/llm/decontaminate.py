@@ -100,3 +100,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
     none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     both = both.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
     return both.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, width: int = WIDTH) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item. Only texts that a Bloom filter of the hit texts lets
+    through are joined; all others pass as they are."""
+    shingles = stored(window_shingles(item_windows(items, window), width), "item-shingles")
+    places = possible_places(docs.select(text), shingles, text, window)
+    hit = stored(occurrences(places, shingles).select("_key").distinct(), "contaminated-texts")
+    bloom = Bloom(hit.select(F.xxhash64("_key").alias("h")), "h")
+    rows = docs.withColumn("_key", content_key(F.col(text))).withColumn("_hit", bloom.may_hold(F.xxhash64("_key")))
+    kept = rows.where("_hit").join(hit, "_key", "left_anti")
+    return rows.where("not _hit").select(*docs.columns).unionByName(kept.select(*docs.columns))

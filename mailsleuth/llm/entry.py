@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_pipeline import ORACLE_SQL, run
+
 from .queries import QUERIES
 from .statements import STATEMENTS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(STATEMENTS)
+    return {**STATEMENTS, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
