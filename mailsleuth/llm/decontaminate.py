@@ -96,7 +96,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
     covered = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")), lambda a, x: F.struct(
         (a["n"] + F.greatest(x["stop"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["stop"]).alias("upto")))
     found = per_text.select("_key", covered["n"].alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
-    both = places.where(F.col("s").isNull()).drop("pos", "s", "from", "words").join(found, "_key", "left")
+    # both sides of the join are plain scans, so that Spark can split the rows of a text with many copies
+    both = places.where(F.col("s").isNull()).drop("pos", "s", "from", "words").join(stored(found, "contaminated-spans"), "_key", "left")
     none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     both = both.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
     return both.withColumn("contaminated", F.col("n_hit") > 0)

@@ -103,7 +103,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     rows = scan_blocks(docs.drop(*RESULTS), text, templates, phrases, threshold)
     matched = template_matches(rows, template_table(docs.sparkSession, templates, threshold))
     per_text = matched.groupBy("_key").agg(F.collect_set("label").alias("_found"), F.max("score").alias("score"))
-    out = rows.drop("_held", "_blocks").join(per_text, "_key", "left")
+    # both sides of the join are plain scans, so that Spark can split the rows of a text with many copies
+    out = rows.drop("_held", "_blocks").join(stored(per_text, "license-labels"), "_key", "left")
     every = F.concat(*[F.col(f"_p{i}") for i in range(len(phrases))])
     base = F.array_compact(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))
     text_of = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
