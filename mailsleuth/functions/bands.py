@@ -69,7 +69,7 @@ def decision(score: Column, bands=R.POLICY_BANDS) -> Column:
 
 def decision_reason(score: Column, findings: Column, bands=R.POLICY_BANDS) -> Column:
     s, out = clamp(score), None
-    named = F.array_join(F.slice(findings, 1, 3), "; ")
+    named = F.array_join(findings, "; ")
     summary = F.when(F.size(findings) > 0, named).otherwise("Deterministic risk score evaluation")
     for name, lo, hi in validate_policy(bands):
         head = F.concat(F.lit("Risk score "), s.cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from ..session import stored
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R
 from .analyst import list_of
-from ..session import shared_folder
-from .skew import attach_unique
+from ..session import stored
+from .components import components
 
 
 def _domain(sender: Column) -> Column:
@@ -15,10 +15,10 @@ def _domain(sender: Column) -> Column:
     return F.when(F.contains(t, F.lit("@")), F.substring_index(t, "@", -1)).otherwise(t)
 
 
-def _mentions(scans: DataFrame, url_cap: int | None) -> DataFrame:
-    """(scan, node) rows of all four node kinds from one scan of the table."""
+def _mentions(scans: DataFrame, url_cap: int | None, *carried: str) -> DataFrame:
+    """(scan, node) rows of all four node kinds from one scan of the table, with ``carried`` columns."""
     d = _domain(F.col("sender"))
-    label = F.when(F.length("subject") > 25, F.concat(F.substring("subject", 1, 25), F.lit("..."))).when(
+    label = F.when(
         F.coalesce("subject", F.lit("")) == "", F.concat(F.lit("Email #"), F.col("scan_id").cast("string"))).otherwise(F.col("subject"))
     node = lambda kind, node_id, text, risk, edge: F.struct(F.lit(kind).alias("node_group"), node_id.alias("node_id"), text.alias("label"), risk.alias("risk"), F.lit(edge).alias("edge"))
     host = lambda u: F.substring_index(F.replace(F.replace(u, F.lit("http://"), F.lit("")), F.lit("https://"), F.lit("")), "/", 1)
@@ -28,11 +28,11 @@ def _mentions(scans: DataFrame, url_cap: int | None) -> DataFrame:
         F.array(node("email", F.concat(F.lit("email_"), F.col("scan_id").cast("string")), label, F.col("verdict"), None)),
         F.when(F.coalesce("sender", F.lit("")) != "", F.array(node("domain", F.concat(F.lit("domain_"), F.lower(d)), d, sender_risk, "SENT_BY"))).otherwise(F.array()),
         F.when(F.coalesce("receiver", F.lit("")) != "", F.array(node("recipient", F.concat(F.lit("recip_"), F.lower("receiver")), F.col("receiver"), F.lit("Safe"), "TARGETS"))).otherwise(F.array()),
-        F.transform(list_of("urls_text") if url_cap is None else F.slice(list_of("urls_text"), 1, url_cap), lambda u: node("url", F.concat(F.lit("url_"), F.lower(host(u))), F.substring(host(u), 1, 20), url_risk, "CONTAINS_LINK")))
-    return scans.select("scan_id", "scan_time", F.posexplode(nodes).alias("pos", "n")).select("scan_id", "scan_time", "pos", "n.*")
+        F.transform(list_of("urls_text") if url_cap is None else F.slice(list_of("urls_text"), 1, url_cap), lambda u: node("url", F.concat(F.lit("url_"), F.lower(host(u))), host(u), url_risk, "CONTAINS_LINK")))
+    return scans.select("scan_id", "scan_time", *carried, F.posexplode(nodes).alias("pos", "n")).select("scan_id", "scan_time", *carried, "pos", "n.*")
 
 
-def graph_nodes(scans: DataFrame, url_cap: int = 3) -> DataFrame:
+def graph_nodes(scans: DataFrame, url_cap: int | None = None) -> DataFrame:
     """Distinct nodes; attributes come from the newest scan that mentions the node. A hub that every
     scan mentions is combined on the map side (max_by), never sorted as one group."""
     m = _mentions(scans, url_cap)
@@ -40,7 +40,7 @@ def graph_nodes(scans: DataFrame, url_cap: int = 3) -> DataFrame:
     return m.groupBy("node_id").agg(best.alias("a"), F.count_distinct("scan_id").alias("emails")).select("node_id", "a.*", "emails")
 
 
-def graph_edges(scans: DataFrame, url_cap: int = 3) -> DataFrame:
+def graph_edges(scans: DataFrame, url_cap: int | None = None) -> DataFrame:
     m = _mentions(scans, url_cap).where(F.col("edge").isNotNull())
     return m.select(F.concat(F.lit("email_"), F.col("scan_id").cast("string")).alias("src"), F.col("node_id").alias("dst"), F.col("edge").alias("label")).distinct()
 
@@ -50,7 +50,7 @@ def newest_scans(scans: DataFrame, n: int | None) -> DataFrame:
     return scans if n is None else scans.orderBy(F.col("scan_time").desc(), F.col("scan_id").desc()).limit(n)
 
 
-def capped_graph(scans: DataFrame, max_scans: int | None = 50, max_nodes: int | None = 200) -> tuple[DataFrame, DataFrame]:
+def capped_graph(scans: DataFrame, max_scans: int | None = None, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the page; edges to nodes that were cut are dropped with them."""
     picked = newest_scans(scans, max_scans)
     nodes, edges = graph_nodes(picked), graph_edges(picked)
@@ -67,35 +67,24 @@ def graph_summary(scans: DataFrame) -> DataFrame:
     return nodes.select("total_emails", "total_nodes", edges.scalar().alias("total_edges"), "high_risk_nodes")
 
 
-def campaigns(scans: DataFrame, url_cap: int = 3) -> DataFrame:
+def campaigns(scans: DataFrame, url_cap: int | None = None) -> DataFrame:
     """Nodes that connect more than one mail, with the mails' numbers and risk."""
-    m = _mentions(scans, url_cap).where(F.col("edge").isNotNull()).join(scans.select("scan_id", "risk_score", "verdict"), "scan_id")
+    m = _mentions(scans, url_cap, "risk_score", "verdict").where(F.col("edge").isNotNull())
     g = m.groupBy("node_id", "node_group").agg(
         F.count_distinct("scan_id").alias("emails"), F.max("risk_score").alias("max_risk"), F.count_if(F.col("verdict") == "High Risk").alias("high_risk_mentions"),
         F.min("scan_time").alias("first_seen"), F.max("scan_time").alias("last_seen"))
     return g.where(F.col("emails") > 1)
 
 
-def campaign_components(scans: DataFrame, kinds: tuple[str, ...] = ("domain", "url"), max_rounds: int = 30) -> DataFrame:
+def campaign_components(scans: DataFrame, kinds: tuple[str, ...] = ("domain", "url")) -> DataFrame:
     """Connected groups of mails over shared nodes: (scan_id, component), component = smallest scan id.
 
-    Alternating minimum: a node takes the smallest label of its mails, a mail the smallest of its
-    nodes. A hub node is one row of the label table; handing its label back to its many mails goes
-    through the hot-key safe join. Each round's labels are written through a checkpoint, so a lost
-    executor costs one round, and the loop ends when a round changes nothing.
-    Raises when the rounds do not suffice, so a partial grouping is never returned."""
-    shared_folder(scans.sparkSession)
-    edges = _mentions(scans, None).where(F.col("node_group").isin(*kinds)).select("scan_id", "node_id").distinct().checkpoint()
-    labels = scans.select("scan_id", F.col("scan_id").alias("component"))
-    for rnd in range(max_rounds):
-        nodes = edges.join(labels, "scan_id").groupBy("node_id").agg(F.min("component").alias("node_label"))
-        offered = attach_unique(edges, nodes, ["node_id"]).groupBy("scan_id").agg(F.min("node_label").alias("offer"))
-        new = labels.join(offered, "scan_id", "left").select("scan_id", F.least("component", F.coalesce("offer", F.col("component"))).alias("component"), F.col("component").alias("_old"))
-        new = new.checkpoint()
-        if new.where(F.col("component") != F.col("_old")).isEmpty():
-            return new.drop("_old")
-        labels = new.drop("_old")
-    raise RuntimeError(f"campaign grouping not finished after {max_rounds} rounds; raise max_rounds")
+    A node's mails are tied to the smallest of them, one edge per mention, however many mails share the node;
+    the components of that graph take a logarithmic number of rounds, each written to the shared folder."""
+    m = stored(_mentions(scans, None).where(F.col("node_group").isin(*kinds)).select("scan_id", "node_id").distinct(), "mentions")
+    least = stored(m.groupBy("node_id").agg(F.min("scan_id").alias("low")), "mention-roots")
+    roots = components(m.join(least, "node_id").select(F.col("scan_id").alias("a"), F.col("low").alias("b")), "campaigns")
+    return scans.select("scan_id").distinct().join(roots.withColumnRenamed("v", "scan_id"), "scan_id", "left").select("scan_id", F.coalesce("root", "scan_id").alias("component"))
 
 
 # ---- response ------------------------------------------------------------------------------
@@ -123,15 +112,16 @@ def playbooks(scans: DataFrame) -> DataFrame:
     return df.select("scan_id", "playbook_ids", F.array_distinct(F.flatten(F.transform("playbook_ids", lambda i: texts[i]))).alias("actions"))
 
 
-def scan_blocklist(scans: DataFrame, n: int = 10) -> DataFrame:
-    """Per scan: up to n indicator domains without the sender's own, addresses and URLs; sorted, so the
-    same scan always gives the same list."""
+def scan_blocklist(scans: DataFrame, n: int | None = None) -> DataFrame:
+    """Per scan: indicator domains without the sender's own, addresses and URLs (None: all, else n of each); sorted,
+    so the same scan always gives the same list."""
+    cut = lambda c: c if n is None else F.slice(c, 1, n)
     iocs = list_of("iocs_text")
     is_ip = lambda v: v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     own = F.lower(_domain(F.col("sender")))
     domains = F.array_sort(F.array_except(F.filter(iocs, lambda v: ~is_ip(v)), F.array(own)))
-    return scans.select("scan_id", F.slice(domains, 1, n).alias("domains"), F.slice(F.array_sort(F.array_distinct(F.filter(iocs, is_ip))), 1, n).alias("ips"),
-                        F.slice(list_of("urls_text"), 1, n).alias("urls"))
+    return scans.select("scan_id", cut(domains).alias("domains"), cut(F.array_sort(F.array_distinct(F.filter(iocs, is_ip)))).alias("ips"),
+                        cut(list_of("urls_text")).alias("urls"))
 
 
 def fleet_blocklist(scans: DataFrame, min_score: int = 50) -> DataFrame:
@@ -144,7 +134,7 @@ def fleet_blocklist(scans: DataFrame, min_score: int = 50) -> DataFrame:
 
 def _rule_name(text: Column, prefix: str) -> Column:
     clean = F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9_]", "_"), "^_+|_+$", "")
-    return F.concat(F.lit(prefix), F.when(clean == "", "phishing_email_detection").otherwise(F.substring(clean, 1, 40)))
+    return F.concat(F.lit(prefix), F.when(clean == "", "phishing_email_detection").otherwise(clean))
 
 
 def detection_rules(scans: DataFrame, product: str = "mailsleuth", prefix: str = "MailSleuth_Phish_") -> DataFrame:
@@ -152,17 +142,17 @@ def detection_rules(scans: DataFrame, product: str = "mailsleuth", prefix: str =
     esc = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     subject = F.when(F.coalesce("subject", F.lit("")) == "", "Phishing Email Indicator").otherwise(F.trim("subject"))
     sender = F.trim(F.coalesce("sender", F.lit("")))
-    finds = F.filter(F.transform(F.slice(list_of("findings_text"), 1, 3), lambda f: F.trim(F.substring(F.regexp_replace(f, r"[^a-zA-Z0-9\s]", ""), 1, 40))), lambda f: f != "")
+    finds = F.filter(F.transform(list_of("findings_text"), lambda f: F.trim(F.regexp_replace(f, r"[^a-zA-Z0-9\s]", ""))), lambda f: f != "")
     kinds = F.concat(F.array(F.struct(F.lit("subj").alias("k"), subject.alias("v"))),
                      F.when(sender != "", F.array(F.struct(F.lit("from").alias("k"), sender.alias("v")))).otherwise(F.array()),
-                     F.transform(F.slice(list_of("urls_text"), 1, 5), lambda u: F.struct(F.lit("url").alias("k"), u.alias("v"))),
+                     F.transform(list_of("urls_text"), lambda u: F.struct(F.lit("url").alias("k"), u.alias("v"))),
                      F.transform(finds, lambda f: F.struct(F.lit("finding").alias("k"), f.alias("v"))))
     strings = F.array_join(F.transform(kinds, lambda s, i: F.concat(F.lit("        $"), s["k"], F.lit("_"), (i + 1).cast("string"), F.lit(' = "'), esc(s["v"]), F.lit('" nocase'))), "\n")
     name, score = _rule_name(subject, prefix), F.col("risk_score").cast("string")
     yara = F.concat(F.lit("rule "), name, F.lit(" {\n    meta:\n        description = \"Detection rule derived from a scanned e-mail\"\n        author = \""), F.lit(product),
                     F.lit("\"\n        severity = \""), F.col("verdict"), F.lit("\"\n        score = "), score, F.lit("\n\n    strings:\n"), strings, F.lit("\n\n    condition:\n        any of them\n}\n"))
     quote = lambda c: F.replace(c, F.lit('"'), F.lit(""))
-    sigma = F.concat(F.lit("title: Phishing Email Indicator - "), F.substring(F.regexp_replace(subject, r"[^a-zA-Z0-9\s_-]", ""), 1, 60), F.lit("\nid: "), F.substring(F.sha2(subject, 256), 1, 32),
+    sigma = F.concat(F.lit("title: Phishing Email Indicator - "), F.regexp_replace(subject, r"[^a-zA-Z0-9\s_-]", ""), F.lit("\nid: "), F.substring(F.sha2(subject, 256), 1, 32),
                      F.lit("\nstatus: experimental\nauthor: "), F.lit(product), F.lit("\ntags:\n    - attack.initial_access\n    - attack.t1566.001\nlogsource:\n    category: email\n    product: m365\ndetection:\n"
                      "    selection_subject:\n        EmailSubject|contains: \""), quote(subject), F.lit("\"\n    selection_sender:\n        SenderAddress|contains: \""), quote(sender),
                      F.lit("\"\n    condition: selection_subject or selection_sender\nlevel: "), F.when(F.col("risk_score") >= 50, "high").otherwise("medium"), F.lit("\n"))

@@ -11,7 +11,7 @@ from .skew import latest
 def decide(messages: DataFrame) -> DataFrame:
     """Decision, reason and final status of messages that are not in an end state yet. A message whose
     evaluation failed goes to REVIEW. Needs risk_score, findings array, status, evaluation_error."""
-    df = messages.where(~F.col("status").isin(R.END_STATES))
+    df = messages.where(~F.coalesce("status", F.lit("")).isin(R.END_STATES))
     err = F.col("evaluation_error")
     return df.withColumns({
         "decision": F.when(err.isNotNull(), "REVIEW").otherwise(bands.decision(F.col("risk_score"))),
@@ -41,15 +41,18 @@ def audit_rows(decided: DataFrame) -> DataFrame:
 def release_results(requests: DataFrame, quarantine: DataFrame, messages: DataFrame) -> DataFrame:
     """Result of every release request: found, same tenant, first release of the record, message exists.
 
-    "Already released" is decided by the smallest valid request per record, an aggregation, not by a
-    window over a record's requests. Needs request_id, message_id, tenant_id, requested_by."""
-    q = quarantine.select("message_id", F.col("tenant_id").alias("owner"), "quarantine_id", F.col("status").alias("q_status"))
-    m = messages.select("message_id", F.lit(True).alias("has_message"))
-    df = requests.join(q, "message_id", "left").join(m, "message_id", "left")
-    valid = F.col("quarantine_id").isNotNull() & (F.col("owner") == F.col("tenant_id")) & (F.col("q_status") != "RELEASED") & F.col("has_message")
-    winners = df.where(valid).groupBy("message_id").agg(F.min("request_id").alias("winner"))
-    df = df.join(winners, "message_id", "left")
-    code = (F.when(F.col("quarantine_id").isNull(), "NOT_FOUND").when(F.col("owner") != F.col("tenant_id"), "CROSS_TENANT")
+    A request means the record of its own tenant; only where that tenant has none, the message's first other
+    record answers it. "Already released" is decided by the smallest valid request per record, an
+    aggregation, not by a window over a record's requests. Needs request_id, message_id, tenant_id, requested_by."""
+    own = quarantine.groupBy("message_id", "tenant_id").agg(F.min("quarantine_id").alias("own_id"), F.max_by("status", "quarantine_id").alias("q_status"))
+    other = quarantine.groupBy("message_id").agg(F.min("quarantine_id").alias("other_id"))
+    m = messages.select("message_id").distinct().withColumn("has_message", F.lit(True))
+    df = requests.join(own, ["message_id", "tenant_id"], "left").join(other, "message_id", "left").join(m, "message_id", "left")
+    df = df.withColumn("quarantine_id", F.coalesce("own_id", "other_id"))
+    valid = F.col("own_id").isNotNull() & (F.col("q_status") != "RELEASED") & F.col("has_message")
+    winners = df.where(valid).groupBy("own_id").agg(F.min("request_id").alias("winner"))
+    df = df.join(winners, "own_id", "left")
+    code = (F.when(F.col("quarantine_id").isNull(), "NOT_FOUND").when(F.col("own_id").isNull(), "CROSS_TENANT")
             .when((F.col("q_status") == "RELEASED") | (F.col("winner") < F.col("request_id")), "ALREADY_RELEASED")
             .when(F.col("has_message").isNull(), "MESSAGE_MISSING").otherwise("RELEASED"))
     return df.select("request_id", "message_id", "tenant_id", "requested_by", "quarantine_id", code.alias("result"))
@@ -61,10 +64,10 @@ def flow_states(messages: DataFrame, requests: DataFrame, quarantine: DataFrame)
     RELEASE needs a quarantined record of the own tenant, RELEASE_REVIEW a message in REVIEW, REJECT is
     always taken. Between rejects the state can only rise to READY_FOR_RELAY, so the outcome follows
     from the last accepted reject and the first valid release, which are aggregates."""
-    q = quarantine.select("message_id", F.col("tenant_id").alias("owner"))
+    q = quarantine.select("message_id", "tenant_id").distinct().withColumn("held", F.lit(True))
     m = messages.select("message_id", F.col("final_status").alias("start"))
-    df = requests.join(m, "message_id").join(q, "message_id", "left")
-    own = (F.col("action") == "RELEASE") & (F.col("owner") == F.col("tenant_id"))
+    df = requests.join(m, "message_id").join(q, ["message_id", "tenant_id"], "left")
+    own = (F.col("action") == "RELEASE") & F.coalesce("held", F.lit(False))
     review = (F.col("action") == "RELEASE_REVIEW") & (F.col("start") == "REVIEW")
     reject = F.col("action") == "REJECT"
     at = lambda c: F.when(c, F.col("request_id"))
@@ -85,13 +88,33 @@ def propagate_status(jobs: DataFrame, messages: DataFrame) -> DataFrame:
 def fold_attempts(attempts: DataFrame, max_retries: int = R.MAX_RETRIES) -> DataFrame:
     """Queue state after all attempts (batch form of the streaming state machine).
 
-    ``attempt_no`` counts a job's attempts from 1 without gaps. The first success ends a job; the
-    third failure before it fails the job for good; later attempts are ignored."""
-    first_ok = F.min(F.when(F.col("outcome") == "ok", F.col("attempt_no")))
-    f = attempts.groupBy("message_id").agg(first_ok.alias("ok_at"), F.max("attempt_no").alias("n"),
-                                           F.max_by("error_text", F.when((F.col("outcome") == "failed") & (F.col("attempt_no") <= max_retries), F.col("attempt_no"))).alias("last_error"))
-    failed = F.coalesce(F.col("ok_at") - 1, F.col("n"))
-    f = f.withColumn("retry_count", F.least(F.lit(max_retries), failed).cast("bigint"))
+    Attempts are ordered by ``attempt_no``, which may have gaps and repeats. The first success ends a
+    job; the third failure before it fails the job for good; later attempts are ignored."""
+    return attempt_states(attempt_facts(attempts, max_retries), max_retries)
+
+
+def attempt_facts(attempts: DataFrame, max_retries: int = R.MAX_RETRIES) -> DataFrame:
+    """What counts of a job's attempts: the first success and the first ``max_retries`` failures. Facts of two sets
+    of attempts merge into the facts of both, so they can be kept per batch."""
+    at = F.col("attempt_no").cast("bigint")
+    failed = F.collect_set(F.when(F.col("outcome") == "failed", F.struct(at.alias("n"), F.col("error_text").alias("text"))))
+    f = attempts.groupBy("message_id").agg(F.min(F.when(F.col("outcome") == "ok", at)).alias("ok_at"), failed.alias("failures"))
+    return f.withColumn("failures", _first_failures(F.col("failures"), max_retries))
+
+
+def _first_failures(failures: Column, n: int) -> Column:
+    """The first failure of each of the first n attempt numbers."""
+    each = F.aggregate(F.array_sort(failures), F.slice(failures, 1, 0), lambda a, f: F.when(
+        (F.size(a) > 0) & (F.element_at(a, -1)["n"] == f["n"]), a).otherwise(F.concat(a, F.array(f))))
+    return F.slice(each, 1, n)
+
+
+def attempt_states(facts: DataFrame, max_retries: int = R.MAX_RETRIES) -> DataFrame:
+    """Job states from facts (message_id, ok_at, failures), of one or of many batches."""
+    f = facts.groupBy("message_id").agg(F.min("ok_at").alias("ok_at"), F.flatten(F.collect_list("failures")).alias("failures"))
+    before = F.filter("failures", lambda x: F.col("ok_at").isNull() | (x["n"] < F.col("ok_at")))
+    f = f.withColumn("failures", _first_failures(before, max_retries))
+    f = f.withColumns({"retry_count": F.size("failures").cast("bigint"), "last_error": F.get("failures", F.size("failures") - 1)["text"]})
     done = F.col("ok_at").isNotNull() & (F.col("retry_count") < max_retries)
     return f.select("message_id", "retry_count", F.when(F.col("retry_count") >= max_retries, "FAILED").when(done, "READY_FOR_ANALYSIS").otherwise("QUEUED").alias("status"),
                     F.when(~done, F.col("last_error")).alias("error_message"))

@@ -74,7 +74,8 @@ def with_location_label(df: DataFrame) -> DataFrame:
                            "display_country": F.when(public, country).otherwise("Private Subnet"), "display_code": code})
 
 
-def geo_context(messages: DataFrame, networks: DataFrame, max_lookups: int = 5) -> DataFrame:
-    """Location rows of the first addresses of each message (array column ``ip_addresses``)."""
-    ips = messages.select("message_id", F.posexplode(F.slice("ip_addresses", 1, max_lookups)).alias("pos", "ip"))
+def geo_context(messages: DataFrame, networks: DataFrame, max_lookups: int | None = None) -> DataFrame:
+    """Location rows of the addresses of each message (array column ``ip_addresses``); None takes all."""
+    taken = F.col("ip_addresses") if max_lookups is None else F.slice("ip_addresses", 1, max_lookups)
+    ips = messages.select("message_id", F.posexplode(taken).alias("pos", "ip"))
     return with_location_label(enrich(ips, networks))

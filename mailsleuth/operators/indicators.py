@@ -52,7 +52,7 @@ def _grams(c: Column, size: int) -> Column:
 
 def search_terms(terms: DataFrame, scans: DataFrame, limit: int = 10) -> DataFrame:
     """Bulk indicator search: for each distinct term the newest ``limit`` scans with the term in urls,
-    indicators, sender or subject, then count, score and verdict.
+    indicators, sender or subject, then the count of all matches, score and verdict.
 
     Substring search becomes an equi-join: texts are cut into windows of 1 to 3 characters, a term is
     looked up by the rarest of its own windows, and the full test follows on those candidates only.
@@ -73,8 +73,9 @@ def search_terms(terms: DataFrame, scans: DataFrame, limit: int = 10) -> DataFra
     matched = candidates.join(hay, "scan_id").where(F.contains(F.col("hay"), low)).select("term", "scan_id", "scan_time")
     newest = Window.partitionBy("term").orderBy(F.col("scan_time").desc(), F.col("scan_id").desc())
     top = matched.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= limit)
-    found = top.groupBy("term").agg(F.count(F.lit(1)).alias("matches_count"), F.array_sort(F.collect_list("scan_id")).alias("scan_ids"))
-    df = t.join(found, "term", "left").withColumn("matches_count", F.coalesce("matches_count", F.lit(0)))
+    listed = top.groupBy("term").agg(F.array_sort(F.collect_list("scan_id")).alias("scan_ids"))
+    found = matched.groupBy("term").agg(F.count(F.lit(1)).alias("matches_count"))
+    df = t.join(found, "term", "left").join(listed, "term", "left").withColumn("matches_count", F.coalesce("matches_count", F.lit(0)))
     hit = F.col("matches_count") > 0
     return df.withColumns({"reputation_score": F.when(hit, 85).otherwise(0), "verdict": F.when(hit, "Threat Record Found").otherwise("Clean / No Threats Recorded")})
 
@@ -102,5 +103,10 @@ def reputation(iocs: DataFrame, feed: DataFrame, as_of: Column | None = None) ->
 
 
 def unseen(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not stored yet; duplicates inside the batch collapse to one."""
-    return new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+    """Rows whose key is not stored yet; duplicates inside the batch collapse to one. A null key equals a stored
+    null key, so a row without a subject is not inserted again by every run."""
+    known = existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return new.dropDuplicates(keys).join(known, same, "left_anti")

@@ -77,17 +77,19 @@ def payload_urls(payload: Column, kind: str) -> Column:
 
 
 def attachment_catalogue(parts: DataFrame, max_count: int = R.MAX_ATTACHMENTS, max_bytes: int = R.MAX_ATTACHMENT_BYTES) -> DataFrame:
-    """One row per (message, payload hash) of the first 20 parts; parts above 25 MiB are left out.
+    """One row per (message, payload hash). Parts behind the 20th and above 25 MiB keep their row and hash;
+    ``over_limit`` marks them.
 
     ``parts`` holds message_id, pos (0-based order in the message), original_filename, mime_type and
     content. The duplicate of a payload is dropped by aggregation on its hash."""
-    df = parts.where(F.col("pos") < max_count).withColumn("size_bytes", F.octet_length("content")).where(F.col("size_bytes") <= max_bytes)
+    df = parts.withColumn("size_bytes", F.octet_length("content"))
+    df = df.withColumn("over_limit", (F.col("pos") >= max_count) | (F.col("size_bytes") > max_bytes))
     fallback = F.concat(F.lit("attachment_"), (F.col("pos") + 1).cast("string"), F.lit(".bin"))
     name = F.when(blank("original_filename") == "", fallback).otherwise(F.col("original_filename"))
-    df = df.select("message_id", "pos", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), "size_bytes",
+    df = df.select("message_id", "pos", "over_limit", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), "size_bytes",
                    F.coalesce("mime_type", F.lit("application/octet-stream")).alias("mime_type"),
                    name.alias("original_filename"), files.safe_name(name, fallback).alias("filename"))
-    return df.groupBy("message_id", "sha256").agg(F.min_by(F.struct("pos", "size_bytes", "mime_type", "original_filename", "filename"), "pos").alias("a")).select("message_id", "sha256", "a.*")
+    return df.groupBy("message_id", "sha256").agg(F.min_by(F.struct("pos", "size_bytes", "mime_type", "original_filename", "filename", "over_limit"), "pos").alias("a")).select("message_id", "sha256", "a.*")
 
 
 def attachment_links(parts: DataFrame) -> DataFrame:

@@ -73,21 +73,26 @@ def attachment_texts(names: Column) -> Column:
 PENALTIES = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "url_penalty", "attachment_penalty"]
 
 
-def gateway_scores(messages: DataFrame, redirect_summary: DataFrame | None = None, lure_text: str = "subject") -> DataFrame:
-    """One row per message: the six penalties, score, severity, recommendation, policy decision."""
+def gateway_scores(messages: DataFrame, redirect_summary: DataFrame | None = None, lure_text: str = "subject", max_urls: int | None = None) -> DataFrame:
+    """One row per row of ``messages``, also where ids repeat: the six penalties, score, severity,
+    recommendation, policy decision. ``max_urls`` None scores all URLs of a mail."""
     df = gateway_profile(messages, lure_text)
     keep = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "attachment_penalty", "spf", "dkim", "dmarc",
             "row_findings", "attachment_findings", "header_security_score", "lure_score", "g_from_domain", "subject", "from_hdr"]
-    extra = [c for c in ("received_at", "doc_id") if c in messages.columns]
-    df = df.select("message_id", F.struct(*keep, *extra).alias("m"), F.posexplode_outer(F.slice(gateway_urls(F.col("text_body"), F.col("html_body")), 1, R.MAX_SCORED_URLS)).alias("pos", "url"))
+    extra = [c for c in ("received_at", "doc_id", "user_email") if c in messages.columns]
+    urls = gateway_urls(F.col("text_body"), F.col("html_body"))
+    df = df.select("message_id", F.monotonically_increasing_id().alias("_row"), F.struct(*keep, *extra).alias("m"), urls.alias("_urls"))
+    urls = F.col("_urls")
+    df = df.select("message_id", "_row", "m", F.posexplode_outer(urls if max_urls is None else F.slice(urls, 1, max_urls)).alias("pos", "url"))
     if redirect_summary is not None:
         from .skew import attach_unique
         df = attach_unique(df, redirect_summary, ["url"])
     df = with_url_risk(df, redirect_risk=F.col("redirect_risk") if redirect_summary is not None else None)
     points = F.when(F.col("url_risk_score") >= 50, 25).when(F.col("url_risk_score") >= 25, 10).otherwise(0)
-    label = F.concat(F.lit("URL ["), F.substring("url", 1, 40), F.lit("...]: "))
+    label = F.concat(F.lit("URL ["), F.col("url"), F.lit("]: "))
     texts = F.when(F.col("url").isNotNull(), F.struct(F.col("pos"), F.transform("url_findings", lambda t: F.concat(label, t)).alias("t")))
-    df = df.groupBy("message_id").agg(
+    # a row's URLs share its own row number, so first() sees one value only
+    df = df.groupBy("_row", "message_id").agg(
         F.first("m").alias("m"), F.least(F.lit(45), F.sum(points)).cast("int").alias("url_penalty"), F.count("url").alias("urls_scored"),
         F.array_sort(F.collect_list(texts)).alias("_u"))
     df = df.select("message_id", "m.*", "url_penalty", "urls_scored", F.flatten(F.transform("_u", lambda u: u["t"])).alias("url_findings"))
@@ -100,7 +105,7 @@ def gateway_scores(messages: DataFrame, redirect_summary: DataFrame | None = Non
 
 
 def upload_scores(messages: DataFrame, attached: DataFrame | None = None) -> DataFrame:
-    """Upload profile: one row per message with score, verdict, ordered categories.
+    """Upload profile: one row per row of ``messages`` with score, verdict, ordered categories.
 
     ``attached`` (message_id, pdf_parts, links array) comes from ``attached_links``."""
     df = H.header_profile(messages)
@@ -120,10 +125,11 @@ def upload_scores(messages: DataFrame, attached: DataFrame | None = None) -> Dat
         "auth_points": F.when(status("spf"), 25).otherwise(0) + F.when(status("dkim"), 25).otherwise(0) + F.when(status("dmarc"), 30).otherwise(0),
         "spoof_points": spoofs * 25})
     facts = ["reply_points", "keyword_points", "_kc", "exec_points", "pdf_points", "auth_points", "spoof_points", "header_security_score", "from_addr", "subject"]
-    df = df.select("message_id", F.struct(*facts).alias("m"), "_links", F.posexplode_outer(upload_urls(F.col("body"), F.col("_links"))).alias("pos", "url"))
+    df = df.select("message_id", F.monotonically_increasing_id().alias("_row"), F.struct(*facts).alias("m"), "_links", upload_urls(F.col("body"), F.col("_links")).alias("_urls"))
+    df = df.select("message_id", "_row", "m", "_links", F.posexplode_outer("_urls").alias("pos", "url"))
     df = U.assess(df)
     bad = (F.size("reasons") > 0) | F.coalesce(F.array_contains("_links", F.col("url")), F.lit(False))
-    df = df.groupBy("message_id").agg(F.first("m").alias("m"), F.count("url").alias("urls"), F.sum(F.when(bad & F.col("url").isNotNull(), 1).otherwise(0)).alias("bad_urls"))
+    df = df.groupBy("_row", "message_id").agg(F.first("m").alias("m"), F.count("url").alias("urls"), F.sum(F.when(bad & F.col("url").isNotNull(), 1).otherwise(0)).alias("bad_urls"))
     df = df.select("message_id", "m.*", "urls", "bad_urls").withColumn("url_points", F.col("bad_urls") * 25)
     cat = lambda cond, name: F.when(cond, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     total = sum((F.col(c) for c in ("keyword_points", "exec_points", "pdf_points", "url_points", "auth_points", "spoof_points")), F.col("reply_points"))

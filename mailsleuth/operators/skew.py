@@ -45,22 +45,24 @@ def ordered_scan(df: DataFrame, key: str, seq: str, row: list[str], known: str,
     A window over ``key`` alone would put a hot key into one task. The rows of a key are cut into
     blocks of ``block`` consecutive sequence numbers; windows run inside a block, and a small table
     with one row per (key, block) carries the counts and the last row over the block borders.
-    Adds ``row_no``, ``prev`` (struct of ``row``) and ``last_known``. ``seq`` is unique per key."""
-    df = df.withColumn("_b", F.floor(F.col(seq) / block))
+    Adds ``row_no``, ``prev`` (struct of ``row``) and ``last_known``. Rows without ``seq`` come first, in the order
+    of ``row``; rows without a key are one group; none is dropped. Joins are null-safe for that."""
+    df = df.withColumn("_b", F.coalesce(F.floor(F.col(seq) / block), F.lit(-9223372036854775807)))
     packed = F.struct(*row)
     blocks = df.groupBy(key, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by(packed, F.col(seq)).alias("_last"),
-        F.max_by(F.col(known), F.when(F.col(known).isNotNull(), F.col(seq))).alias("_known"))
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.max_by(packed, F.struct(F.col(seq), *row)), F.max(packed)).alias("_last"),
+        F.max_by(F.col(known), F.when(F.col(known).isNotNull(), F.struct(F.col(seq), *row))).alias("_known"))
     over = Window.partitionBy(key).orderBy("_b")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
                            F.lag("_last").over(over).alias("_carry_row"),
                            F.last("_known", ignorenulls=True).over(before).alias("_carry_known"))
-    inner = Window.partitionBy(key, "_b").orderBy(seq)
+    inner = Window.partitionBy(key, "_b").orderBy(seq, *row)
     inside = df.withColumns({
         "_rn": F.row_number().over(inner), "_prev": F.lag(packed).over(inner),
         "_seen": F.last(known, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1))})
-    out = inside.join(blocks, [key, "_b"])
+    carried = blocks.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), "_offset", "_carry_row", "_carry_known")
+    out = inside.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
     return out.select(*[c for c in df.columns if c != "_b"],
                       (F.col("_rn") + F.col("_offset")).alias("row_no"),
                       F.when(F.col("_rn") == 1, F.col("_carry_row")).otherwise(F.col("_prev")).alias("prev"),

@@ -59,10 +59,12 @@ def score_back(urls: DataFrame, scores: DataFrame) -> DataFrame:
     return attach_unique(urls, scores.select("url", "url_risk_score", "risk_level"), ["url"], hot_keys(urls, ["url"]))
 
 
-def message_url_penalty(scored: DataFrame) -> DataFrame:
-    """Penalty of the first 25 URLs of each message: 25 from score 50, 10 from score 25, at most 45."""
+def message_url_penalty(scored: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """Penalty of the URLs of each message: 25 from score 50, 10 from score 25, at most 45. ``max_urls`` None
+    takes all of them."""
     points = F.when(F.col("url_risk_score") >= 50, 25).when(F.col("url_risk_score") >= 25, 10).otherwise(0)
-    return scored.where(F.col("pos") < R.MAX_SCORED_URLS).groupBy("message_id").agg(
+    counted = scored if max_urls is None else scored.where(F.col("pos") < max_urls)
+    return counted.groupBy("message_id").agg(
         F.least(F.lit(45), F.sum(points)).alias("url_penalty"), F.count(F.lit(1)).alias("urls_scored"))
 
 

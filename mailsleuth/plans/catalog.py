@@ -388,7 +388,7 @@ def a13_content_penalty_full(v):
 @query
 def a14_gateway_score(v):
     s = scoring.gateway_scores(v.messages)
-    return s.select("message_id", *big(*scoring.PENALTIES, "risk_score"), "severity", "recommendation", "decision", F.size("findings").cast("bigint").alias("findings"), joined(F.slice("findings", 1, 3)).alias("top_findings"))
+    return s.select("message_id", *big(*scoring.PENALTIES, "risk_score"), "severity", "recommendation", "decision", F.size("findings").cast("bigint").alias("findings"), joined("findings").alias("top_findings"))
 
 
 @query
@@ -527,7 +527,7 @@ def t05_first_urls(v):
 
 @query
 def t06_capped_graph(v):
-    nodes, edges = correlation.capped_graph(v.scans)
+    nodes, edges = correlation.capped_graph(v.scans, max_scans=50, max_nodes=200)
     return edges.groupBy("label").agg(F.count(F.lit(1)).alias("edges")).withColumn("kind", F.lit("edge")).unionByName(
         nodes.groupBy(F.col("node_group").alias("label")).agg(F.count(F.lit(1)).alias("edges")).withColumn("kind", F.lit("node")))
 
@@ -788,7 +788,7 @@ def st1_ingest_stream(v):
     spark = v.spark
     out = new_folder(spark, "ingest")
     landed = stream_of(v, "attempts", "events").withColumn("received_at", F.col("attempted_at").cast("timestamp"))
-    jobs.drain(jobs.new_jobs(landed), f"{out}/jobs", f"{out}/checkpoint")
+    jobs.run_ingest(landed, f"{out}/jobs", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/jobs").select("message_id", "status")
 
 
@@ -803,9 +803,8 @@ def st2_scoring_stream(v):
 @query
 def st3_retry_stream(v):
     out = new_folder(v.spark, "retries")
-    jobs.drain(jobs.retry_states(stream_of(v, "attempts", "events")), f"{out}/states", f"{out}/checkpoint", "update")
-    states = v.spark.read.parquet(f"{out}/states")
-    return skew.latest(states, ["message_id"], F.col("batch_id")).select("message_id", "retry_count", "status", "error_message")
+    jobs.run_retries(stream_of(v, "attempts", "events"), f"{out}/facts", f"{out}/checkpoint").awaitTermination()
+    return jobs.retry_states(v.spark, f"{out}/facts")
 
 
 @query
@@ -862,7 +861,7 @@ def c02_campaigns(v):
 
 @query
 def c02_campaign_components(v):
-    c = correlation.campaign_components(v.scans.where(F.col("sender").contains("bulk")), ("domain", "url"))
+    c = correlation.campaign_components(v.scans, ("domain", "url"))
     return c.select("scan_id", "component")
 
 

@@ -222,11 +222,14 @@ def view_sql(name: str) -> str:
 TEXT_TABLES = ("documents", "pages")
 
 
+PARTITIONS = "mailsleuth.text.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work all cores when the input is one small file; a scan that already has as
-    many partitions as the cluster has cores, as any large input does, is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Where the session asks for a number of partitions, deal text tables to that many: one small file is else one
+    task. Large tables are read as they are split; the setting is never derived from the data."""
+    wanted = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 class Views:

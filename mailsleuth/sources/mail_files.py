@@ -42,7 +42,7 @@ def _text_of(part) -> str:
         return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
 
 
-def _decode_one(raw: bytes, max_parts: int) -> tuple:
+def _decode_one(raw: bytes, max_parts: int | None) -> tuple:
     msg = email.message_from_bytes(raw, policy=email.policy.default)
     texts, pages, files = [], [], []
     for part in msg.walk():
@@ -51,7 +51,7 @@ def _decode_one(raw: bytes, max_parts: int) -> tuple:
         kind, place, name = part.get_content_type(), str(part.get_content_disposition() or ""), part.get_filename()
         inline_file = "inline" in place and kind not in ("text/plain", "text/html")
         if "attachment" in place or name or inline_file:
-            if len(files) < max_parts:
+            if max_parts is None or len(files) < max_parts:
                 files.append((len(files), name or f"attachment_{len(files) + 1}.bin", kind, part.get_payload(decode=True) or b""))
         elif kind == "text/html":
             pages.append(_text_of(part))
@@ -60,8 +60,8 @@ def _decode_one(raw: bytes, max_parts: int) -> tuple:
     return "\n".join(texts), "\n".join(pages), bool(texts), bool(pages), files
 
 
-def decode_mime(files: DataFrame, max_parts: int = R.MAX_ATTACHMENTS) -> DataFrame:
-    """Bodies and attachments of raw messages (message_id, content).
+def decode_mime(files: DataFrame, max_parts: int | None = None) -> DataFrame:
+    """Bodies and attachments of raw messages (message_id, content); None keeps every part.
 
     This is the only stage that needs Python per message, as Spark has no MIME decoder. It runs as
     Arrow batches inside the scan's own tasks and shuffles nothing. The header block is cut off in the

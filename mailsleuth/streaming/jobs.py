@@ -12,11 +12,19 @@ from ..functions import rules as R
 from ..operators import enforcement, scoring
 
 
-def new_jobs(landed: DataFrame, event_time: str = "received_at", horizon: str = "7 days") -> DataFrame:
-    """Ingest queue: one QUEUED job per message id. The watermark bounds the state: an id repeated
-    within the horizon is ignored."""
-    return (landed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["message_id"])
-            .select("message_id", F.lit("QUEUED").alias("status"), F.col(event_time).alias("received_at"), F.lit(0).alias("retry_count")))
+def run_ingest(landed: DataFrame, out: str, checkpoint: str, event_time: str = "received_at", once: bool = True):
+    """Ingest queue: one QUEUED job per message id, for ever and whatever the mail's age. Each micro-batch inserts the
+    ids that no other batch has stored into its own batch partition, so a replayed batch writes the same rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, key = batch.sparkSession, F.coalesce(F.col("message_id"), F.lit(""))
+        jobs = batch.groupBy("message_id").agg(F.min(event_time).alias("received_at")).select(
+            "message_id", F.lit("QUEUED").alias("status"), "received_at", F.lit(0).alias("retry_count"))
+        if batch_id:
+            known = spark.read.schema("message_id string, batch_id long").parquet(out).where(F.col("batch_id") != batch_id).select(key.alias("_k"))
+            jobs = jobs.join(known, key == F.col("_k"), "left_anti")
+        jobs.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    w = landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
 
 
 def score_batch(messages: DataFrame, tenant_id: str = "default") -> DataFrame:
@@ -36,37 +44,18 @@ def run_scoring_stream(messages: DataFrame, out: str, checkpoint: str, once: boo
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-_JOB_OUT = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("retry_count", T.LongType()), T.StructField("status", T.StringType()), T.StructField("error_message", T.StringType())])
-_JOB_STATE = T.StructType([T.StructField("status", T.StringType()), T.StructField("retries", T.LongType()), T.StructField("error", T.StringType())])
-
-
-class RetryMachine(StatefulProcessor):
-    """Job state per message: QUEUED until a success or the third failure; finished jobs ignore the rest."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", _JOB_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, retries, error = self.state.get() if self.state.exists() else ("QUEUED", 0, None)
-        todo = pd.concat(list(rows)).sort_values("attempt_no")
-        for outcome, text in zip(todo["outcome"], todo["error_text"]):
-            if status != "QUEUED":
-                break
-            if outcome == "ok":
-                status, error = "READY_FOR_ANALYSIS", None
-            else:
-                retries, error = retries + 1, text
-                status = "FAILED" if retries >= R.MAX_RETRIES else "QUEUED"
-        self.state.update((status, int(retries), error))
-        yield pd.DataFrame({"message_id": [key[0]], "retry_count": [int(retries)], "status": [status], "error_message": [error]})
-
-    def close(self) -> None:
-        pass
+def run_retries(attempts: DataFrame, out: str, checkpoint: str, once: bool = True):
+    """Retry machine: each micro-batch stores what counts of its attempts (first success, first failures) in its own
+    batch partition; ``retry_states`` merges them. Nothing here needs Python workers or a state store."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        enforcement.attempt_facts(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    w = attempts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
 
 
-def retry_states(attempts: DataFrame) -> DataFrame:
-    """Stream of job states after each batch of attempts (message_id, attempt_no, outcome, error_text)."""
-    return attempts.groupBy("message_id").transformWithStateInPandas(RetryMachine(), outputStructType=_JOB_OUT, outputMode="Update", timeMode="None")
+def retry_states(spark: SparkSession, out: str) -> DataFrame:
+    """Job states after all batches: QUEUED until a success or the third failure; a finished job ignores the rest."""
+    return enforcement.attempt_states(spark.read.parquet(out))
 
 
 _CACHE_OUT = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("hit", T.BooleanType()), T.StructField("value", T.StringType())])

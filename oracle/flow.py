@@ -28,7 +28,7 @@ S["p03_category_filter"] = stmt(SC, final="SELECT scan_id, categories_text FROM
 S["p04_category_facets"] = stmt(SC, final="SELECT category, count(*) AS scans FROM (SELECT unnest(string_split(categories_text, ';')) AS category FROM sc WHERE user_id = 7 OR user_id IS NULL) WHERE category <> '' GROUP BY category")
 S["p05_user_search"] = stmt(US, final="SELECT user_id, username, email, role FROM us WHERE (username ILIKE '%#0000%' OR email ILIKE '%#0000%') AND role = 'analyst'")
 
-_sum = "CASE WHEN findings_text = '' THEN 'Deterministic risk score evaluation' ELSE array_to_string(string_split(findings_text, ';')[:3], '; ') END"
+_sum = "CASE WHEN findings_text = '' THEN 'Deterministic risk score evaluation' ELSE array_to_string(string_split(findings_text, ';'), '; ') END"
 _dec = "CASE WHEN risk_score <= 29 THEN 'ALLOW' WHEN risk_score <= 64 THEN 'REVIEW' WHEN risk_score <= 95 THEN 'QUARANTINE' ELSE 'REJECT' END"
 _rsn = f"""CASE WHEN risk_score <= 29 THEN 'Risk score ' || risk_score || ' is within ALLOW threshold (0-29).' WHEN risk_score <= 64 THEN 'Risk score ' || risk_score || ' requires analyst REVIEW (30-64). ' || {_sum}
  WHEN risk_score <= 95 THEN 'Risk score ' || risk_score || ' triggered QUARANTINE policy (65-95). ' || {_sum} ELSE 'Risk score ' || risk_score || ' triggered REJECT policy (96-100). ' || {_sum} END"""
@@ -48,7 +48,7 @@ S["x03_policy_bands"] = stmt(EN, final="SELECT message_id, CASE WHEN risk_score
 
 # ---- joins and flow ------------------------------------------------------------------------
 S["j01_scans_users"] = stmt(SC, US, SU, final="SELECT scan_id, user_id, submitted_by, email FROM su")
-S["j02_insert_if_absent"] = stmt(SC, final="SELECT DISTINCT subject, sender FROM sc WHERE NOT EXISTS (SELECT 1 FROM sc b WHERE b.scan_id % 3 = 0 AND b.subject = sc.subject AND b.sender = sc.sender)")
+S["j02_insert_if_absent"] = stmt(SC, final="SELECT DISTINCT subject, sender FROM sc WHERE NOT EXISTS (SELECT 1 FROM sc b WHERE b.scan_id % 3 = 0 AND b.subject IS NOT DISTINCT FROM sc.subject AND b.sender IS NOT DISTINCT FROM sc.sender)")
 S["j03_upsert_decisions"] = stmt(EN, RQ, DE, "al AS (SELECT message_id, decision, risk_score, decided_at, 0 AS v FROM de UNION ALL SELECT message_id, 'REJECT', 100, max(requested_at), 1 FROM rq WHERE action = 'REJECT' GROUP BY message_id)",
     final="SELECT message_id, decision, risk_score FROM al QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY decided_at DESC, v DESC) = 1")
 S["j04_status_propagation"] = stmt(EN, DE, final="SELECT 'o' || cast(o_orderkey AS varchar) AS message_id, coalesce(final_status, 'PROCESSING') AS status FROM orders LEFT JOIN de ON de.message_id = 'o' || cast(o_orderkey AS varchar)")
@@ -99,8 +99,8 @@ _terms = """tm AS (SELECT ip AS term FROM iv WHERE starts_with(ip, '198.') OR st
 S["p07_indicator_search"] = stmt(SC, view("ips", "iv"), view("networks", "nw"), _terms, P.ip_steps("tm", "term", "ti"),
     f"""tk AS (SELECT *, CASE WHEN regexp_full_match(term, '\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}') THEN 'IPv4 Address' WHEN length(term) = 32 AND regexp_full_match(term, '[a-fA-F0-9]+') THEN 'Cryptographic Hash (MD5)' WHEN length(term) = 64 AND regexp_full_match(term, '[a-fA-F0-9]+') THEN 'Cryptographic Hash (SHA-256)' ELSE 'Domain / Hostname' END AS ioc_type,
   {P.RESTRICTED} AS bad, round({P.entropy("split_part(lower(term), ':', 1)")}, 2) AS domain_entropy FROM ti)""",
-    "mt AS (SELECT term, scan_id FROM tk JOIN sc ON contains(lower(urls_text), lower(term)) OR contains(lower(iocs_text), lower(term)) OR contains(lower(sender), lower(term)) OR contains(lower(coalesce(subject, '')), lower(term)) QUALIFY row_number() OVER (PARTITION BY term ORDER BY scan_time DESC, scan_id DESC) <= 10)",
-    "mc AS (SELECT term, count(*) AS n, string_agg(cast(scan_id AS varchar), '|' ORDER BY scan_id) AS ids FROM mt GROUP BY term)",
+    "mt AS (SELECT term, scan_id, row_number() OVER (PARTITION BY term ORDER BY scan_time DESC, scan_id DESC) AS rn FROM tk JOIN sc ON contains(lower(urls_text), lower(term)) OR contains(lower(iocs_text), lower(term)) OR contains(lower(sender), lower(term)) OR contains(lower(coalesce(subject, '')), lower(term)))",
+    "mc AS (SELECT term, count(*) AS n, string_agg(cast(scan_id AS varchar), '|' ORDER BY scan_id) FILTER (rn <= 10) AS ids FROM mt GROUP BY term)",
     final="""SELECT term, ioc_type, ioc_type = 'IPv4 Address' AND bad AS is_private_ip, md5(term) AS md5, sha1(term) AS sha1, sha256(term) AS sha256, domain_entropy, coalesce(n, 0) AS matches_count, coalesce(ids, '') AS scan_ids, CASE WHEN n > 0 THEN 85 ELSE 0 END AS reputation_score,
  CASE WHEN n > 0 THEN 'Threat Record Found' ELSE 'Clean / No Threats Recorded' END AS verdict FROM tk LEFT JOIN mc USING (term)""")
 
@@ -108,10 +108,10 @@ S["p07_indicator_search"] = stmt(SC, view("ips", "iv"), view("networks", "nw"),
 def graph(src: str) -> str:
     h = "split_part(replace(replace(u, 'http://', ''), 'https://', ''), '/', 1)"
     return f"""
-gn0 AS (SELECT scan_id, scan_time, 0 AS pos, 'email' AS node_group, 'email_' || scan_id AS node_id, CASE WHEN length(subject) > 25 THEN left(subject, 25) || '...' WHEN subject IS NULL THEN 'Email #' || scan_id ELSE subject END AS label, verdict AS risk, NULL AS edge FROM {src}
+gn0 AS (SELECT scan_id, scan_time, 0 AS pos, 'email' AS node_group, 'email_' || scan_id AS node_id, CASE WHEN subject IS NULL THEN 'Email #' || scan_id ELSE subject END AS label, verdict AS risk, NULL AS edge FROM {src}
  UNION ALL SELECT scan_id, scan_time, 1, 'domain', 'domain_' || lower(split_part(sender, '@', -1)), split_part(sender, '@', -1), verdict, 'SENT_BY' FROM {src}
  UNION ALL SELECT scan_id, scan_time, 2, 'recipient', 'recip_' || lower(receiver), receiver, 'Safe', 'TARGETS' FROM {src}
- UNION ALL SELECT scan_id, scan_time, 2 + i, 'url', 'url_' || lower({h}), left({h}, 20), CASE WHEN verdict = 'High Risk' THEN verdict ELSE 'Medium Risk' END, 'CONTAINS_LINK' FROM (SELECT scan_id, scan_time, verdict, unnest(string_split(urls_text, ';')[:3]) AS u, unnest(range(1, len(string_split(urls_text, ';')[:3]) + 1)) AS i FROM {src} WHERE urls_text <> '')),
+ UNION ALL SELECT scan_id, scan_time, 2 + i, 'url', 'url_' || lower({h}), {h}, CASE WHEN verdict = 'High Risk' THEN verdict ELSE 'Medium Risk' END, 'CONTAINS_LINK' FROM (SELECT scan_id, scan_time, verdict, unnest(string_split(urls_text, ';')) AS u, unnest(range(1, len(string_split(urls_text, ';')) + 1)) AS i FROM {src} WHERE urls_text <> '')),
 gn AS (SELECT node_id, node_group, label, risk, count(DISTINCT scan_id) OVER (PARTITION BY node_id) AS emails FROM gn0 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY scan_time DESC, scan_id DESC, pos) = 1),
 gx AS (SELECT DISTINCT 'email_' || scan_id AS src, node_id AS dst, edge AS label FROM gn0 WHERE edge IS NOT NULL)"""
 
@@ -123,7 +123,7 @@ S["a20_graph_summary"] = stmt(SC, graph("sc"), final="SELECT (SELECT count(*) FR
 S["t06_capped_graph"] = stmt(SC, "s50 AS (SELECT * FROM sc ORDER BY scan_time DESC, scan_id DESC LIMIT 50)", graph("s50"), "k AS (SELECT * FROM gn ORDER BY node_group, node_id LIMIT 200)",
     final="SELECT label, count(*) AS edges, 'edge' AS kind FROM gx WHERE src IN (SELECT node_id FROM k) AND dst IN (SELECT node_id FROM k) GROUP BY label UNION ALL SELECT node_group, count(*), 'node' FROM k GROUP BY node_group")
 S["c02_campaigns"] = stmt(SC, graph("sc"), final="""SELECT node_id, node_group, count(DISTINCT scan_id) AS emails, max(risk_score) AS max_risk, count(*) FILTER (verdict = 'High Risk') AS high_risk_mentions FROM gn0 JOIN sc USING (scan_id) WHERE edge IS NOT NULL GROUP BY ALL HAVING count(DISTINCT scan_id) > 1""")
-S["c02_campaign_components"] = stmt(SC, f"sb AS (SELECT * FROM sc WHERE contains(sender, 'bulk'))", graph("sb"), """cn AS (SELECT scan_id, 'x' || node_id AS node FROM gn0 WHERE node_group = 'domain' UNION SELECT scan_id, 'xurl_' || lower(split_part(replace(replace(u, 'http://', ''), 'https://', ''), '/', 1)) FROM (SELECT scan_id, unnest(string_split(urls_text, ';')) AS u FROM sb WHERE urls_text <> '')),
+S["c02_campaign_components"] = stmt(SC, f"sb AS (SELECT * FROM sc)", graph("sb"), """cn AS (SELECT scan_id, 'x' || node_id AS node FROM gn0 WHERE node_group = 'domain' UNION SELECT scan_id, 'xurl_' || lower(split_part(replace(replace(u, 'http://', ''), 'https://', ''), '/', 1)) FROM (SELECT scan_id, unnest(string_split(urls_text, ';')) AS u FROM sb WHERE urls_text <> '')),
  r1 AS (SELECT scan_id, min(m) AS c FROM cn JOIN (SELECT node, min(scan_id) AS m FROM cn GROUP BY node) USING (node) GROUP BY scan_id)""" + "".join(
     f", r{i + 1} AS (SELECT scan_id, min(m) AS c FROM cn JOIN (SELECT node, min(c) AS m FROM cn JOIN r{i} USING (scan_id) GROUP BY node) USING (node) GROUP BY scan_id)" for i in range(1, 12)), final="SELECT scan_id, c AS component FROM r12")
 _act = {p[0]: p[4] for p in R.PLAYBOOKS}

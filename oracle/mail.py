@@ -40,7 +40,7 @@ def doubled(s: str) -> str:
     return f"(len(string_split({s}, '.')) > 2 AND list_contains({lst(R.DOUBLE_EXT_INNER)}, lower(string_split({s}, '.')[-2])))"
 
 
-S["s05_attachment_catalogue"] = stmt(view("attachment_payloads", "ap"), "named AS (SELECT *, sha256(payload) AS sha, 'attachment_' || cast(pos + 1 AS varchar) || '.bin' AS fb, CASE WHEN original_filename = '' THEN 'attachment_' || cast(pos + 1 AS varchar) || '.bin' ELSE original_filename END AS nm FROM ap WHERE pos < 20)",
+S["s05_attachment_catalogue"] = stmt(view("attachment_payloads", "ap"), "named AS (SELECT *, sha256(payload) AS sha, 'attachment_' || cast(pos + 1 AS varchar) || '.bin' AS fb, CASE WHEN original_filename = '' THEN 'attachment_' || cast(pos + 1 AS varchar) || '.bin' ELSE original_filename END AS nm FROM ap)",
     final=f"SELECT message_id, sha AS sha256, pos, strlen(payload) AS size_bytes, mime_type, nm AS original_filename, {safe_name('nm', 'fb')} AS filename FROM named QUALIFY row_number() OVER (PARTITION BY message_id, sha ORDER BY pos) = 1")
 
 _SCAN, _USER = view("scans", "sc"), view("users", "us")
@@ -59,14 +59,14 @@ S["s10_report_json"] = stmt(_SCAN, final=f"""SELECT scan_id, '{{"scan_id":' || c
 S["s11_network_ranges"] = """WITH n AS (SELECT s_suppkey, 8 + s_suppkey % 25 AS bits, 10 * 16777216 + (s_suppkey % 256) * 65536 + (s_suppkey * 7 % 256) * 256 + 9 AS a FROM supplier)
 SELECT s_suppkey, '10.' || cast(s_suppkey % 256 AS varchar) || '.' || cast(s_suppkey * 7 % 256 AS varchar) || '.9/' || cast(bits AS varchar) AS network,
  cast(floor(a / cast(pow(2, 32 - bits) AS bigint)) AS bigint) * cast(pow(2, 32 - bits) AS bigint) AS start_ip, (cast(floor(a / cast(pow(2, 32 - bits) AS bigint)) AS bigint) + 1) * cast(pow(2, 32 - bits) AS bigint) - 1 AS end_ip FROM n"""
-_rule = "'MailSleuth_Phish_' || left(trim(regexp_replace(coalesce(subject, 'Phishing Email Indicator'), '[^a-zA-Z0-9_]', '_', 'g'), '_'), 40)"
+_rule = "'MailSleuth_Phish_' || trim(regexp_replace(coalesce(subject, 'Phishing Email Indicator'), '[^a-zA-Z0-9_]', '_', 'g'), '_')"
 S["s12_detection_rules"] = stmt(_SCAN, f"""s AS (SELECT *, {_rule} AS rule_name, coalesce(subject, 'Phishing Email Indicator') AS sub, list_concat(list_concat([['subj', coalesce(subject, 'Phishing Email Indicator')], ['from', sender]],
-   CASE WHEN urls_text = '' THEN [] ELSE list_transform(string_split(urls_text, ';')[:5], lambda u: ['url', u]) END),
-   CASE WHEN findings_text = '' THEN [] ELSE list_transform(string_split(findings_text, ';')[:3], lambda f: ['finding', trim(left(regexp_replace(f, '[^a-zA-Z0-9\\s]', '', 'g'), 40))]) END) AS ks FROM sc WHERE risk_score >= 50)""",
+   CASE WHEN urls_text = '' THEN [] ELSE list_transform(string_split(urls_text, ';'), lambda u: ['url', u]) END),
+   CASE WHEN findings_text = '' THEN [] ELSE list_transform(string_split(findings_text, ';'), lambda f: ['finding', trim(regexp_replace(f, '[^a-zA-Z0-9\\s]', '', 'g'))]) END) AS ks FROM sc WHERE risk_score >= 50)""",
     final="""SELECT scan_id, rule_name, 'rule ' || rule_name || ' {' || chr(10) || '    meta:' || chr(10) || '        description = "Detection rule derived from a scanned e-mail"' || chr(10) || '        author = "mailsleuth"' || chr(10) || '        severity = "' || verdict || '"' || chr(10)
  || '        score = ' || cast(risk_score AS varchar) || chr(10) || chr(10) || '    strings:' || chr(10) || array_to_string(list_transform(ks, lambda k, i: '        $' || k[1] || '_' || cast(i AS varchar) || ' = "' || k[2] || '" nocase'), chr(10)) || chr(10) || chr(10)
  || '    condition:' || chr(10) || '        any of them' || chr(10) || '}' || chr(10) AS yara,
- 'title: Phishing Email Indicator - ' || left(regexp_replace(sub, '[^a-zA-Z0-9\\s_-]', '', 'g'), 60) || chr(10) || 'id: ' || left(sha256(sub), 32) || chr(10) || 'status: experimental' || chr(10) || 'author: mailsleuth' || chr(10) || 'tags:' || chr(10) || '    - attack.initial_access' || chr(10)
+ 'title: Phishing Email Indicator - ' || regexp_replace(sub, '[^a-zA-Z0-9\\s_-]', '', 'g') || chr(10) || 'id: ' || left(sha256(sub), 32) || chr(10) || 'status: experimental' || chr(10) || 'author: mailsleuth' || chr(10) || 'tags:' || chr(10) || '    - attack.initial_access' || chr(10)
  || '    - attack.t1566.001' || chr(10) || 'logsource:' || chr(10) || '    category: email' || chr(10) || '    product: m365' || chr(10) || 'detection:' || chr(10) || '    selection_subject:' || chr(10) || '        EmailSubject|contains: "' || sub || '"' || chr(10)
  || '    selection_sender:' || chr(10) || '        SenderAddress|contains: "' || sender || '"' || chr(10) || '    condition: selection_subject or selection_sender' || chr(10) || 'level: high' || chr(10) AS sigma FROM s""".replace("\\\\s", "\\s"))
 

@@ -50,9 +50,9 @@ S["a13_content_penalty"] = stmt(*GP, final="SELECT message_id, lure AS lure_scor
 S["a13_content_penalty_full"] = stmt(*HV, CONTENT, "cl AS (SELECT *, lower(subject || ' ' || text_body) AS lt FROM ct)", f"cm AS (SELECT message_id, {', '.join(f'{e} AS {k}' for k, e in P.lure_points('lt').items())}, {P.content_labels('ctext')} AS labels FROM cl)",
     f"cn AS (SELECT *, {P.lure_score()} AS lure_score FROM cm)", final="SELECT message_id, lure_score, least(40, lure_score // 2 + 5 * len(labels)) AS content_penalty FROM cn")
 
-GURL = [URLS_OF, "gq AS (SELECT * FROM gu WHERE pos < 25)", P.url_steps("gq", "up"), P.risk_steps(),
+GURL = [URLS_OF, "gq AS (SELECT * FROM gu)", P.url_steps("gq", "up"), P.risk_steps(),
         """gs AS (SELECT message_id, least(45, sum(CASE WHEN url_risk_score >= 50 THEN 25 WHEN url_risk_score >= 25 THEN 10 ELSE 0 END)) AS url_pts, sum(len(url_findings)) AS n_url,
-  string_agg(array_to_string(list_transform(url_findings, lambda t: 'URL [' || left(url, 40) || '...]: ' || t), '|'), '|' ORDER BY pos) FILTER (len(url_findings) > 0) AS url_texts FROM ur GROUP BY message_id)"""]
+  string_agg(array_to_string(list_transform(url_findings, lambda t: 'URL [' || url || ']: ' || t), '|'), '|' ORDER BY pos) FILTER (len(url_findings) > 0) AS url_texts FROM ur GROUP BY message_id)"""]
 _rowf = """concat_ws('|', (SELECT string_agg(finding, '|' ORDER BY weight DESC, o) FROM hf WHERE hf.message_id = pz.message_id), CASE WHEN rp_apart THEN 'Return-Path domain (' || RPT || ') mismatch with From domain (' || FDT || ')' END,
   CASE WHEN gspf IN ('FAIL', 'SOFTFAIL') THEN 'SPF authentication status: ' || gspf END, CASE WHEN gdkim = 'FAIL' THEN 'DKIM signature validation FAILED' END, CASE WHEN gdmarc = 'FAIL' THEN 'DMARC alignment validation FAILED' END,
   CASE WHEN homo THEN 'Sender domain uses Punycode/IDN visual homograph: ' || gd END, CASE WHEN nbrand IS NOT NULL THEN 'Display Name impersonation detected: ''' || gname || ''' claims brand ''' || nbrand || ''' but domain is ''' || gd || '''' END,
@@ -62,7 +62,7 @@ GATE = [*GP, *GURL, ATT, f"""g0 AS (SELECT pz.*, cast(coalesce(url_pts, 0) AS bi
         "g1 AS (SELECT *, least(100, header_penalty + auth_penalty + sender_penalty + content_penalty + url_penalty + attachment_penalty) AS risk_score, CASE WHEN ftext IS NULL THEN [] ELSE string_split(ftext, '|') END AS fl FROM g0)",
         """g AS (SELECT *, CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' WHEN risk_score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN risk_score >= 60 THEN 'QUARANTINE' WHEN risk_score >= 30 THEN 'REVIEW' ELSE 'ALLOW' END AS recommendation,
   CASE WHEN risk_score <= 29 THEN 'ALLOW' WHEN risk_score <= 64 THEN 'REVIEW' WHEN risk_score <= 95 THEN 'QUARANTINE' ELSE 'REJECT' END AS decision FROM g1)"""]
-S["a14_gateway_score"] = stmt(*GATE, final="SELECT message_id, header_penalty, auth_penalty, sender_penalty, content_penalty, url_penalty, attachment_penalty, risk_score, severity, recommendation, decision, len(fl) AS findings, array_to_string(fl[:3], '|') AS top_findings FROM g")
+S["a14_gateway_score"] = stmt(*GATE, final="SELECT message_id, header_penalty, auth_penalty, sender_penalty, content_penalty, url_penalty, attachment_penalty, risk_score, severity, recommendation, decision, len(fl) AS findings, array_to_string(fl, '|') AS top_findings FROM g")
 _BOX = "bx AS (SELECT 'user' || cast(doc_id % 7 AS varchar) || '@corp.example.com' AS user_email, message_id, risk_score, severity, CASE WHEN risk_score >= 65 THEN 'TRASHED' ELSE 'ALLOWED' END AS action_taken, CASE WHEN risk_score >= 65 THEN 'POST_DELIVERY_QUARANTINED' END AS audit_action FROM g)"
 S["st2_scoring_stream"] = stmt(*GATE, final="SELECT message_id, risk_score, severity, decision, CASE decision WHEN 'ALLOW' THEN 'READY_FOR_RELAY' WHEN 'REVIEW' THEN 'REVIEW' WHEN 'QUARANTINE' THEN 'QUARANTINED' ELSE 'REJECTED' END AS final_status FROM g")
 S["c06_mailbox_rescan"] = stmt(*GATE, _BOX, final="SELECT * FROM bx")

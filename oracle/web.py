@@ -64,7 +64,7 @@ S["a07_url_risk"] = stmt(RH, CHAIN_B, *PARTS, "upr AS (SELECT up.*, coalesce(red
 S["a07_host_rollup"] = stmt(*PARTS, P.risk_steps(), final="SELECT hostname, count(*) AS urls, cast(sum(occurrences) AS bigint) AS occurrences, cast(max(url_risk_score) AS bigint) AS max_risk, round(avg(url_risk_score), 4) AS avg_risk FROM ur GROUP BY hostname")
 S["j08_score_back"] = stmt(RH, CHAIN_B, *PARTS, "upr AS (SELECT up.*, coalesce(redirect_risk, 0) AS redirect_risk FROM up LEFT JOIN rr USING (url))", P.risk_steps("upr", redirect="redirect_risk"),
     final="SELECT message_id, pos, url, cast(url_risk_score AS bigint) AS url_risk_score, risk_level FROM uv JOIN ur USING (url)")
-S["a08_message_url_penalty"] = stmt(*PARTS, P.risk_steps(), final="SELECT message_id, cast(least(45, sum(CASE WHEN url_risk_score >= 50 THEN 25 WHEN url_risk_score >= 25 THEN 10 ELSE 0 END)) AS bigint) AS url_penalty, count(*) AS urls_scored FROM uv JOIN ur USING (url) WHERE pos < 25 GROUP BY message_id")
+S["a08_message_url_penalty"] = stmt(*PARTS, P.risk_steps(), final="SELECT message_id, cast(least(45, sum(CASE WHEN url_risk_score >= 50 THEN 25 WHEN url_risk_score >= 25 THEN 10 ELSE 0 END)) AS bigint) AS url_penalty, count(*) AS urls_scored FROM uv JOIN ur USING (url) GROUP BY message_id")
 S["t05_first_urls"] = stmt(URLS, final="SELECT message_id, pos, url FROM uv QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY pos) <= 25")
 S["p08_fetch_safety"] = stmt(*PARTS, f"""fr AS (SELECT *, lower(regexp_extract(trim(url), '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) AS ws, {P.RESTRICTED} AS restricted, {P.IS_IP} AS lit FROM up)""",
     f"""fz AS (SELECT url, hostname, CASE WHEN url = '' THEN 'URL is missing or invalid.' WHEN ws NOT IN ('http', 'https') THEN 'Scheme ''' || ws || ''' is prohibited. Only HTTP and HTTPS are permitted.' WHEN hostname = '' THEN 'URL contains no hostname.'
@@ -109,5 +109,5 @@ S["f31_location_labels"] = stmt(*IPV, NW, geo("ix", "ip"), LABEL, final="""SELEC
  CASE WHEN NOT pub THEN 'Private Subnet' WHEN country <> 'Unknown' THEN country ELSE 'Public Internet' END AS display_country, code AS display_code FROM lb""")
 from .mail import IND  # noqa: E402
 
-S["c07_geo_context"] = stmt(P.MSG, IND, "ci AS (SELECT message_id, list_sort(list_distinct(ips))[:5] AS l FROM ia)", "cj AS (SELECT message_id, i - 1 AS pos, l[i] AS ip FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM ci))",
+S["c07_geo_context"] = stmt(P.MSG, IND, "ci AS (SELECT message_id, list_sort(list_distinct(ips)) AS l FROM ia)", "cj AS (SELECT message_id, i - 1 AS pos, l[i] AS ip FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM ci))",
     P.ip_steps("cj", P.IP_CLEAN("ip"), "ix"), NW, geo("ix", "ip"), LABEL, final="SELECT message_id, pos, ip, address_type, location_display FROM lb")

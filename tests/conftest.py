@@ -12,7 +12,7 @@ from mailsleuth.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     s = build_session("local[8]", "tests", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+        "mailsleuth.text.partitions": "8", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
