@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import new_folder
+from ..session import stored  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,14 +33,6 @@ def content_key(text: Column) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit("null"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and read again: later steps neither repeat the work nor depend on
-    executors that are gone."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 class Bloom:
     """Blocked Bloom filter as one array of 64-bit numbers. A block is four numbers; a key sets one bit in
     each, so that a probe touches one block. The array's size is set by the number of keys up to

@@ -28,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.components import components
 from .common import Bloom, content_key, stored
-from .components import components
 from .wordhash import WordHasher, mix, shingles, slices
 
 WIDTH, THRESHOLD, TREES, LONGEST, TARGET, BLOCK = 5, 0.8, 16, 8, 0.999, 256
