@@ -52,29 +52,29 @@ def window_shingles(windows: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def possible_places(docs: DataFrame, shingles: DataFrame, text: str, window: int) -> DataFrame:
-    """Stored rows of two kinds: one per document with null ``s``, and one per place whose shingle may be a window's,
-    with pos, s and the words around it, the first of which stands at ``from``. Columns of ``docs`` but the text stay."""
+    """Stored rows of two kinds: one per document with null ``_s``, and one per place whose shingle may be a window's,
+    with _pos, _s and the words around it, the first of which stands at ``_from``. Columns of ``docs`` but the text stay."""
     bloom = Bloom(shingles.select("s").distinct(), "s")
     widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())  # five numbers at most
     rows = docs.withColumns({"_key": content_key(F.col(text)), "_w": word_array(F.col(text))}).drop(text)
     rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("_w").cast("long"))
-    kind = "array<struct<pos:int,width:int,s:bigint>>"
+    kind = "array<struct<_pos:int,_width:int,_s:bigint>>"
 
     def places_of(k: int) -> Column:
-        place = lambda i: F.struct(i.alias("pos"), F.lit(k).alias("width"), shingle("_h", i, k).alias("s"))
+        place = lambda i: F.struct(i.alias("_pos"), F.lit(k).alias("_width"), shingle("_h", i, k).alias("_s"))
         return F.when(F.size("_h") >= k, F.transform(F.sequence(F.lit(0), F.size("_h") - k), place)).otherwise(F.array().cast(kind))
 
-    own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("long").alias("s"))).cast(kind)
-    every = rows.select("*", F.explode(F.concat(own, *[places_of(k) for k in widths])).alias("p")).select("*", "p.*").drop("p", "_h")
-    passed = every.where(F.col("s").isNull() | bloom.may_hold(F.col("s")))
-    low = F.greatest(F.col("pos") - (window - F.col("width")), F.lit(0))
-    around = F.slice("_w", low + 1, F.lit(2 * window) - F.col("width"))
-    return stored(passed.withColumns({"from": low, "words": around}).drop("_w", "width"), "decontaminate")
+    own = F.array(F.struct(F.lit(None).cast("int").alias("_pos"), F.lit(None).cast("int").alias("_width"), F.lit(None).cast("long").alias("_s"))).cast(kind)
+    every = rows.select("*", F.explode(F.concat(own, *[places_of(k) for k in widths])).alias("_p")).select("*", "_p.*").drop("_p", "_h")
+    passed = every.where(F.col("_s").isNull() | bloom.may_hold(F.col("_s")))
+    low = F.greatest(F.col("_pos") - (window - F.col("_width")), F.lit(0))
+    around = F.slice("_w", low + 1, F.lit(2 * window) - F.col("_width"))
+    return stored(passed.withColumns({"_from": low, "_words": around}).drop("_w", "_width"), "decontaminate")
 
 
 def occurrences(places: DataFrame, shingles: DataFrame) -> DataFrame:
     """_key, words, start, stop for every verified occurrence of a window; ``places`` as stored."""
-    spots = places.where(F.col("s").isNotNull()).select("_key", "n_words", "pos", "s", "from", "words")
+    spots = places.where(F.col("_s").isNotNull()).select("_key", "n_words", F.col("_pos").alias("pos"), F.col("_s").alias("s"), F.col("_from").alias("from"), F.col("_words").alias("words"))
     counts = spots.groupBy("s").agg(F.count("*").alias("n"))
     ranked = shingles.join(counts, "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = ranked.groupBy("words", "length").agg(F.min(F.struct("n", "s", "offset")).alias("r")).where(F.col("r.n") > 0)
@@ -97,7 +97,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
         (a["n"] + F.greatest(x["stop"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["stop"]).alias("upto")))
     found = per_text.select("_key", covered["n"].alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     # both sides of the join are plain scans, so that Spark can split the rows of a text with many copies
-    both = places.where(F.col("s").isNull()).drop("pos", "s", "from", "words").join(stored(found, "contaminated-spans"), "_key", "left")
+    both = places.where(F.col("_s").isNull()).drop("_pos", "_s", "_from", "_words").join(stored(found, "contaminated-spans"), "_key", "left")
     none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     both = both.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
     return both.withColumn("contaminated", F.col("n_hit") > 0)

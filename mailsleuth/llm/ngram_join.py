@@ -82,7 +82,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, trees: int,
 
 
 def similar(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
-    """Matrix of the links of a group: pairs at or over the threshold, of different sides if there are two."""
+    """Matrix of the links of a group: pairs at or over the threshold. Sides are 0 in the group of a block with
+    itself; in a group of two blocks, of which one may be empty, they are 1 and 2, and only pairs of both count."""
     n, size = len(sets), np.array([len(s) for s in sets], np.float64)
     everything, owner = np.concatenate(sets), np.repeat(np.arange(n), size.astype(np.int64))
     _, at, count = np.unique(everything, return_inverse=True, return_counts=True)
@@ -100,7 +101,7 @@ def similar(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.nd
         common += held @ held.T
     linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
     np.fill_diagonal(linked, False)
-    return linked & (side[:, None] != side[None, :]) if len(np.unique(side)) > 1 else linked
+    return linked & (side[:, None] != side[None, :]) if side.any() else linked
 
 
 def local_roots(linked: np.ndarray) -> np.ndarray:

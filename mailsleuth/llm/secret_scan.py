@@ -117,11 +117,11 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     return scored.select("doc_id", "nth", "start", F.char_length("value").alias("length"), "value", "score", (F.col("score") >= threshold).alias("secret"), "path", "_key")
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", path: str = "source", **options) -> DataFrame:
+def redact_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", **options) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a placeholder; no row goes. Only texts that a Bloom filter of
     texts with secrets lets through are joined; all others pass as they are."""
     kept = docs.columns
-    found = scan_secrets(docs, doc_id=kept[0], text=text, path=path, **options).where("secret")
+    found = scan_secrets(docs, doc_id=doc_id, text=text, path=path, **options).where("secret")
     per_text = stored(found.groupBy("_key", "path").agg(F.collect_set("nth").alias("_nth")), "secret-places")
     bloom = Bloom(per_text.select(F.xxhash64("_key", "path").alias("h")), "h")
     rows = docs.withColumns({"_key": content_key(F.col(text)), "_path": F.coalesce(F.col(path).cast("string"), F.lit(""))})
