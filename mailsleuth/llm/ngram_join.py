@@ -170,16 +170,17 @@ def candidate_groups(sets: DataFrame, threshold: float, block: int) -> DataFrame
     members = stored(met.select("set_id").distinct().join(roots, F.col("set_id") == F.col("v"), "left")
                      .select("set_id", F.coalesce("root", "set_id").alias("comp"))
                      .join(sets.select("set_id", "size", "rep", "copies"), "set_id"), "candidates")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("n"))
+    # small sides are stored, so that both sides of each join are plain scans and Spark can split a large component
+    sizes = stored(members.groupBy("comp").agg(F.count("*").alias("n")), "component-sizes")
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / threshold)))
-    dealt = members.join(sizes, "comp").withColumn("band", F.when(F.col("n") <= block, F.lit(0)).otherwise(band).cast("long"))
+    dealt = stored(members.join(sizes, "comp").withColumn("band", F.when(F.col("n") <= block, F.lit(0)).otherwise(band).cast("long")), "banded")
     bands = dealt.groupBy("comp", "band").agg(F.count("*").alias("m")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("m") * 2 / block)).cast("int"))
-    bands = bands.withColumn("parts", F.when(F.col("m") <= block, F.lit(1)).otherwise(F.col("parts")))
-    dealt = dealt.join(bands.select("comp", "band", "parts"), ["comp", "band"])
+    bands = stored(bands.withColumn("parts", F.when(F.col("m") <= block, F.lit(1)).otherwise(F.col("parts"))), "bands")
+    dealt = stored(dealt.join(bands.select("comp", "band", "parts"), ["comp", "band"]), "dealt")
     own = F.concat_ws(":", F.lpad(F.col("band").cast("string"), 4, "0"), F.lpad(F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("string"), 8, "0"))
     around = bands.select("comp", F.col("band").alias("other_band"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1).alias("near"))
     around = around.select("comp", F.explode("near").alias("band"), F.concat_ws(":", F.lpad(F.col("other_band").cast("string"), 4, "0"), F.lpad(F.col("part").cast("string"), 8, "0")).alias("other"))
-    groups = dealt.withColumn("own", own).join(around, ["comp", "band"])
+    groups = dealt.withColumn("own", own).join(stored(around, "block-pairs"), ["comp", "band"])
     return stored(groups.select("set_id", F.col("rep._id").alias("_id"), F.col("rep._key").alias("_key"), "copies", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                                 F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side")), "groups")
 
