@@ -37,9 +37,37 @@ def is_image(name: Column, mime: Column) -> Column:
 def safe_name(name: Column, fallback: Column) -> Column:
     """Base name on either separator, unsafe characters and '..' to '_', outer dots and blanks cut,
     at most 180 characters (170 of the stem and 10 of the suffix)."""
+    return _bounded(_cleaned(name), fallback)
+
+
+def named_parts(names: Column) -> Column:
+    """array<struct<n, s, ns, ss, parts>>: each name with its safe form, both suffixes and the safe form's pieces. The
+    steps hand over structs, so that no step's work is repeated by the next."""
+    first = F.transform(names, lambda n: F.struct(n.alias("n"), _cleaned(n).alias("t")))
+    safe = F.transform(first, lambda x: F.struct(x["n"].alias("n"), _bounded(x["t"], x["n"]).alias("s")))
+    return F.transform(safe, lambda x: F.struct(x["n"].alias("n"), x["s"].alias("s"), suffix(x["n"]).alias("ns"), suffix(x["s"]).alias("ss"), F.split(blank(x["s"]), r"\.").alias("parts")))
+
+
+def dangerous_part(x: Column) -> Column:
+    return x["ss"].isin(R.GATEWAY_DANGEROUS) | x["ns"].isin(R.GATEWAY_DANGEROUS)
+
+
+def inner_suffix(x: Column) -> Column:
+    """The piece before the last one, lower case; null if there are fewer than three pieces."""
+    return F.when(F.size(x["parts"]) > 2, F.lower(F.get(x["parts"], F.size(x["parts"]) - 2)))
+
+
+def double_part(x: Column) -> Column:
+    return F.coalesce(inner_suffix(x).isin(R.DOUBLE_EXT_INNER), F.lit(False))
+
+
+def _cleaned(name: Column) -> Column:
     base = F.regexp_extract(blank(name), r"([^/\\]*)$", 1)
     t = F.regexp_replace(base, r'[\x00-\x1f\x7f-\x9f<>:"/\\|?*]', "_")
-    t = F.regexp_replace(F.replace(t, F.lit(".."), F.lit("_")), r"^[. ]+|[. ]+$", "")
+    return F.regexp_replace(F.replace(t, F.lit(".."), F.lit("_")), r"^[. ]+|[. ]+$", "")
+
+
+def _bounded(t: Column, fallback: Column) -> Column:
     ext = F.regexp_extract(t, r"^.+(\.[^.]*)$", 1)
     stem = F.regexp_replace(t, r"(?<=.)\.[^.]*$", "")
     cut = F.concat(F.substring(stem, 1, 170), F.substring(ext, 1, 10))

@@ -79,15 +79,7 @@ def categories_hit(text: Column) -> Column:
         for name, _, kws in R.KEYWORD_CATEGORIES]))
 
 
-def lure_counts(text: Column) -> Column:
-    return F.struct(*[hit_count(text, terms).alias(key) for key, _, _, _, terms in R.LURES])
-
-
-def lure_points(counts: Column) -> Column:
-    return F.struct(*[F.least(F.lit(100), counts[key] * pts).alias(key) for key, pts, _, _, _ in R.LURES])
-
-
-def lure_score(points: Column) -> Column:
+def lure_score(points: dict[str, Column]) -> Column:
     total = F.lit(0.0)
     for key, _, weight, _, _ in R.LURES:
         total = total + points[key] * F.lit(weight)
@@ -101,7 +93,7 @@ def lure_level(score: Column, text: Column) -> Column:
     return level.otherwise("Low")
 
 
-def lure_tactics(points: Column) -> Column:
+def lure_tactics(points: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(points[key] > 0, F.lit(tactic)) for key, _, _, tactic, _ in R.LURES]))
 
 

@@ -106,12 +106,10 @@ def attachment_links(parts: DataFrame) -> DataFrame:
                      F.when(F.size("qr_urls") > 0, 45).otherwise(0).alias("quishing_score"))
 
 
-def attachment_penalty(names: Column, pdf_links: Column | None = None, image_links: Column | None = None) -> Column:
-    """Gateway attachment penalty of an array of original names; capped at 45."""
-    def one(n):
-        s = files.safe_name(n, n)
-        return F.when(files.is_dangerous(s, n), 35).otherwise(0) + F.when(files.has_double_suffix(s), 30).otherwise(0)
-    total = F.aggregate(names, F.lit(0), lambda a, n: a + one(n))
+def attachment_penalty(parts: Column, pdf_links: Column | None = None, image_links: Column | None = None) -> Column:
+    """Gateway attachment penalty of an array of ``named_parts``; capped at 45."""
+    one = lambda x: F.when(files.dangerous_part(x), 35).otherwise(0) + F.when(files.double_part(x), 30).otherwise(0)
+    total = F.aggregate(parts, F.lit(0), lambda a, x: a + one(x))
     for links, points in ((pdf_links, 15), (image_links, 35)):
         if links is not None:
             total = total + F.coalesce(links, F.lit(0)) * points

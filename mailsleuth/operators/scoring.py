@@ -18,10 +18,12 @@ def names_array(c: str = "attachment_names") -> Column:
 def text_lures(df: DataFrame, text: Column, prefix: str = "lure") -> DataFrame:
     """Add counts, points, score, level and tactics of the lure lists found in ``text``."""
     df = df.withColumn("_lt", F.lower(text))
-    df = df.withColumn("_pts", TX.lure_points(TX.lure_counts(F.col("_lt"))))
-    df = df.withColumn(f"{prefix}_score", TX.lure_score(F.col("_pts")))
-    return df.withColumns({f"{prefix}_points": F.col("_pts"), f"{prefix}_level": TX.lure_level(F.col(f"{prefix}_score"), F.col("_lt")),
-                           f"{prefix}_tactics": TX.lure_tactics(F.col("_pts"))}).drop("_lt", "_pts")
+    # flat columns: a struct of counts would be taken apart and counted again by every use
+    df = df.withColumns({f"_p_{key}": F.least(F.lit(100), TX.hit_count(F.col("_lt"), terms) * pts) for key, pts, _, _, terms in R.LURES})
+    points = {key: F.col(f"_p_{key}") for key, *_ in R.LURES}
+    df = df.withColumn(f"{prefix}_score", TX.lure_score(points))
+    return df.withColumns({f"{prefix}_points": F.struct(*[c.alias(key) for key, c in points.items()]), f"{prefix}_level": TX.lure_level(F.col(f"{prefix}_score"), F.col("_lt")),
+                           f"{prefix}_tactics": TX.lure_tactics(points)}).drop("_lt", *[f"_p_{key}" for key in points])
 
 
 def gateway_profile(messages: DataFrame, lure_text: str = "subject") -> DataFrame:
@@ -33,14 +35,16 @@ def gateway_profile(messages: DataFrame, lure_text: str = "subject") -> DataFram
     df = df.withColumn("_ct", TX.content_text(F.concat(F.col("subject"), F.lit("\n"), TX.blank("text_body"), F.lit("\n"), TX.blank("html_body"))))
     df = df.withColumns({"content_labels": TX.content_labels(F.col("_ct")), "_auth": H.auth_results(F.col("auth_first")),
                          "attachments": names_array()}).drop("_ct")
+    df = df.withColumns({**{p: F.col(f"_auth.{p}.status") for p in ("spf", "dkim", "dmarc")}, "_parts": files.named_parts(F.col("attachments"))})
     tail = lambda c: F.regexp_replace(F.lower(F.substring_index(c, "@", -1)), r"^[> ]+|[> ]+$", "")
-    rp, fd = tail(F.col("return_path")), tail(F.col("from_hdr"))
+    df = df.withColumns({"_rp": tail(F.col("return_path")), "_fd": tail(F.col("from_hdr"))})
+    rp, fd = F.col("_rp"), F.col("_fd")
     rp_apart = (F.col("return_path") != "") & (F.col("from_hdr") != "") & (rp != "") & (fd != "") & (rp != fd)
     header_texts = F.concat(F.transform("header_findings", lambda f: f["finding"]), F.array_compact(F.array(F.when(
         rp_apart, F.concat(F.lit("Return-Path domain ("), rp, F.lit(") mismatch with From domain ("), fd, F.lit(")"))))))
-    spf, dkim, dmarc = (F.col(f"_auth.{p}.status") for p in ("spf", "dkim", "dmarc"))
+    spf, dkim, dmarc = (F.col(p) for p in ("spf", "dkim", "dmarc"))
     df = df.withColumns({
-        "spf": spf, "dkim": dkim, "dmarc": dmarc, "_ht": header_texts,
+        "_ht": header_texts,
         "auth_penalty": F.when(spf.isin("FAIL", "SOFTFAIL"), 20).otherwise(0) + F.when(dkim == "FAIL", 20).otherwise(0) + F.when(dmarc == "FAIL", 25).otherwise(0),
         "_at": F.array_compact(F.array(
             F.when(spf.isin("FAIL", "SOFTFAIL"), F.concat(F.lit("SPF authentication status: "), spf)),
@@ -55,19 +59,17 @@ def gateway_profile(messages: DataFrame, lure_text: str = "subject") -> DataFram
             F.when(F.col("g_tld") != "", F.concat(F.lit("Sender domain uses suspicious TLD: "), F.col("g_tld"))))),
         "content_penalty": F.least(F.lit(40), F.floor(F.col("lure_score") / 2).cast("int") + F.size("content_labels") * 5),
         "_cc": F.transform("content_labels", lambda l: F.concat(F.lit("Content indicator detected: "), l)),
-        "_tt": attachment_texts(F.col("attachments")), "attachment_penalty": attachment_penalty(F.col("attachments"))})
+        "_tt": attachment_texts(F.col("_parts")), "attachment_penalty": attachment_penalty(F.col("_parts"))})
     df = df.withColumn("header_penalty", F.least(F.lit(35), F.size("_ht") * 12))
-    return df.withColumn("row_findings", F.concat("_ht", "_at", "_st", "_cc")).drop("_auth", "_ht", "_at", "_st", "_cc").withColumnRenamed("_tt", "attachment_findings")
+    return df.withColumn("row_findings", F.concat("_ht", "_at", "_st", "_cc")).drop("_auth", "_ht", "_at", "_st", "_cc", "_parts", "_rp", "_fd").withColumnRenamed("_tt", "attachment_findings")
 
 
-def attachment_texts(names: Column) -> Column:
-    def one(n):
-        s = files.safe_name(n, n)
-        return F.array_compact(F.array(
-            F.when(files.is_dangerous(s, n), F.concat(F.lit("Attachment '"), s, F.lit("' has executable/dangerous extension ("), files.suffix(s), F.lit(")"))),
-            F.when(files.has_double_suffix(s), F.concat(F.lit("Attachment '"), s, F.lit("' uses double extension deception (."),
-                                                        F.lower(F.get(F.split(s, r"\."), F.size(F.split(s, r"\.")) - 2)), files.suffix(s), F.lit(")")))))
-    return F.flatten(F.transform(names, one))
+def attachment_texts(parts: Column) -> Column:
+    """Findings of an array of ``named_parts``."""
+    one = lambda x: F.array_compact(F.array(
+        F.when(files.dangerous_part(x), F.concat(F.lit("Attachment '"), x["s"], F.lit("' has executable/dangerous extension ("), x["ss"], F.lit(")"))),
+        F.when(files.double_part(x), F.concat(F.lit("Attachment '"), x["s"], F.lit("' uses double extension deception (."), files.inner_suffix(x), x["ss"], F.lit(")")))))
+    return F.flatten(F.transform(parts, one))
 
 
 PENALTIES = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "url_penalty", "attachment_penalty"]

@@ -353,7 +353,7 @@ def a08_message_url_penalty(v):
 @query
 def a09_attachment_penalty(v):
     m = v.messages.withColumn("attachments", scoring.names_array())
-    return m.select("message_id", ingest.attachment_penalty(F.col("attachments")).cast("bigint").alias("attachment_penalty"), joined(scoring.attachment_texts(F.col("attachments"))).alias("findings"))
+    return m.select("message_id", ingest.attachment_penalty(files.named_parts(F.col("attachments"))).cast("bigint").alias("attachment_penalty"), joined(scoring.attachment_texts(files.named_parts(F.col("attachments")))).alias("findings"))
 
 
 def profile(v: Views) -> DataFrame:
