@@ -92,7 +92,7 @@ def template_matches(rows: DataFrame, templates: DataFrame) -> DataFrame:
     prefix = (templates.join(frequency, "word", "left").withColumn("place", F.row_number().over(order))
               .where(F.col("place") <= F.col("size") - F.col("needed") + 1))
     blocks = rows.select("_key", F.explode("_blocks").alias("block")).select("_key", "block", F.explode("block").alias("word"))
-    met = blocks.join(prefix, "word")
+    met = blocks.join(F.broadcast(prefix), "word")  # a row per template word at most: the templates are a parameter
     met = met.where((F.size("block") >= F.col("needed")) & (F.col("size") - F.col("place") + 1 >= F.col("needed")))
     common = F.size(F.array_intersect("words", "block"))
     return met.where(common >= F.col("needed")).groupBy("_key", "label").agg(F.max(common / F.col("size")).alias("score"))
