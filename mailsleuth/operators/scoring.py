@@ -29,10 +29,12 @@ def text_lures(df: DataFrame, text: Column, prefix: str = "lure") -> DataFrame:
 def gateway_profile(messages: DataFrame, lure_text: str = "subject") -> DataFrame:
     """Every gateway penalty except the URLs, row-local. ``lure_text`` is ``subject`` (as the gateway
     scores) or ``full`` (subject and body)."""
-    df = H.sender_penalty_parts(H.header_profile(messages))
+    # both Python stages come first: above them the plan is plain columns, which the optimizer handles in seconds
+    df = H.with_headers(messages)
+    df = df.withColumn("_ct", TX.content_text(F.concat(F.col("subject"), F.lit("\n"), TX.blank("text_body"), F.lit("\n"), TX.blank("html_body"))))
+    df = H.sender_penalty_parts(H.header_profile(df, raw=None))
     lure = F.concat(F.col("subject"), F.lit(" "), TX.blank("text_body") if lure_text == "full" else F.lit(""))
     df = text_lures(df, lure)
-    df = df.withColumn("_ct", TX.content_text(F.concat(F.col("subject"), F.lit("\n"), TX.blank("text_body"), F.lit("\n"), TX.blank("html_body"))))
     df = df.withColumns({"content_labels": TX.content_labels(F.col("_ct")), "_auth": H.auth_results(F.col("auth_first")),
                          "attachments": names_array()}).drop("_ct")
     df = df.withColumns({**{p: F.col(f"_auth.{p}.status") for p in ("spf", "dkim", "dmarc")}, "_parts": files.named_parts(F.col("attachments"))})
@@ -78,12 +80,11 @@ PENALTIES = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalt
 def gateway_scores(messages: DataFrame, redirect_summary: DataFrame | None = None, lure_text: str = "subject", max_urls: int | None = None) -> DataFrame:
     """One row per row of ``messages``, also where ids repeat: the six penalties, score, severity,
     recommendation, policy decision. ``max_urls`` None scores all URLs of a mail."""
-    df = gateway_profile(messages, lure_text)
+    df = gateway_profile(messages.withColumn("_urls", gateway_urls(F.col("text_body"), F.col("html_body"))), lure_text)
     keep = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "attachment_penalty", "spf", "dkim", "dmarc",
             "row_findings", "attachment_findings", "header_security_score", "lure_score", "g_from_domain", "subject", "from_hdr"]
     extra = [c for c in ("received_at", "doc_id", "user_email") if c in messages.columns]
-    urls = gateway_urls(F.col("text_body"), F.col("html_body"))
-    df = df.select("message_id", F.monotonically_increasing_id().alias("_row"), F.struct(*keep, *extra).alias("m"), urls.alias("_urls"))
+    df = df.select("message_id", F.monotonically_increasing_id().alias("_row"), F.struct(*keep, *extra).alias("m"), "_urls")
     urls = F.col("_urls")
     df = df.select("message_id", "_row", "m", F.posexplode_outer(urls if max_urls is None else F.slice(urls, 1, max_urls)).alias("pos", "url"))
     if redirect_summary is not None:
