@@ -20,13 +20,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # stored: then both sides of the joins are plain scans, and Spark can split a vertex with many neighbours
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         # every larger neighbour goes to the smallest vertex around
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         large = stored(large, name)
         # every smaller neighbour, and the vertex itself, goes to the smallest of them
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
         edges = stored(large.join(small, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
                        .select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), name)
         after = _state(edges)
