@@ -21,6 +21,19 @@ def inlist(items) -> str:
     return "(" + ", ".join(q(i) for i in items) + ")"
 
 
+def matching_phrase(phrase: str) -> str:
+    """A rule phrase as the texts are compared: look-alike digits as letters, signs as blanks, single letters that
+    stand in a row joined to one word."""
+    letters = dict(zip(R.LEET_FROM, R.LEET_TO, strict=True))
+    plain = "".join(letters.get(c, c) for c in phrase.lower())
+    words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in plain).split()
+    out: list[str] = []
+    for i, w in enumerate(words):
+        join = i > 0 and len(w) == 1 and len(words[i - 1]) == 1
+        out = [*out[:-1], out[-1] + w] if join else [*out, w]
+    return " ".join(out)
+
+
 def view(name: str, alias: str | None = None) -> str:
     return f"{alias or name + '_v'} AS ({view_sql(name)})"
 
