@@ -51,8 +51,8 @@ def seats(units: DataFrame, group: list[str], name: str) -> DataFrame:
     ``total`` of votes, ``n_units`` and ``n_seats``. Seats that any outcome gives are counted at once, those that
     depend on the last quotient are listed and ranked. Adds the column ``name``."""
     half = F.col("n_units") / 2.0
-    sure = F.when(F.col("n_seats") > half, F.floor(F.col("votes") * (F.col("n_seats") - half) / F.col("total") + 0.5) - 1).otherwise(0)
-    may = F.floor(F.col("votes") * (F.col("n_seats") + half) / F.col("total") + 0.5) + 1
+    sure = F.when(F.col("n_seats") > half, F.floor(F.try_divide(F.col("votes") * (F.col("n_seats") - half), F.col("total")) + 0.5) - 1).otherwise(0)
+    may = F.floor(F.try_divide(F.col("votes") * (F.col("n_seats") + half), F.col("total")) + 0.5) + 1
     rows = units.withColumns({"sure": F.least("most", F.greatest(F.lit(0), F.coalesce(sure, F.lit(0)))).cast("long"),
                               "may": F.least("most", F.greatest(F.lit(0), F.coalesce(may, F.lit(0)))).cast("long")})
     whole = W.partitionBy(*[F.col(g) for g in group]) if group else W.partitionBy(F.lit(0))
@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = W
     shards = (shards.withColumn("blocks", F.ceil(F.col("words") / block_tokens))
               .withColumns({"votes": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0), "most": F.col("blocks") * repeat})
               .withColumn("unit", F.concat_ws(":", F.lpad(F.col("shard").cast("string"), 12, "0"), "skey")))
-    per_source = shards.groupBy("skey").agg((F.first("target") / F.first("source_size") * F.sum("blocks")).alias("votes"), F.sum("most").alias("most"), F.count("*").alias("n_shards"))
+    per_source = shards.groupBy("skey").agg((F.try_divide(F.first("target"), F.first("source_size")) * F.sum("blocks")).alias("votes"), F.sum("most").alias("most"), F.count("*").alias("n_shards"))
     per_source = per_source.select("skey", F.col("skey").alias("unit"), F.coalesce("votes", F.lit(0.0)).alias("votes"), "most", "n_shards")
     every = W.partitionBy(F.lit(0))
     per_source = per_source.withColumns({"total": F.sum("votes").over(every.orderBy("skey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "n_units": F.count("*").over(every)})
