@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of ``LEAST`` or more key-like signs. Its features are its length, shares of digits, capitals and
+A candidate is a run of ``LEAST`` or more key-like signs, with ``=`` as padding at its end only, so that the name of an
+unspaced assignment is no part of it; in quotes, a run without white space of any other signs too. Where a secret's name
+is assigned, ``SHORT`` signs are enough, and between quotes all up to the closing one count. Its features are its length, shares of digits, capitals and
 signs, changes between kinds of characters and between vowels and consonants, entropy, the share of it that common
 words cover, the path of its document, and the words around it (whether it is assigned or quoted, whether a word for
 secrets or for samples stands before it).
@@ -25,13 +27,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import LOWER, UPPER, Bloom, content_key, stored
 
-LEAST, BEFORE, AFTER = 16, 60, 24
-SIGNS = r"A-Za-z0-9+/_=.\-"
-CANDIDATE = rf"(?<![{SIGNS}])[{SIGNS}]{{{LEAST},}}+"
+LEAST, SHORT, BEFORE, AFTER = 16, 8, 60, 24
+SIGNS = r"A-Za-z0-9+/_.\-"
 SECRET_WORDS = "token|secret|passwd|password|pwd|api_?key|access_?key|private_?key|auth|bearer|credential"
 SAMPLE_WORDS = "example|sample|dummy|fake|test|placeholder|changeme|your"
 COMMON_WORDS = ("the|and|for|with|that|this|from|have|not|are|was|you|your|all|any|can|one|out|use|new|key|name|value|data|file|path|test|user|example|"
                 "sample|config|default|string|number|index|list|table|page|home|mail|host|server|client|http|https|www|com|org|net")
+# a secret's name and an assignment stand before; the cheap looks back come first
+PADDING = rf"(?:={{1,2}}(?![{SIGNS}=\"']))?"
+NAMED = rf"(?<=[=:>\s\"'])(?<=[=:>]\s{{0,4}}[\"']?)(?<=(?i:{SECRET_WORDS})[\w\-]{{0,16}}[\"']?\s{{0,4}}[=:>]{{1,2}}\s{{0,4}}[\"']?)"
+CANDIDATE = "|".join([
+    rf"(?<=\"){NAMED}[^\"\r\n]{{{SHORT},}}+(?=\")", rf"(?<='){NAMED}[^'\r\n]{{{SHORT},}}+(?=')",
+    rf"(?<=\")[^\s\"]{{{LEAST},}}+(?=\")", rf"(?<=')[^\s']{{{LEAST},}}+(?=')",
+    rf"(?<![{SIGNS}]){NAMED}[{SIGNS}!@#$%^&*?~]{{{SHORT},}}+{PADDING}",
+    rf"(?<![{SIGNS}])[{SIGNS}]{{{LEAST},}}+{PADDING}"])
 FEATURES = ["f_length", "f_digits", "f_upper", "f_signs", "f_changes", "f_vowel_runs", "f_distinct", "f_entropy", "f_dictionary",
             "f_path_depth", "f_path_sample", "f_named", "f_sample", "f_assigned", "f_quoted", "f_words_before"]
 PLACEHOLDER = "[SECRET]"
@@ -43,13 +52,19 @@ def split_text(text: Column) -> tuple[Column, Column]:
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
-    """Stored: _row, _key, doc_id, path, nth, value, gap (characters before it since the last one), before, after."""
+    """Stored: _row, _key, doc_id, path, nth, value, gap (characters before it since the last one), before and after (of the
+    whole text)."""
     found, pieces = split_text(F.col("_t"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("_t")).where(F.col("_t").rlike(CANDIDATE))
     rows = rows.select("doc_id", "path", content_key(F.col("_t")).alias("_key"), F.monotonically_increasing_id().alias("_row"), found.alias("_found"), pieces.alias("_pieces"))
     each = rows.select("*", F.posexplode("_found").alias("nth", "value"))
-    gap, rest = F.get("_pieces", F.col("nth")), F.get("_pieces", F.col("nth") + 1)
-    return stored(each.select("_row", "_key", "doc_id", "path", "nth", "value", F.char_length(gap).alias("gap"), F.right(gap, F.lit(BEFORE)).alias("before"), F.left(rest, F.lit(AFTER)).alias("after")), "secret-candidates")
+    gap = F.get("_pieces", F.col("nth"))
+    # each candidate has SHORT signs or more, so this many neighbours fill what is looked at of the whole text
+    part = lambda array, k, cut, n: F.coalesce(cut(F.get(array, F.col("nth") + k), F.lit(n)), F.lit(""))
+    before = [part(a, -k, F.right, BEFORE) for k in range(BEFORE // SHORT + 1, 0, -1) for a in ("_pieces", "_found")]
+    after = [part(a, k, F.left, AFTER) for k in range(1, AFTER // SHORT + 2) for a in ("_pieces", "_found")]
+    return stored(each.select("_row", "_key", "doc_id", "path", "nth", "value", F.char_length(gap).alias("gap"), F.right(F.concat(*before, F.right(gap, F.lit(BEFORE))), F.lit(BEFORE)).alias("before"),
+                              F.left(F.concat(*after), F.lit(AFTER)).alias("after")), "secret-candidates")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -67,7 +82,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "f_length": n, "f_digits": share("[0-9]"), "f_upper": share("[A-Z]"), "f_signs": share("[^A-Za-z0-9]"), "f_changes": runs(kinds) / n, "f_vowel_runs": runs(sounds) / n,
         "f_distinct": F.size(F.array_distinct("_c")).cast("double"), "f_entropy": bits, "f_dictionary": 1 - F.char_length(F.regexp_replace(low, COMMON_WORDS, "")) / n,
         "f_path_depth": F.size(F.split(path, "/")).cast("double"), "f_path_sample": flag(path.rlike(SAMPLE_WORDS)),
-        "f_named": flag(before.rlike(rf"({SECRET_WORDS})\W*$")), "f_sample": flag(before.rlike(SAMPLE_WORDS)),
+        "f_named": flag(before.rlike(rf"({SECRET_WORDS})[\w\-]{{0,16}}\W*$")), "f_sample": flag(before.rlike(SAMPLE_WORDS)),
         "f_assigned": flag(before.rlike(r"[=:]\s*[\"']?$")), "f_quoted": flag(before.rlike("[\"']$") & F.col("after").rlike("^[\"']")),
         "f_words_before": F.size(F.split(before, r"\W+")).cast("double")})
     return out.drop("_c")
@@ -75,10 +90,12 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def seed_labels() -> Column:
     """1 or 0 for the clear cases, else null."""
-    mixed = (F.col("f_digits") > 0.1) & (F.col("f_digits") < 0.9) & (F.col("f_entropy") > 3.0)
+    # a short value cannot have 3 bits a sign; it must come near what its length allows
+    mixed = (F.col("f_digits") > 0.1) & (F.col("f_digits") < 0.9) & (F.col("f_entropy") > F.least(F.lit(3.0), 0.85 * F.log2("f_length")))
+    named = (F.col("f_named") == 1) & (F.col("f_assigned") == 1) & (F.col("f_sample") == 0)
     address = F.col("value").rlike(r"^[0-9.]+$") | F.col("before").endswith("@") | F.col("after").startswith("@") | F.col("value").rlike(r"^[A-Za-z0-9\-]+(\.[a-z0-9\-]+)*\.[a-z]{2,6}$")
-    return (F.when((F.col("f_named") == 1) & (F.col("f_assigned") == 1) & mixed & (F.col("f_sample") == 0), 1.0)
-            .when((F.col("f_digits") == 0) | (F.col("f_digits") == 1) | address, 0.0))
+    plain = (F.col("f_digits") == 0) | (F.col("f_digits") == 1)
+    return F.when(named & mixed, 1.0).when((plain & ~(named & (F.col("f_signs") + F.col("f_upper") > 0))) | address, 0.0)
 
 
 def fit_forest(labelled: DataFrame, train_findings: int, trees: int, depth: int, seed: int):
