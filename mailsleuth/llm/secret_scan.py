@@ -14,7 +14,7 @@ forest decides the rest.
 
 Defined results: a null or empty text has no candidates; a null path counts as an empty one; repeated rows have their
 findings each; equal candidates of a text are findings each, told apart by ``nth``; if the labels lack one of both
-kinds, the seed label itself is the score (0.5 where there is none); an empty table gives no findings; further columns
+kinds, the seed label itself is the score (0 where there is none: without a forest, only clear cases are secrets); an empty table gives no findings; further columns
 are not read by ``scan_secrets`` and stay as they are in ``redact_secrets``.
 """
 
@@ -127,7 +127,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     labelled = rows.withColumn("label", seed_labels()) if labels is None else rows.join(labels.select("doc_id", "nth", F.col("label").cast("double").alias("label")), ["doc_id", "nth"])
     forest = fit_forest(labelled, train_findings, trees, depth, seed)
     if forest is None:
-        scored = rows.withColumn("score", F.coalesce(seed_labels(), F.lit(0.5)))
+        scored = rows.withColumn("score", F.coalesce(seed_labels(), F.lit(0.0)))
     else:
         judged = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
         scored = judged.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))

@@ -24,3 +24,9 @@ def test_usual_forms_of_secrets_are_found(spark, context):
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(table(spark, texts + rest)).collect()}
     assert [clean[i] for i in range(len(forms))] == [f.format(secret_scan.PLACEHOLDER) for f in forms]
     assert all(clean[len(forms) + i] == t for i, t in enumerate(rest))
+
+
+def test_without_seeded_secrets_clean_texts_stay(spark):
+    texts = ["see http://host.example.net/en/7817/page-2024 today", "/var/log/app-2024/01/02/x9.log", "id 123e4567-e89b-12d3-a456-426614174000 done", "md5 9e107d9d372bb6826bd81d3542a419d6 ok"]
+    assert secret_scan.scan_secrets(table(spark, texts)).where("secret").collect() == []
+    assert sorted(r["text"] for r in secret_scan.redact_secrets(table(spark, texts)).collect()) == sorted(texts)
