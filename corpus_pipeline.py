@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet to the shared folder and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. The first four return the
-columns of ``documents``; the last returns how much of every kept document the mix takes.
+columns of ``documents``; the last returns of every kept document how much the mix takes, which runs of words, and its
+mixed text, which is empty where nothing is taken.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words the mix takes of every document."""
-    return source_mix.mix_sources(docs)
+    """Words the mix takes of every document, and its text in the mix."""
+    return source_mix.mix_sources(docs, with_text=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("secrets", secrets), ("mix", mix)]

@@ -87,18 +87,18 @@ def occurrences(places: DataFrame, shingles: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, width: int = WIDTH) -> DataFrame:
     """``docs`` without the text column, with ``_key`` (digest of the text), n_words, n_hit, n_items,
-    items_sha256 and contaminated."""
+    items_sha256, contaminated and ``spans`` (start and stop of every run of words that is a window, from 0, in order)."""
     windows = stored(item_windows(items, window), "item-windows")
     shingles = stored(window_shingles(windows, width), "item-shingles")
-    places = possible_places(docs.drop(*RESULTS), shingles, text, window)
+    places = possible_places(docs.drop(*RESULTS, "spans"), shingles, text, window)
     hits = occurrences(places, shingles).join(windows, "words")
     per_text = hits.groupBy("_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("ids"))
     covered = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")), lambda a, x: F.struct(
         (a["n"] + F.greatest(x["stop"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["stop"]).alias("upto")))
-    found = per_text.select("_key", covered["n"].alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    found = per_text.select("_key", covered["n"].alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), F.array_sort("spans").alias("spans"))
     # both sides of the join are plain scans, so that Spark can split the rows of a text with many copies
     both = places.where(F.col("_s").isNull()).drop("_pos", "_s", "_from", "_words").join(stored(found, "contaminated-spans"), "_key", "left")
-    none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
+    none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256), "spans": F.array().cast("array<struct<start:int,stop:int>>")}
     both = both.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
     return both.withColumn("contaminated", F.col("n_hit") > 0)
 

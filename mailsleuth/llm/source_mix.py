@@ -10,9 +10,11 @@
 4. In a shard with n blocks and q seats every block is taken q div n times and q mod n of them once more, evenly
    from a seeded start. That makes the words taken before any place of the stream a closed expression, so no
    block is ever a row.
+5. The same expression gives every document its ``spans``: the parts of the stream's blocks that lie in it, as runs of its
+   words (from 0, ``stop`` excluded) and how often each is taken. ``mixed_text`` makes the mix's text of them.
 
 Every number follows from ids, sizes and the seed, so reruns agree. Defined results: a null text has size 0 and
-takes nothing; a null source is a source of its own; repeated rows are documents of their own; null ids are
+takes nothing; a document of which nothing is taken has no spans and the empty text; a null source is a source of its own; repeated rows are documents of their own; null ids are
 allowed; an empty table gives no rows; further columns are not read.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import ascii_words
 
 WEIGHTS = (3, 1, 2)
+SPACE = r"\x20\x09-\x0D"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, repeat: int = 2) -> DataFrame:
@@ -70,9 +73,12 @@ def digest_number(*parts: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, repeat: int = 2,
-                block_tokens: int = 64, shard_docs: int = 1024, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, quota (seats of the document's shard), taken."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), ascii_words(F.col(text)).alias("size"))
+                block_tokens: int = 64, shard_docs: int = 1024, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+                with_text: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, quota (seats of the document's shard), taken, spans (start, stop,
+    times); ``with_text`` adds the mixed text of every document."""
+    own = [F.col(text).alias("_text")] if with_text else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), ascii_words(F.col(text)).alias("size"), *own)
     rows = rows.withColumn("skey", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))))
     sizes = rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sources = source_targets(sizes, weights, budget, repeat)
@@ -95,8 +101,33 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = W
     quotas = quotas.select("skey", "shard", "blocks", "quota", (digest_number(F.lit(seed), F.lit("start"), F.col("unit")) % F.greatest("blocks", F.lit(1))).alias("start"))
     stream = W.partitionBy("skey", "shard").orderBy("turn", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = dealt.withColumn("upto", F.sum("size").over(stream)).join(quotas, ["skey", "shard"])
-    return placed.select("doc_id", "source", "size", "source_size", "target", "quota",
-                         F.expr(_taken_before("upto", block_tokens) + " - " + _taken_before("(upto - size)", block_tokens)).cast("long").alias("taken"))
+    taken = F.expr(_taken_before("upto", block_tokens) + " - " + _taken_before("(upto - size)", block_tokens)).cast("long")
+    out = placed.select("doc_id", "source", "size", "source_size", "target", "quota", taken.alias("taken"), taken_spans(block_tokens).alias("spans"), *(["_text"] if with_text else []))
+    return out.withColumn("text", mixed_text(F.col("_text"), F.col("spans"))).drop("_text") if with_text else out
+
+
+def taken_spans(block: int) -> Column:
+    """start, stop, times of every part of a block in a document that ends at ``upto``; only those that are taken."""
+    n, begin = F.greatest("blocks", F.lit(1)), F.col("upto") - F.col("size")
+    div = lambda a, b: F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+    count = lambda j: div(j * (F.col("quota") % n) + F.col("start"), n)
+
+    def part(j: Column) -> Column:
+        return F.struct((F.greatest(j * block, begin) - begin).cast("long").alias("start"), (F.least((j + 1) * block, F.col("upto")) - begin).cast("long").alias("stop"),
+                        (div(F.col("quota"), n) + count(j + 1) - count(j)).cast("long").alias("times"))
+
+    blocks = F.sequence(div(begin, block), div(F.col("upto") - 1, block))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint,times:bigint>>")
+    return F.when(F.col("size") > 0, F.filter(F.transform(blocks, part), lambda s: s["times"] > 0)).otherwise(none)
+
+
+def mixed_text(text: Column, spans: Column) -> Column:
+    """The words of the spans in order, each span as often as it is taken, with the white space that follows each word."""
+    whole = F.concat(F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+", ""), F.lit(" "))
+    words = F.split(whole, f"(?<=[{SPACE}])(?=[^{SPACE}])")
+    # the outer transform binds the words, so that they are split once and not for every span
+    parts = F.flatten(F.transform(F.array(words), lambda w: F.transform(spans, lambda s: F.repeat(F.array_join(F.slice(w, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")), ""), s["times"].cast("int")))))
+    return F.regexp_replace(F.array_join(parts, ""), f"[{SPACE}]+$", "")
 
 
 def _taken_before(x: str, block: int) -> str:

@@ -1,9 +1,11 @@
 """Findings of the review: each test failed before its change."""
 
+import re
+
 import pytest
-from pyspark.sql import functions as F
 
-from mailsleuth.llm import secret_scan
+import corpus_pipeline
+from mailsleuth.llm import decontaminate, secret_scan
 
 SF_DIR = "/root/testdata/sf0.001"
 KEY = "9f3cAb12Zk77Qw0pLx5T"
@@ -30,3 +32,28 @@ def test_without_seeded_secrets_clean_texts_stay(spark):
     texts = ["see http://host.example.net/en/7817/page-2024 today", "/var/log/app-2024/01/02/x9.log", "id 123e4567-e89b-12d3-a456-426614174000 done", "md5 9e107d9d372bb6826bd81d3542a419d6 ok"]
     assert secret_scan.scan_secrets(table(spark, texts)).where("secret").collect() == []
     assert sorted(r["text"] for r in secret_scan.redact_secrets(table(spark, texts)).collect()) == sorted(texts)
+
+
+def test_mix_gives_its_word_ranges_and_text(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    odd = [(9001, "  one\n two  ", "en", "src", 1), (9002, None, "en", "src", 0), (9003, " \t", "en", "src", 2)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    got = corpus_pipeline.mix(spark, docs, SF_DIR).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        w = split(texts[r["doc_id"]])
+        assert sum((s["stop"] - s["start"]) * s["times"] for s in r["spans"]) == r["taken"] and len(r["spans"]) <= len(w) / 64 + 2
+        want = [x for s in r["spans"] for _ in range(s["times"]) for x in w[s["start"]:s["stop"]]]
+        assert split(r["text"]) == want and len(want) == r["taken"]
+    assert any(r["taken"] not in (0, r["size"]) for r in got)
+    whole = [r for r in got if r["taken"] == r["size"] > 0 and all(s["times"] == 1 for s in r["spans"])]
+    assert all(r["text"] == texts[r["doc_id"]].strip(" \t\n\r\x0b\x0c") for r in whole)
+
+
+def test_leaks_keep_their_spans(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    docs = spark.createDataFrame([(1, f"x {passage} y", "s"), (2, "none", "s"), (3, None, "s")], "doc_id long, text string, spans string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert got == {1: [(1, 11), (2, 12)], 2: [], 3: []}
