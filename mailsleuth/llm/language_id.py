@@ -6,8 +6,10 @@ prototype the sum over its texts' vectors, each scaled to its number of trigrams
 prototype has the largest cosine with its vector. Letters are lower-cased; every run of other characters is one
 blank, so that word ends are part of the trigrams.
 
-Prototypes are learnt from text and language alone, of at most about ``train_docs`` documents drawn by a digest
-of their id (a documented bound); prediction sees the text only. Defined results: null or letterless text is
+Prototypes are learnt from text and language alone, of about ``train_docs`` documents drawn by a digest of id and text (a
+documented bound): every language has an equal share of the places, ``LEAST_DOCS`` at least, and a language with fewer
+documents is learnt whole, so each known language has its prototype at every size of the table. Rows of equal id, text
+and language are learnt once. Prediction sees the text only. Defined results: null or letterless text is
 ``und`` with score 0; with nothing to learn from every text is ``und``; a null id is never learnt from and not held
 out; repeated rows are predicted each; ties go to the language that sorts first; an empty table gives no rows;
 further columns are not read.
@@ -15,6 +17,7 @@ further columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,7 @@ DIMENSIONS, SEED, NONE = 1024, 20240101, "und"
 BLANK = 32
 SLICE_CHARS = 1 << 20
 MAX_TRIGRAMS = 24_000
+LEAST_DOCS = 200
 
 
 class Trigrams:
@@ -127,8 +131,12 @@ def learn(docs: DataFrame, train_docs: int = 20_000, dimensions: int = DIMENSION
     """Languages and their prototypes. ``docs``: doc_id, text, lang. What comes to the driver is one vector per
     language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 0)).select("doc_id", "text", "lang")
-    share = min(1.0, train_docs / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "lang")
+    known = known.withColumn("_d", F.xxhash64("doc_id", "text"))
+    counts = known.select("lang", "_d").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(F.pmod("_d", F.lit(1 << 30))).alias("first")).collect()
+    places = max(LEAST_DOCS, train_docs // max(1, len(counts)))
+    # the first of each language is always drawn, the others by their digest
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], max(r["first"] + 1, math.ceil(min(1.0, places / r["n"]) * (1 << 30)))) for r in counts], "lang string, bound long")
+    drawn = known.join(F.broadcast(bounds), "lang").where(F.pmod("_d", F.lit(1 << 30)) < F.col("bound")).dropDuplicates(["lang", "_d"]).select("text", "lang")
 
     def bundle(batches):
         trigrams, sums = Trigrams(dimensions), {}
@@ -145,7 +153,7 @@ def learn(docs: DataFrame, train_docs: int = 20_000, dimensions: int = DIMENSION
 
     sums = drawn.mapInArrow(bundle, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
     rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v")).orderBy("lang").collect()
-    vectors = np.array([[x["value"] for x in r["v"]] for r in rows], np.float32).reshape(len(rows), -1)
+    vectors = np.array([[x["value"] for x in r["v"]] for r in rows], np.float32).reshape(len(rows), dimensions)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return [r["lang"] for r in rows], vectors / np.where(norms > 0, norms, 1) if len(rows) else np.zeros((0, dimensions), np.float32)
 

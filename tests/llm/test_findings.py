@@ -5,7 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from mailsleuth.llm import decontaminate, secret_scan
+from mailsleuth.llm import decontaminate, language_id, secret_scan
 
 SF_DIR = "/root/testdata/sf0.001"
 KEY = "9f3cAb12Zk77Qw0pLx5T"
@@ -57,3 +57,12 @@ def test_leaks_keep_their_spans(spark):
     docs = spark.createDataFrame([(1, f"x {passage} y", "s"), (2, "none", "s"), (3, None, "s")], "doc_id long, text string, spans string")
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
     assert got == {1: [(1, 11), (2, 12)], 2: [], 3: []}
+
+
+def test_rare_languages_are_learnt_at_every_size(spark):
+    rows = [(i, f"der hund und die katze {i}", "de") for i in range(2000)] + [(3000 + i, "zażółć gęślą jaźń", "pl") for i in range(3)]
+    rows += [(4001, "one row many times", "en")] * 500  # equal ids, all or none of which a draw by id would take
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, _ = language_id.learn(docs, train_docs=30)
+    assert names == ["de", "en", "pl"]
+    assert language_id.learn(docs.limit(0))[0] == []
