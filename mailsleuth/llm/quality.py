@@ -5,7 +5,7 @@ and pairs of neighbouring runs. A pair's hash comes from the difference of its p
 itself is one feature whatever the word. Values are 1 + log of the count, scaled to length 1.
 
 The model is fitted on at most ``train_docs`` labelled documents, first by a digest of their id (a documented
-bound), in one task; every document is then scored in place as a sparse dot product. Defined results: null and
+bound), in one task; rows of one id and text are one document there, and the bound holds for what is joined; every document is then scored in place as a sparse dot product. Defined results: null and
 empty texts get the score of the bias alone; null labels and null ids are not learnt from, and a null id is not held
 out; a document with several labels is learnt once per label; without any label the score is 0.5; an empty table
 gives no rows; further columns are not read.
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import content_key
 from .language_id import remainder
 from .wordhash import WordHasher, mix, slices
 
@@ -77,8 +78,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 8_000) -> np.nda
     drawn = (labels.where(F.col("quality").isNotNull() & (remainder(F.col("doc_id")) != 0))
              .select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
              .orderBy(F.xxhash64("_id", F.lit(7)), "_id", "label").limit(train_docs))
-    text = docs.select(F.col("doc_id").alias("_id"), "text")
-    rows = text.join(F.broadcast(drawn), "_id")  # at most train_docs pairs of numbers
+    text = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(drawn.select("_id")), "_id", "left_semi")
+    text = text.withColumn("_t", content_key(F.col("text"))).dropDuplicates(["_id", "_t"])
+    rows = text.join(F.broadcast(drawn), "_id").select("_id", "label", "text")  # at most train_docs pairs of numbers
 
     def encode(batches):
         features = Features()
@@ -96,7 +98,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 8_000) -> np.nda
 
     encoded = rows.mapInArrow(encode, "id long, label int, at binary, value binary")
     order = (F.xxhash64("id", F.lit(11)), "id", "label", "at")
-    got = encoded.repartition(1).sortWithinPartitions(*order).mapInArrow(train, "weights binary").collect()
+    # an id with many texts has more rows than labels; the bound comes before they meet in one task
+    bounded = encoded.orderBy(F.xxhash64("id", "at", "value"), "id", "label", "at").limit(train_docs)
+    got = bounded.repartition(1).sortWithinPartitions(*order).mapInArrow(train, "weights binary").collect()
     return np.frombuffer(got[0]["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 

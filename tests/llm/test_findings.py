@@ -5,7 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from mailsleuth.llm import decontaminate, language_id, secret_scan
+from mailsleuth.llm import decontaminate, language_id, quality, secret_scan
 
 SF_DIR = "/root/testdata/sf0.001"
 KEY = "9f3cAb12Zk77Qw0pLx5T"
@@ -66,3 +66,19 @@ def test_rare_languages_are_learnt_at_every_size(spark):
     names, _ = language_id.learn(docs, train_docs=30)
     assert names == ["de", "en", "pl"]
     assert language_id.learn(docs.limit(0))[0] == []
+
+
+def test_quality_bound_holds_for_repeated_ids(spark, monkeypatch):
+    original = quality.fit
+    rows = [(1, f"good text {i}") for i in range(300)] + [(1, "same text")] * 300 + [(2, "bad one"), (3, "good one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+
+    def counted(examples):
+        w = original(examples)
+        w[0] = len(examples)
+        return w
+
+    monkeypatch.setattr(quality, "fit", counted)
+    sizes = [int(quality.learn(docs, labels, train_docs=n)[0]) for n in (20, 1000)]
+    assert sizes[0] == 20 and sizes[1] <= 303
