@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import decontaminate, language_id, license_scan, lz_fingerprint, ngram_join, quality, secret_scan, source_mix, url_filter, warc_archive
+from . import centroid_clusters, decontaminate, filter_audit, language_id, license_scan, lz_fingerprint, ngram_join, quality, secret_scan, source_mix, url_filter, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -97,3 +97,15 @@ def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op12_centroid_clusters(spark, sf_dir):
+    """Cluster of every vector that counts, after ten rounds from eight start vectors."""
+    return centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    """What five filters remove of every source in each order and step."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

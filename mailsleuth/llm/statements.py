@@ -108,4 +108,55 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) A
 FROM d LEFT JOIN base ON d.r = base.r LEFT JOIN bl ON d.r = bl.r LEFT JOIN al ON d.r = al.r LEFT JOIN s ON d.r = s.r
 """
 
-STATEMENTS = {"op7_license_scan": LICENSES, "op4_decontaminate": LEAKS.format(documents="documents"), "op6_url_filter": URL_FILTER, "op8_source_mix": MIX.format(documents="documents"), "op9_warc_archive": WARC}
+_SQUARES = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _cluster_rounds(rounds: int) -> str:
+    """The assignments a0, a1, ... and the centroids c1, c2, ... that follow from them."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS (SELECT k.r, c.c, CAST({_SQUARES} AS BIGINT) AS d FROM k, c{i} c QUALIFY row_number() OVER (PARTITION BY k.r ORDER BY d, c.c) = 1)")
+        if i < rounds:
+            out.append(f"""e{i} AS (SELECT a.c, unnest(range(1, 65)) AS i, unnest(k.v) AS x FROM k JOIN a{i} a ON k.r = a.r),
+s{i} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e{i} GROUP BY c, i),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON c.c = m.c)""")
+    return ",\n".join(out)
+
+
+CLUSTERS = f"""
+WITH f AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM f),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM k QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) <= 8),
+{_cluster_rounds(10)}
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM k JOIN a10 a ON k.r = a.r JOIN c10 c ON a.c = c.c
+"""
+
+_WORDS13 = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, {_WORDS13} AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+        CASE WHEN len(w.w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w.w)) < 65 * len(w.w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN w.doc_id > w.first_id THEN 'E' ELSE '' END AS failed
+      FROM w LEFT JOIN m ON w.doc_id = m.doc_id),
+c AS (SELECT part, good, toxic, failed, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+p AS (SELECT c.*, o.filter_order, coalesce(list_min([instr(o.filter_order, x) FOR x IN string_split(c.failed, '') IF x <> '']), 9) AS out_at FROM c, o),
+r AS (SELECT p.part, s.filter_order, s.step, s.filter_order[s.step] AS letter, sum(CASE WHEN out_at > s.step THEN n ELSE 0 END) AS kept, sum(CASE WHEN out_at = s.step THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN out_at < s.step AND contains(failed, s.filter_order[s.step]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = s.filter_order[s.step] THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN out_at = s.step THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN out_at = s.step THEN n * toxic ELSE 0 END) AS toxic_lost
+      FROM p JOIN s ON p.filter_order = s.filter_order GROUP BY p.part, s.filter_order, s.step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
+"""
+
+STATEMENTS = {"op7_license_scan": LICENSES, "op4_decontaminate": LEAKS.format(documents="documents"), "op6_url_filter": URL_FILTER, "op8_source_mix": MIX.format(documents="documents"), "op9_warc_archive": WARC,
+              "op12_centroid_clusters": CLUSTERS, "op13_filter_audit": AUDIT}
