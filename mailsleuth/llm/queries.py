@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_folder
-from . import centroid_clusters, decontaminate, filter_audit, language_id, license_scan, lz_fingerprint, ngram_join, quality, secret_scan, source_mix, url_filter, warc_archive
+from . import centroid_clusters, decontaminate, filter_audit, language_id, license_scan, lz_fingerprint, near_dedup, ngram_join, quality, secret_scan, source_mix, url_filter, warc_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -99,6 +99,12 @@ def op10_quality(spark, sf_dir):
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op11_near_dedup(spark, sf_dir):
+    """Component of near duplicates of every document, and whether it is the one of it that stays."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_centroid_clusters(spark, sf_dir):
     """Cluster of every vector that counts, after ten rounds from eight start vectors."""

@@ -108,6 +108,23 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) A
 FROM d LEFT JOIN base ON d.r = base.r LEFT JOIN bl ON d.r = bl.r LEFT JOIN al ON d.r = al.r LEFT JOIN s ON d.r = s.r
 """
 
+_RUNS = r"regexp_extract_all(" + LOWER.format(c="coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+NEAR = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_RUNS} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 3), ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS same FROM s GROUP BY r),
+u AS (SELECT min(r) AS u, same, min(n) AS n FROM n GROUP BY same),
+us AS (SELECT u.u, s.x FROM u JOIN s ON u.u = s.r),
+p AS (SELECT a.u AS a, b.u AS b, count(*) AS common FROM us a JOIN us b ON a.x = b.x AND a.u < b.u GROUP BY a.u, b.u),
+l AS (SELECT p.a, p.b FROM p JOIN u x ON p.a = x.u JOIN u y ON p.b = y.u WHERE 100 * p.common >= 80 * (x.n + y.n - p.common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT u, u FROM u),
+t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+c AS (SELECT t.a AS u, min(d.doc_id) AS component_id FROM t JOIN u ON t.b = u.u JOIN n ON u.same = n.same JOIN d ON n.r = d.r GROUP BY t.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.r IS NULL THEN d.doc_id ELSE c.component_id END AS component_id,
+  d.doc_id IS NOT DISTINCT FROM CASE WHEN n.r IS NULL THEN d.doc_id ELSE c.component_id END AS kept
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN u ON n.same = u.same LEFT JOIN c ON u.u = c.u
+"""
+
 _SQUARES = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
@@ -159,4 +176,4 @@ FROM r
 """
 
 STATEMENTS = {"op7_license_scan": LICENSES, "op4_decontaminate": LEAKS.format(documents="documents"), "op6_url_filter": URL_FILTER, "op8_source_mix": MIX.format(documents="documents"), "op9_warc_archive": WARC,
-              "op12_centroid_clusters": CLUSTERS, "op13_filter_audit": AUDIT}
+              "op11_near_dedup": NEAR, "op12_centroid_clusters": CLUSTERS, "op13_filter_audit": AUDIT}
