@@ -65,12 +65,30 @@ _STEPS = [
 ]
 
 
-def with_ip_flags(df: DataFrame, col: Column, out: str) -> DataFrame:
-    """Add the struct ``out`` of address properties of a text column."""
+def address_bits(n: Column, k: Column) -> Column:
+    """Struct of version and 128 bits as two signed longs, from the IPv4 number, which fills the upper 32 of them, or
+    the IPv6 key; null for other texts."""
+    half = lambda at: F.conv(F.substring(k, at, 16), 16, -10).cast("bigint")
+    four = F.struct(F.lit(4).alias("version"), F.shiftleft(n, 32).alias("hi"), F.lit(0).cast("bigint").alias("lo"))
+    return F.when(n.isNotNull(), four).when(k.isNotNull(), F.struct(F.lit(6).alias("version"), half(1).alias("hi"), half(17).alias("lo")))
+
+
+def prefix_masks(length: Column) -> tuple[Column, Column]:
+    """Masks of the two halves for a prefix of that many bits."""
+    upper = lambda bits: F.call_function("shiftleft", F.lit(-1).cast("bigint"), (64 - bits).cast("int"))
+    whole, none = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
+    return (F.when(length >= 64, whole).when(length <= 0, none).otherwise(upper(length)),
+            F.when(length >= 128, whole).when(length <= 64, none).otherwise(upper(length - 64)))
+
+
+def with_ip_flags(df: DataFrame, col: Column, out: str, bits: str | None = None) -> DataFrame:
+    """Add the struct ``out`` of address properties of a text column, and its bits where a name for them is given."""
     name = lambda s: f"_ip_{s}"
     df = df.withColumn(name("t"), F.lower(F.coalesce(col, F.lit(""))))
     for step, build in _STEPS:
         df = df.withColumn(name(step), build(lambda s: F.col(name(s))))
+    if bits:
+        df = df.withColumn(bits, address_bits(F.col(name("n")), F.col(name("k"))))
     return df.withColumn(out, flags(F.col(name("n")), F.col(name("k")))).drop(name("t"), *[name(s) for s, _ in _STEPS])
 
 

@@ -246,7 +246,7 @@ def j04_status_propagation(v):
 @query
 def j05_network_lookup(v):
     df = enrichment.enrich(v.ips, v.networks)
-    return df.select("event_id", "clean_ip", "address_type", *big("ip_version"), "country", "country_code", "city", F.col("asn").cast("bigint").alias("asn"), "organization", "network", "source", "status", "provider_used")
+    return df.select("event_id", "clean_ip", "address_type", *big("ip_version"), "country", "country_code", "region", "city", "latitude", "longitude", "timezone", "asn", "organization", "network", "build_date", "source", "status", "provider_used")
 
 
 def attached(v: Views) -> DataFrame:
@@ -765,7 +765,7 @@ def f30_json_lists(v):
 @query
 def f31_location_labels(v):
     df = enrichment.with_location_label(enrichment.enrich(v.ips, v.networks))
-    return df.select("event_id", "clean_ip", "location_display", "display_city", "display_country", "display_code")
+    return df.select("event_id", "clean_ip", "location_display", "display_city", "display_region", "display_country", "display_code", "display_owner", "flag")
 
 
 @query
@@ -889,7 +889,7 @@ def c06_mailbox_rescan(v):
 @query
 def c07_geo_context(v):
     m = indicator_rows(v).select("message_id", "ip_addresses")
-    return enrichment.geo_context(m, v.networks).select("message_id", *big("pos"), "ip", "address_type", "location_display")
+    return enrichment.geo_context(m, v.networks).select("message_id", *big("pos"), "ip", "address_type", *big("ip_version"), "display_city", "display_region", "display_country", "timezone", "network", "location_display")
 
 
 @query

@@ -30,7 +30,7 @@ _TEMPLATES = """
  (3,'Chief Executive <ceo.office@gmail.com>','CEO Desk <ceo@other.example.com>','ceo.office@gmail.com','Wire transfer today only','Keep this confidential, send the routing number. Are you available right now?','','mx; spf=pass; dkim=pass; dmarc=none','','X-Mailer: iPhone Mail (20A)','gmail.com'),
  (4,'Billing <bill@vendor.example.com>','','bill@vendor.example.com','Overdue invoice','Invoice attached, outstanding balance. Overdue payment of 40 EUR. https://cdn.vendor.example.com/i.pdf','','mx; spf=pass; dkim=pass; dmarc=pass','invoice.pdf.exe','','vendor.example.com'),
  (5,'Parcel <p@parcel.example.click>','p@parcel.example.click','p@parcel.example.click','Package on hold','Customs fee required: v e r i f y now. https://bit.ly/3abcd','<img src="https://cdn.example.org/x.png">','mx; spf=neutral','label.docm;photo.png','User-Agent: Thunderbird 115','mail.parcel.example.click'),
- (6,'Ops <ops@corp.example.com>','','ops@corp.example.com','Backup report','Host 203.0.113.9 done. Wallet 0x52908400098527886E0F7030069857D2E4169EE7. Log at http://0x7f000001/status','','','report.pdf','','corp.example.com'),
+ (6,'Ops <ops@corp.example.com>','','ops@corp.example.com','Backup report','Host 203.0.113.9 done, peers 2001:4860:4860:0:0:0:0:8888 and 8.8.4.4. Wallet 0x52908400098527886E0F7030069857D2E4169EE7. Log at http://0x7f000001/status','','','report.pdf','','corp.example.com'),
  (7,'','','','','','','','','',''),
  (8,'"PayPal Security" <alerts@gmail.com>','','alerts@gmail.com','Security alert','Unusual login attempt seen. Confirm your identity at https://micr0soft-login.com/signin/verify','<p>Verify&nbsp;your password</p><a href="https://micr0soft-login.com/signin/verify">go</a>','mx; spf=pass; dkim=permerror; dmarc=permerror','','','gmail.com'),
  (9,'"billing@apple.com" <x9@freehost.example.xyz>','','bounce@freehost.example.xyz','Your receipt','Click here: https://admin:secret123@login.example.xyz/reset?next=aHR0cDovL2V2aWwuZXhhbXBsZS5jb20v','','mx; spf=temperror; dkim=neutral; arc=fail','','X-Mailer: swiftmailer','other.example.net'),
@@ -100,20 +100,31 @@ SELECT c_custkey AS user_id, c_name AS username, lower(c_name) || '@corp.example
 FROM {customer}
 """
 
+# literal networks, and one of each version for every supplier, so that the table grows with the data
 NETWORKS = """
-SELECT * FROM (VALUES ('8.8.4.0/24',134743040,134743295,'US','United States','Mountain View',64500,'Example Net A'),
- ('8.8.0.0/16',134742016,134807551,'US','United States','Chicago',64500,'Example Net A'),
- ('152.143.0.0/16',2559508480,2559574015,'DE','Germany','Berlin',64501,'Example Net B'),
- ('64.0.0.0/2',1073741824,2147483647,'GB','United Kingdom','Unknown',CAST(NULL AS int),'Unknown'),
- ('192.0.0.0/3',3221225472,3758096383,'Unknown','Unknown','Unknown',64502,'Example Net C')
-) AS n(network,start_ip,end_ip,country_code,country,city,asn,organization)
+SELECT * FROM (VALUES ('8.8.4.0/24','US','United States','California','Mountain View',cast(37.4 AS double),cast(-122.1 AS double),'America/Los_Angeles',64500,'Example Net A','2024-01-02'),
+ ('8.8.0.0/16','US','United States','Illinois','Chicago',41.9,-87.6,'America/Chicago',64500,'Example Net A','2024-01-02'),
+ ('152.143.9.9/16','DE','Germany','Berlin','Berlin',52.5,13.4,'Europe/Berlin',64501,'Example Net B',NULL),
+ ('64.0.0.0/2','GB','United Kingdom','Unknown','Unknown',NULL,NULL,'Europe/London',NULL,'Unknown','2024-01-03'),
+ ('192.0.0.0/3','Unknown','Unknown','Unknown','Unknown',NULL,NULL,'Unknown',64502,'Example Net C','2024-01-04'),
+ ('2000::/3','Unknown','Unknown','Unknown','Unknown',NULL,NULL,'Unknown',64510,'Example Six','2024-01-05'),
+ ('2606:4700::/32','US','United States','Unknown','Unknown',NULL,NULL,'Unknown',64511,'Example Six A',NULL),
+ ('2606:4700:4700::/48','US','United States','California','San Francisco',37.8,-122.4,'America/Los_Angeles',NULL,'Unknown','2024-01-06'),
+ ('2606:4700:4700::1111/128','AU','Australia','Queensland','Brisbane',-27.5,153.0,'Australia/Brisbane',64512,'Example Six B',NULL),
+ ('2a00:1450:ffff::1/29','IE','Ireland','Leinster','Dublin',53.3,-6.3,'Europe/Dublin',64513,'Example Six C',NULL),
+ ('4000::/2','ZZ','Nowhere','Unknown','Unknown',NULL,NULL,'Unknown',NULL,'Unknown',NULL),
+ ('0.0.0.0/0','Unknown','Unknown','Unknown','Unknown',NULL,NULL,'Unknown',64599,'Example Rest',NULL), ('300.1.1.0/24','XX','X','X','X',NULL,NULL,'X',1,'X',NULL), ('9.9.9.0/33','XX','X','X','X',NULL,NULL,'X',1,'X',NULL), ('9.9.9.9','XX','X','X','X',NULL,NULL,'X',1,'X',NULL)
+) AS n(network,country_code,country,region,city,latitude,longitude,timezone,asn,organization,build_date)
+UNION ALL SELECT cast(s_suppkey % 223 + 1 AS string) || '.' || cast(s_suppkey * 7 % 256 AS string) || '.0.0/' || cast(13 + s_suppkey % 4 AS string), 'FR', 'France', 'Unknown', 'City ' || cast(s_suppkey % 90 AS string), NULL, NULL, 'Unknown', CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 60000 + s_suppkey % 400 END, 'Unknown', NULL FROM {supplier}
+UNION ALL SELECT '2a02:' || cast(s_suppkey % 1000 AS string) || ':' || cast(s_suppkey * 13 % 9000 AS string) || '::/' || cast(31 + s_suppkey % 18 AS string), 'SE', 'Sweden', 'Unknown', CASE WHEN s_suppkey % 2 = 0 THEN 'Unknown' ELSE 'Stad ' || cast(s_suppkey % 70 AS string) END, NULL, NULL, 'Europe/Stockholm', 61000 + s_suppkey % 500, 'Six ' || cast(s_suppkey % 9 AS string), NULL FROM {supplier}
 """
 
 IPS = """
 SELECT event_id, CASE WHEN event_id % 8 < 6 THEN cast((h >> 24) & 255 AS string) || '.' || cast((h >> 16) & 255 AS string) || '.' || cast((h >> 8) & 255 AS string) || '.' || cast(h & 255 AS string)
-  WHEN event_id % 8 = 6 THEN CASE cast(floor(event_id / 8) AS bigint) % 16 WHEN 0 THEN '::1' WHEN 1 THEN '::' WHEN 2 THEN 'fe80::1' WHEN 3 THEN '2001:db8::5' WHEN 4 THEN '2606:4700:4700::1111'
+  WHEN event_id % 8 = 6 THEN CASE cast(floor(event_id / 8) AS bigint) % 22 WHEN 0 THEN '::1' WHEN 1 THEN '::' WHEN 2 THEN 'fe80::1' WHEN 3 THEN '2001:db8::5' WHEN 4 THEN '2606:4700:4700::1111'
       WHEN 5 THEN 'ff02::1' WHEN 6 THEN 'fd00:1::2' WHEN 7 THEN '2002:c000:204::1' WHEN 8 THEN '4000::1' WHEN 9 THEN '2001:4860:4860:0:0:0:0:8888' WHEN 10 THEN '64:ff9b:1::9' WHEN 11 THEN '1:2:3' WHEN 12 THEN '100::7'
-      WHEN 13 THEN '2001:20::1' WHEN 14 THEN '[2a00:1450::8a]' ELSE '2001:db8:::1' END
+      WHEN 13 THEN '2001:20::1' WHEN 14 THEN '[2a00:1450::8a]' WHEN 15 THEN '2a02:' || cast(user_id % 1000 AS string) || '::' || cast(event_id % 9999 AS string)
+      WHEN 16 THEN '2A02:' || cast(user_id % 1000 AS string) || ':' || cast(user_id * 13 % 9000 AS string) || ':0:0:0:0:5' WHEN 17 THEN '2606:4700:4700:1::1' WHEN 18 THEN '2606:4700:9999::1' WHEN 19 THEN '2a00:1457:ffff::' WHEN 20 THEN '2a00:1458::' ELSE '2001:db8:::1' END
   ELSE CASE cast(floor(event_id / 8) AS bigint) % 20 WHEN 0 THEN '127.0.0.1' WHEN 1 THEN '192.168.1.100' WHEN 2 THEN '10.0.0.1' WHEN 3 THEN '172.16.0.1' WHEN 4 THEN '169.254.1.1' WHEN 5 THEN '224.0.0.1' WHEN 6 THEN '240.0.0.1'
       WHEN 7 THEN '100.64.3.4' WHEN 8 THEN '0.0.0.0' WHEN 9 THEN '255.255.255.255' WHEN 10 THEN '192.0.0.9' WHEN 11 THEN '192.0.0.8' WHEN 12 THEN '198.51.100.7' WHEN 13 THEN '01.2.3.4' WHEN 14 THEN 'mail.example.com'
       WHEN 15 THEN '' WHEN 16 THEN NULL WHEN 17 THEN '8.8.8.8' WHEN 18 THEN '8.8.4.' || cast(user_id % 250 AS string) ELSE '[152.143.2.9]' END END AS ip

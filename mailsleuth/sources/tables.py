@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 NETWORK_SCHEMA = T.StructType([
     T.StructField("network", T.StringType()), T.StructField("country_code", T.StringType()), T.StructField("country", T.StringType()),
-    T.StructField("city", T.StringType()), T.StructField("asn", T.IntegerType()), T.StructField("organization", T.StringType())])
+    T.StructField("city", T.StringType()), T.StructField("asn", T.IntegerType()), T.StructField("organization", T.StringType()),
+    T.StructField("region", T.StringType()), T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("timezone", T.StringType()), T.StructField("build_date", T.StringType())])
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -45,7 +46,8 @@ def with_range(networks: DataFrame) -> DataFrame:
 
 
 def read_networks(spark: SparkSession, path: str) -> DataFrame:
-    return with_range(spark.read.schema(NETWORK_SCHEMA).option("header", "true").csv(path))
+    """Network files with a header, of either version. Files may lack the columns from ``region`` on."""
+    return spark.read.schema(NETWORK_SCHEMA).option("header", "true").option("enforceSchema", "true").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

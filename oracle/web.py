@@ -85,15 +85,24 @@ S["f11_ip_classes"] = stmt(*IPV, final=f"""SELECT event_id, c, {P.TIMELINE_CLASS
 
 
 def geo(src: str, ip_col: str) -> str:
-    """CTEs that look up ip_n of ``src`` by a plain range condition and add the geo columns."""
+    """CTEs that compare every public address with every network, digit by digit, and add the geo columns. IPv4 numbers
+    are compared without their lower bits; IPv6 keys by whole hex digits and the rest of the next one."""
+    digit = lambda k: f"((instr('0123456789abcdef', substr({k}, bits // 4 + 1, 1)) - 1) >> (4 - bits % 4))"
+    pick = lambda cols, cond, name: "max_by({" + ", ".join(f"'{c}': {c}" for c in cols) + f"}}, (bits, -rn)) FILTER ({cond}) AS {name}"
+    missing = lambda side, cols: ", ".join(f"coalesce({side}.{c}, miss) AS {c}" for c in cols)
     return f"""
-gc AS (SELECT *, {P.GEO_CLASS} AS address_type, CASE WHEN ip_k IS NOT NULL THEN 6 ELSE 4 END AS ip_version FROM {src}),
-gp AS (SELECT DISTINCT ip_n FROM gc WHERE address_type = 'public' AND ip_n IS NOT NULL),
-gl AS (SELECT ip_n, min_by({{'c': country, 'cc': country_code, 'ci': city}}, (end_ip - start_ip, start_ip)) FILTER (city <> 'Unknown' OR country <> 'Unknown') AS pl, min_by({{'a': asn, 'o': organization, 'n': network}}, (end_ip - start_ip, start_ip)) FILTER (asn IS NOT NULL OR organization <> 'Unknown') AS ow
-  FROM gp JOIN nw ON gp.ip_n BETWEEN nw.start_ip AND nw.end_ip GROUP BY ip_n),
-gz AS (SELECT gc.*, CASE WHEN address_type = 'public' THEN 'Unknown' ELSE 'Unavailable' END AS miss, pl, ow FROM gc LEFT JOIN gl ON gl.ip_n = gc.ip_n AND gc.address_type = 'public'),
-ge AS (SELECT *, coalesce(pl.c, miss) AS country, coalesce(pl.cc, miss) AS country_code, coalesce(pl.ci, miss) AS city, cast(ow.a AS bigint) AS asn, coalesce(ow.o, miss) AS organization, coalesce(ow.n, miss) AS network,
-  CASE WHEN pl IS NOT NULL OR ow IS NOT NULL THEN 'table' ELSE 'none' END AS source, CASE WHEN pl IS NOT NULL OR ow IS NOT NULL THEN 'ok' ELSE 'unavailable' END AS status,
+na AS (SELECT *, split_part(network, '/', 1) AS base, CASE WHEN contains(network, '/') THEN try_cast(split_part(network, '/', 2) AS int) END AS bits FROM nw),
+{P.ip_steps("na", "base", "nb").strip()},
+nc AS (SELECT * EXCLUDE (ip_n, ip_k, ip_t), ip_n AS net_n, ip_k AS net_k, row_number() OVER (ORDER BY country, country_code, region, city, asn, organization, network) AS rn FROM nb WHERE bits >= 0 AND ((ip_n IS NOT NULL AND bits <= 32) OR (ip_k IS NOT NULL AND bits <= 128))),
+gc AS (SELECT *, {P.GEO_CLASS} AS address_type, CASE WHEN ip_k IS NOT NULL THEN 6 ELSE 4 END AS ip_version, coalesce(cast(ip_n AS varchar), ip_k) AS ip_id FROM {src}),
+gp AS (SELECT DISTINCT ip_id, ip_n, ip_k FROM gc WHERE address_type = 'public'),
+gl AS (SELECT ip_id, {pick(["country", "country_code", "region", "city", "latitude", "longitude", "timezone", "build_date"], "city <> 'Unknown' OR country <> 'Unknown'", "pl")},
+    {pick(["asn", "organization", "network", "build_date"], "asn IS NOT NULL OR organization <> 'Unknown'", "ow")}
+  FROM gp JOIN nc ON (gp.ip_n IS NOT NULL AND net_n IS NOT NULL AND (gp.ip_n >> (32 - bits)) = (net_n >> (32 - bits)))
+    OR (gp.ip_k IS NOT NULL AND net_k IS NOT NULL AND left(gp.ip_k, bits // 4) = left(net_k, bits // 4) AND (bits % 4 = 0 OR {digit("gp.ip_k")} = {digit("net_k")})) GROUP BY ip_id),
+gz AS (SELECT gc.*, CASE WHEN address_type = 'public' THEN 'Unknown' ELSE 'Unavailable' END AS miss, pl, ow FROM gc LEFT JOIN gl ON gl.ip_id = gc.ip_id AND gc.address_type = 'public'),
+ge AS (SELECT *, {missing("pl", ["country", "country_code", "region", "city", "timezone"])}, pl.latitude AS latitude, pl.longitude AS longitude, cast(ow.asn AS bigint) AS asn, {missing("ow", ["organization", "network"])},
+  coalesce(pl.build_date, ow.build_date) AS build_date, CASE WHEN pl IS NOT NULL OR ow IS NOT NULL THEN 'table' ELSE 'none' END AS source, CASE WHEN pl IS NOT NULL OR ow IS NOT NULL THEN 'ok' ELSE 'unavailable' END AS status,
   CASE WHEN pl IS NOT NULL AND ow IS NOT NULL THEN 'network table (City + ASN)' WHEN pl IS NOT NULL THEN 'network table City' WHEN ow IS NOT NULL THEN 'network table ASN' WHEN coalesce({ip_col}, '') = '' OR address_type = 'public' THEN 'None' ELSE 'None (Non-Public IP)' END AS provider_used FROM gz)"""
 
 
@@ -104,10 +113,12 @@ lb AS (SELECT *, CASE WHEN NOT pub THEN '🏠 Private Subnet (' || CASE address_
   WHEN city <> 'Unknown' AND country <> 'Unknown' THEN {_flag} || ' ' || city || ', ' || country || ' (' || replace(organization, 'Unknown', 'Internet Service Provider') || ')'
   ELSE {_flag} || ' Public Internet IP Node (' || replace(organization, 'Unknown', 'Internet Service Provider') || ')' END AS location_display FROM lb0)"""
 NW = view("networks", "nw")
-S["j05_network_lookup"] = stmt(*IPV, NW, geo("ix", "ip"), final="SELECT event_id, c AS clean_ip, address_type, ip_version, country, country_code, city, asn, organization, network, source, status, provider_used FROM ge")
-S["f31_location_labels"] = stmt(*IPV, NW, geo("ix", "ip"), LABEL, final="""SELECT event_id, c AS clean_ip, location_display, CASE WHEN NOT pub THEN 'Local / Internal Network' WHEN city <> 'Unknown' THEN city ELSE 'Public Gateway Node' END AS display_city,
- CASE WHEN NOT pub THEN 'Private Subnet' WHEN country <> 'Unknown' THEN country ELSE 'Public Internet' END AS display_country, code AS display_code FROM lb""")
+S["j05_network_lookup"] = stmt(*IPV, NW, geo("ix", "ip"), final="SELECT event_id, c AS clean_ip, address_type, ip_version, country, country_code, region, city, latitude, longitude, timezone, asn, organization, network, build_date, source, status, provider_used FROM ge")
+S["f31_location_labels"] = stmt(*IPV, NW, geo("ix", "ip"), LABEL, final=f"""SELECT event_id, c AS clean_ip, location_display, CASE WHEN NOT pub THEN 'Local / Internal Network' WHEN city <> 'Unknown' THEN city ELSE 'Public Gateway Node' END AS display_city,
+ CASE WHEN NOT pub THEN 'Private Subnet' WHEN country <> 'Unknown' THEN country ELSE 'Public Internet' END AS display_country, code AS display_code, CASE WHEN NOT pub THEN 'Intranet' WHEN region <> 'Unknown' THEN region ELSE 'Global Subnet' END AS display_region,
+ CASE WHEN NOT pub THEN 'Private Subnet' WHEN organization <> 'Unknown' THEN organization ELSE 'Internet Service Provider' END AS display_owner, {_flag} AS flag FROM lb""")
 from .mail import IND  # noqa: E402
 
 S["c07_geo_context"] = stmt(P.MSG, IND, "ci AS (SELECT message_id, list_sort(list_distinct(ips)) AS l FROM ia)", "cj AS (SELECT message_id, i - 1 AS pos, l[i] AS ip FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM ci))",
-    P.ip_steps("cj", P.IP_CLEAN("ip"), "ix"), NW, geo("ix", "ip"), LABEL, final="SELECT message_id, pos, ip, address_type, location_display FROM lb")
+    P.ip_steps("cj", P.IP_CLEAN("ip"), "ix"), NW, geo("ix", "ip"), LABEL, final="""SELECT message_id, pos, ip, address_type, ip_version, CASE WHEN NOT pub THEN 'Local / Internal Network' WHEN city <> 'Unknown' THEN city ELSE 'Public Gateway Node' END AS display_city,
+ CASE WHEN NOT pub THEN 'Intranet' WHEN region <> 'Unknown' THEN region ELSE 'Global Subnet' END AS display_region, CASE WHEN NOT pub THEN 'Private Subnet' WHEN country <> 'Unknown' THEN country ELSE 'Public Internet' END AS display_country, timezone, network, location_display FROM lb""")

@@ -39,7 +39,7 @@ def test_encoded_words(spark):
 
 def test_network_csv_and_rule_files(spark, tmp_path):
     (tmp_path / "n.csv").write_text("network,country_code,country,city,asn,organization\n8.8.4.0/24,US,United States,X,1,O\n0.0.0.0/0,ZZ,Z,Z,,Z\n")
-    got = {r.network: (r.start_ip, r.end_ip) for r in tables.read_networks(spark, str(tmp_path / "n.csv")).collect()}
+    got = {r.network: (r.start_ip, r.end_ip) for r in tables.with_range(tables.read_networks(spark, str(tmp_path / "n.csv"))).collect()}
     assert got == {"8.8.4.0/24": (134743040, 134743295), "0.0.0.0/0": (0, 4294967295)}
     rules = correlation.detection_rules(Views(spark, "/root/testdata/sf0.001").scans)
     tables.write_rules(rules, str(tmp_path / "rules"))
