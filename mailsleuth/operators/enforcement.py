@@ -33,9 +33,11 @@ def quarantine_rows(decided: DataFrame, day: str = "yyyyMMdd") -> DataFrame:
                      "risk_score", "severity", F.lit("QUARANTINED").alias("status"), "decided_at")
 
 
-def audit_rows(decided: DataFrame) -> DataFrame:
+def audit_rows(decided: DataFrame, day: str = "yyyyMMdd") -> DataFrame:
+    """One audit event per decision; that of a quarantine names its record."""
+    record = F.when(F.col("decision") == "QUARANTINE", bands.quarantine_id(F.col("message_id"), F.col("tenant_id"), F.date_format("decided_at", day)))
     return decided.select("message_id", "tenant_id", F.col("decision").alias("action"), F.lit("system").alias("actor_id"), "risk_score", "severity",
-                          F.to_json(F.struct("reason")).alias("details"), F.col("decided_at").alias("event_time"))
+                          F.to_json(F.struct(record.alias("quarantine_id"), "reason")).alias("details"), F.col("decided_at").alias("event_time"))
 
 
 def release_results(requests: DataFrame, quarantine: DataFrame, messages: DataFrame) -> DataFrame:

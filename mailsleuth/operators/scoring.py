@@ -77,12 +77,13 @@ def attachment_texts(parts: Column) -> Column:
 PENALTIES = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "url_penalty", "attachment_penalty"]
 
 
-def gateway_scores(messages: DataFrame, redirect_summary: DataFrame | None = None, lure_text: str = "subject", max_urls: int | None = None) -> DataFrame:
+def gateway_scores(messages: DataFrame, redirect_summary: DataFrame | None = None, lure_text: str = "subject", max_urls: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``messages``, also where ids repeat: the six penalties, score, severity,
-    recommendation, policy decision. ``max_urls`` None scores all URLs of a mail."""
+    recommendation, policy decision. ``max_urls`` None scores all URLs of a mail; ``also`` names further columns of
+    the profile to keep."""
     df = gateway_profile(messages.withColumn("_urls", gateway_urls(F.col("text_body"), F.col("html_body"))), lure_text)
     keep = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "attachment_penalty", "spf", "dkim", "dmarc",
-            "row_findings", "attachment_findings", "header_security_score", "lure_score", "g_from_domain", "subject", "from_hdr"]
+            "row_findings", "attachment_findings", "header_security_score", "lure_score", "g_from_domain", "subject", "from_hdr", *also]
     extra = [c for c in ("received_at", "doc_id", "user_email") if c in messages.columns]
     df = df.select("message_id", F.monotonically_increasing_id().alias("_row"), F.struct(*keep, *extra).alias("m"), "_urls")
     urls = F.col("_urls")

@@ -773,10 +773,14 @@ def f32_quarantine_ids(v):
     return quarantined(v).select("message_id", "tenant_id", "quarantine_id")
 
 
-def stream_of(v: Views, view: str, table: str) -> DataFrame:
-    """A view over the stream of the files of its base table."""
-    schema = v.base(table).schema
-    landed = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{v.sf_dir}/{table}.parquet*")
+def stream_of(v: Views, view: str, table: str, files: int | None = None) -> DataFrame:
+    """A view over the stream of the files of its base table; with ``files``, the table lands in so many files, each a
+    micro-batch of its own."""
+    folder, schema = f"{v.sf_dir}/{table}.parquet*", v.base(table).schema
+    if files:
+        folder = new_folder(v.spark, f"landed-{table}")
+        v.base(table).repartition(files).write.parquet(folder)
+    landed = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 if files else 16).parquet(folder)
     return v.spark.sql(VIEWS[view], **{table: landed})
 
 
@@ -784,20 +788,52 @@ def stream_of(v: Views, view: str, table: str) -> DataFrame:
 
 @query
 def st1_ingest_stream(v):
-    """The attempts are landed files; every repeat of a message id is ignored."""
-    spark = v.spark
-    out = new_folder(spark, "ingest")
-    landed = stream_of(v, "attempts", "events").withColumn("received_at", F.col("attempted_at").cast("timestamp"))
+    """The attempts are landed files, four micro-batches; every repeat of a message id is ignored."""
+    out = new_folder(v.spark, "ingest")
+    landed = stream_of(v, "attempts", "events", 4).withColumn("received_at", F.col("attempted_at").cast("timestamp"))
     jobs.run_ingest(landed, f"{out}/jobs", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/jobs").select("message_id", "status")
+    return v.spark.read.parquet(f"{out}/jobs").select("message_id", "status")
+
+
+def named_parts(messages: DataFrame) -> DataFrame:
+    """Attachment parts of the mail view, whose payloads follow from their names."""
+    parts = messages.select("message_id", F.posexplode(scoring.names_array()).alias("pos", "original_filename"))
+    return parts.withColumns({"mime_type": F.lit("application/octet-stream"), "content": F.concat(F.lit("bytes of "), "original_filename")})
+
+
+def scored_stream(v: Views, table: str) -> DataFrame:
+    """Three micro-batches of landed messages through the scoring stream; one of its tables."""
+    out = new_folder(v.spark, "scoring")
+    jobs.run_scoring_stream(stream_of(v, "messages", "documents", 3), out, f"{out}/checkpoint", named_parts).awaitTermination()
+    return jobs.scored_table(v.spark, out, table)
 
 
 @query
 def st2_scoring_stream(v):
     """Micro-batches of landed messages through the same scoring job as the batch side."""
-    out = new_folder(v.spark, "scoring")
-    jobs.run_scoring_stream(stream_of(v, "messages", "documents"), f"{out}/scores", f"{out}/checkpoint").awaitTermination()
-    return v.spark.read.parquet(f"{out}/scores").select("message_id", *big("risk_score"), "severity", "decision", "final_status")
+    return scored_stream(v, "messages").select("message_id", *big("risk_score"), "severity", "decision", "final_status")
+
+
+@query
+def st2_attachments(v):
+    return scored_stream(v, "attachments").select("message_id", "sha256", *big("pos", "size_bytes"), "original_filename", "filename")
+
+
+@query
+def st2_quarantine(v):
+    return scored_stream(v, "quarantine").select("message_id", "tenant_id", "quarantine_id", "original_sender", "recipient", "subject", *big("risk_score"), "severity", "status")
+
+
+@query
+def st2_audit(v):
+    rows = scored_stream(v, "audit")
+    return rows.select("message_id", "tenant_id", "action", "actor_id", *big("risk_score"), F.coalesce(F.get_json_object("details", "$.quarantine_id"), F.lit("")).alias("quarantine_id"),
+                       F.substring_index(F.get_json_object("details", "$.reason"), ".", 1).alias("reason_head"))
+
+
+@query
+def st2_scans(v):
+    return scored_stream(v, "scans").select("sender", "subject")
 
 
 @query
@@ -839,6 +875,28 @@ def st7_live_cache(v):
     return enforcement.live_entries(cache, latest, F.col("ttl")).select("message_id", *big("attempt_no"))
 
 
+def cache_requests(v: Views) -> DataFrame:
+    """Lookups of a cache key in time order; those of clicks and errors find nothing."""
+    return v.base("events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("cache_key"), F.col("event_id").alias("request_id"),
+                                   F.col("ts").cast("timestamp").alias("requested_at"), F.when(~F.col("event_type").isin("click", "error"), F.col("event_type")).alias("value"))
+
+
+@query
+def st7_cache_stream(v):
+    """The lookups land in three files one after the other, so that answers are kept, and expire, between batches."""
+    out, spark = new_folder(v.spark, "cache"), v.spark
+    requests = cache_requests(v)
+    cuts = requests.select(F.unix_micros("requested_at").alias("t")).approxQuantile("t", [1 / 3, 2 / 3], 0.01)
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + F.when(F.unix_micros("requested_at") > cut, 1).otherwise(0)
+    for n in range(3):
+        requests.where(number == n).coalesce(1).write.mode("append").parquet(f"{out}/landed")
+    landed = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+    jobs.run_cache(landed, f"{out}/lookups", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/lookups").select("cache_key", "request_id", "hit", "value", F.unix_seconds("valid_until").alias("valid_until"))
+
+
 @query
 def st8_audit_defaults(v):
     e = v.base("events").withColumn("name", F.when(F.col("event_type") == "signup", "login_success").when(F.col("event_type") == "view", "logout").otherwise(F.col("event_type")))

@@ -70,6 +70,12 @@ S["st5_release_flow"] = stmt(EN, RQ, DE, """fe AS (SELECT rq.message_id, request
 S["st6_relay_results"] = stmt(EN, DE, view("relay_outcomes", "ro"), "fo AS (SELECT message_id, smtp_code, relay_host FROM ro QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY attempt_no, smtp_code, relay_host) = 1)",
     final="SELECT message_id, tenant_id, relay_host, smtp_code, CASE WHEN smtp_code = 250 THEN 'DELIVERED' ELSE 'FAILED' END AS status, CASE WHEN smtp_code = 250 THEN 'DELIVERED' ELSE 'DELIVERED_FAILED' END AS audit_action FROM fo JOIN de USING (message_id) WHERE final_status = 'READY_FOR_RELAY'")
 S["st7_live_cache"] = stmt(AT, final="SELECT message_id, attempt_no FROM att WHERE attempted_at + CASE WHEN outcome = 'ok' THEN interval 3600 second ELSE interval 300 second END >= (SELECT max(attempted_at) FROM att)")
+S["st7_cache_stream"] = """WITH RECURSIVE e AS (SELECT 'k' || cast(user_id AS varchar) AS cache_key, event_id AS request_id, cast(epoch_us(ts) AS bigint) AS t_us, CASE WHEN event_type NOT IN ('click', 'error') THEN event_type END AS own,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT *, t_us + CASE WHEN own IS NULL THEN 300 ELSE 3600 END * cast(1000000 AS bigint) AS ends FROM e),
+r AS (SELECT cache_key, request_id, rn, FALSE AS hit, own AS value, ends AS until FROM f WHERE rn = 1
+  UNION ALL SELECT f.cache_key, f.request_id, f.rn, f.t_us <= r.until, CASE WHEN f.t_us <= r.until THEN r.value ELSE f.own END, CASE WHEN f.t_us <= r.until THEN r.until ELSE f.ends END FROM r JOIN f ON f.cache_key = r.cache_key AND f.rn = r.rn + 1)
+SELECT cache_key, request_id, hit, value, cast(floor(until / 1000000) AS bigint) AS valid_until FROM r"""
 S["st8_audit_defaults"] = """WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'login_success' WHEN 'view' THEN 'logout' ELSE event_type END AS event FROM events)
 SELECT event_id, event, CASE WHEN event_id % 3 = 0 THEN 'user' || cast(user_id AS varchar) ELSE 'System' END AS actor_name, CASE WHEN event_id % 5 = 0 THEN 'scan' WHEN event IN ('login_success', 'logout') THEN 'auth' ELSE 'system' END AS target_type FROM e"""
 

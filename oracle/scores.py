@@ -65,6 +65,13 @@ GATE = [*GP, *GURL, ATT, f"""g0 AS (SELECT pz.*, cast(coalesce(url_pts, 0) AS bi
 S["a14_gateway_score"] = stmt(*GATE, final="SELECT message_id, header_penalty, auth_penalty, sender_penalty, content_penalty, url_penalty, attachment_penalty, risk_score, severity, recommendation, decision, len(fl) AS findings, array_to_string(fl, '|') AS top_findings FROM g")
 _BOX = "bx AS (SELECT 'user' || cast(doc_id % 7 AS varchar) || '@corp.example.com' AS user_email, message_id, risk_score, severity, CASE WHEN risk_score >= 65 THEN 'TRASHED' ELSE 'ALLOWED' END AS action_taken, CASE WHEN risk_score >= 65 THEN 'POST_DELIVERY_QUARANTINED' END AS audit_action FROM g)"
 S["st2_scoring_stream"] = stmt(*GATE, final="SELECT message_id, risk_score, severity, decision, CASE decision WHEN 'ALLOW' THEN 'READY_FOR_RELAY' WHEN 'REVIEW' THEN 'REVIEW' WHEN 'QUARANTINE' THEN 'QUARANTINED' ELSE 'REJECTED' END AS final_status FROM g")
+_Q = "'QUAR-' || strftime(received_at, '%Y%m%d') || '-' || left(sha256(message_id || '|default'), 8)"
+S["st2_attachments"] = stmt(MSG, ATT, final=f"""SELECT message_id, sha256('bytes of ' || o) AS sha256, min(i) - 1 AS pos, cast(strlen('bytes of ' || o) AS bigint) AS size_bytes, o AS original_filename, {safe_name('o', 'o')} AS filename FROM at0 GROUP BY message_id, o""")
+S["st2_quarantine"] = stmt(*GATE, final=f"""SELECT message_id, 'default' AS tenant_id, {_Q} AS quarantine_id, from_hdr AS original_sender, 'User <user' || cast(doc_id % 40 AS varchar) || '@corp.example.com>' AS recipient, subject, cast(risk_score AS bigint) AS risk_score, severity, 'QUARANTINED' AS status
+ FROM g WHERE decision = 'QUARANTINE'""")
+S["st2_audit"] = stmt(*GATE, final=f"""SELECT message_id, 'default' AS tenant_id, decision AS action, 'system' AS actor_id, cast(risk_score AS bigint) AS risk_score, CASE WHEN decision = 'QUARANTINE' THEN {_Q} ELSE '' END AS quarantine_id,
+ 'Risk score ' || risk_score || CASE decision WHEN 'ALLOW' THEN ' is within ALLOW threshold (0-29)' WHEN 'REVIEW' THEN ' requires analyst REVIEW (30-64)' WHEN 'QUARANTINE' THEN ' triggered QUARANTINE policy (65-95)' ELSE ' triggered REJECT policy (96-100)' END AS reason_head FROM g""")
+S["st2_scans"] = stmt(*GATE, final="SELECT DISTINCT from_hdr AS sender, subject FROM g")
 S["c06_mailbox_rescan"] = stmt(*GATE, _BOX, final="SELECT * FROM bx")
 S["a19_rescan_totals"] = stmt(*GATE, _BOX, final="SELECT user_email, count(*) AS total_scanned, count(*) FILTER (action_taken = 'TRASHED') AS total_remediated FROM bx GROUP BY ROLLUP (user_email)")
 
