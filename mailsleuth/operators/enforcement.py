@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, rules as R
+from ..session import stored
 from .skew import latest
 
 
@@ -60,6 +61,21 @@ def release_results(requests: DataFrame, quarantine: DataFrame, messages: DataFr
     return df.select("request_id", "message_id", "tenant_id", "requested_by", "quarantine_id", code.alias("result"))
 
 
+QUARANTINE_ROW = "message_id string, tenant_id string, quarantine_id string, status string, changed_by long"
+
+
+def release_batch(table, requests: DataFrame, messages: DataFrame, batch_id: int) -> DataFrame:
+    """Results of a batch of release requests against the kept quarantine records (a ``KeyedTable`` of the row above,
+    bucketed by message), whose released ones are then marked, so that a later batch finds them released. Only buckets
+    of messages that are asked for are read."""
+    held = table.read(requests)
+    results = stored(release_results(requests, held, messages), "release-results")
+    released = results.where(F.col("result") == "RELEASED").select("quarantine_id").distinct()
+    marked = held.join(released, "quarantine_id", "left_semi").withColumns({"status": F.lit("RELEASED"), "changed_by": F.lit(batch_id).cast("long")})
+    table.upsert(marked, batch_id)
+    return results
+
+
 def flow_states(messages: DataFrame, requests: DataFrame, quarantine: DataFrame) -> DataFrame:
     """State of each message after all requests (RELEASE, RELEASE_REVIEW, REJECT) in request order.
 

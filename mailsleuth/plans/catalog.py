@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import bands, dates, files, header as H, ip as IP, rules as R, text as TX, url as U
 from ..operators import analyst, correlation, enforcement, enrichment, indicators, ingest, postdelivery, redirects, routing, scoring, skew, urls
 from ..sources import mail_files, tables
+from ..sources.keyed_table import KeyedTable
 from ..session import new_folder
 from ..streaming import jobs
 from .fixtures import VIEWS, Views
@@ -237,6 +239,44 @@ def j03_upsert_decisions(v):
     return enforcement.upsert_decisions(base, again).select("message_id", "decision", "risk_score")
 
 
+@query
+def j03_upsert_store(v):
+    """The decisions as a kept table that takes the rejects in five batches, with buckets rewritten on the way."""
+    row = "message_id string, decision string, risk_score long, decided_at timestamp_ntz, again int"
+    table = KeyedTable(v.spark, new_folder(v.spark, "decisions"), row, ["message_id"], ["decided_at", "again"], buckets=8, max_deltas=2)
+    at = F.col("decided_at").cast("timestamp_ntz")
+    table.upsert(decided(v).select("message_id", "decision", F.col("risk_score").cast("long"), at.alias("decided_at"), F.lit(0).alias("again")), 0)
+    rejects = v.release_requests.where(F.col("action") == "REJECT").select("request_id", "message_id", F.lit("REJECT").alias("decision"), F.lit(100).cast("long").alias("risk_score"), F.col("requested_at").cast("timestamp_ntz").alias("decided_at"), F.lit(1).alias("again"))
+    for n in range(5):
+        table.upsert(rejects.where(F.col("request_id") % 5 == n), n + 1)
+    return table.read().select("message_id", "decision", "risk_score")
+
+
+@query
+def j04_status_store(v):
+    """The queue as a kept table, to which the message states come in three batches."""
+    table = KeyedTable(v.spark, new_folder(v.spark, "queue"), "message_id string, status string, step int", ["message_id"], ["step"], buckets=8, max_deltas=2)
+    table.upsert(v.base("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("message_id"), F.lit("PROCESSING").alias("status"), F.lit(0).alias("step")), 0)
+    states = decided(v).select("message_id", F.col("final_status").alias("status"), F.lit(1).alias("step"))
+    for n in range(3):
+        table.upsert(states.where(F.pmod(F.hash("message_id"), F.lit(3)) == n), n + 1)
+    return table.read().select("message_id", "status")
+
+
+@query
+def st5_release_store(v):
+    """Release requests in four batches, one after the other, against the kept quarantine records."""
+    table = KeyedTable(v.spark, new_folder(v.spark, "quarantine"), enforcement.QUARANTINE_ROW, ["message_id", "tenant_id"], ["changed_by"], buckets=8, max_deltas=2, bucket_by=["message_id"])
+    table.upsert(quarantined(v).select("message_id", "tenant_id", "quarantine_id", "status", F.lit(0).cast("long").alias("changed_by")), 0)
+    asked = v.release_requests.where(F.col("action") == "RELEASE")
+    messages = v.enforceable.where(~F.col("message_id").endswith("77"))
+    last, results = asked.agg(F.max("request_id")).first()[0] or 0, []
+    for n in range(4):
+        part = asked.where((F.col("request_id") * 4 > last * n) & (F.col("request_id") * 4 <= last * (n + 1)) | (F.lit(n == 0) & (F.col("request_id") <= 0)))
+        results.append(enforcement.release_batch(table, part, messages, n + 1))
+    return functools.reduce(DataFrame.unionByName, results).select("request_id", "message_id", "quarantine_id", "result")
+
+
 @query
 def j04_status_propagation(v):
     jobs = v.base("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("message_id"), F.lit("PROCESSING").alias("status"))

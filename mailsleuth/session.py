@@ -53,3 +53,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a path, asked of the file system it belongs to; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []

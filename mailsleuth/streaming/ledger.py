@@ -13,19 +13,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-LEDGER = "table_name string, attempt string, n_rows long, batch_id long"
-
+from ..session import children
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, asked of the file system it belongs to."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+LEDGER = "table_name string, attempt string, n_rows long, batch_id long"
 
 
 def ledger(spark: SparkSession, out: str) -> DataFrame:
     """table_name, attempt, n_rows, batch_id of all commits. Should two drivers have committed one batch, the smaller
     attempt counts, for every reader."""
-    if not exists(spark, f"{out}/ledger"):
+    if not children(spark, f"{out}/ledger"):
         return spark.createDataFrame([], LEDGER)
     rows = spark.read.schema(LEDGER).parquet(f"{out}/ledger")
     first = rows.groupBy("batch_id").agg(F.min("attempt").alias("attempt"))

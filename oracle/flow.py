@@ -55,6 +55,7 @@ S["j04_status_propagation"] = stmt(EN, DE, final="SELECT 'o' || cast(o_orderkey
 S["j09_release_results"] = stmt(EN, RQ, DE, """rj AS (SELECT rq.request_id, rq.message_id, rq.tenant_id, qu.quarantine_id, qu.tenant_id AS owner, NOT ends_with(rq.message_id, '77') AND EXISTS (SELECT 1 FROM en WHERE en.message_id = rq.message_id) AS has_message FROM rq LEFT JOIN qu USING (message_id) WHERE action = 'RELEASE')""",
     "rk AS (SELECT *, min(request_id) FILTER (quarantine_id IS NOT NULL AND owner = tenant_id AND has_message) OVER (PARTITION BY message_id) AS winner FROM rj)",
     final="SELECT request_id, message_id, quarantine_id, CASE WHEN quarantine_id IS NULL THEN 'NOT_FOUND' WHEN owner <> tenant_id THEN 'CROSS_TENANT' WHEN winner < request_id THEN 'ALREADY_RELEASED' WHEN NOT has_message THEN 'MESSAGE_MISSING' ELSE 'RELEASED' END AS result FROM rk")
+S["j03_upsert_store"], S["j04_status_store"], S["st5_release_store"] = S["j03_upsert_decisions"], S["j04_status_propagation"], S["j09_release_results"]
 AT = view("attempts", "att")
 S["st3_retry_fold"] = stmt(AT, """fa AS (SELECT *, count(*) FILTER (outcome = 'ok') OVER w AS oks, count(*) FILTER (outcome = 'failed') OVER w AS fails FROM att WINDOW w AS (PARTITION BY message_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  fb AS (SELECT * FROM fa WHERE oks = 0 AND fails < 3), fc AS (SELECT message_id, count(*) FILTER (outcome = 'failed') AS retry_count, max_by(outcome, attempt_no) AS last_outcome, max_by(error_text, attempt_no) AS last_text FROM fb GROUP BY message_id)""",
