@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
+
 HOT_SHARE = 1000
 
 
@@ -39,33 +41,42 @@ def attach_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: DataF
         F.when(F.col("_h").isNotNull(), F.col("_h")[c]).otherwise(F.col(c)).alias(c) for c in extra])
 
 
-def ordered_scan(df: DataFrame, key: str, seq: str, row: list[str], known: str, block: int = 4096) -> DataFrame:
+def range_split(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Stored, with the number ``_p`` of the range of ``order`` a row lies in: ranges of about equal size, rising in that
+    order. The limits are sampled, so a key with many rows, however its numbers lie, has ranges of its own; rows that
+    agree in ``order`` are told apart by the rest of the row."""
+    kinds = dict(df.dtypes)
+    rest = F.xxhash64(*[c for c in df.columns if "map<" not in kinds[c]])
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order], rest.asc())
+    return stored(ranged.withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def ordered_scan(df: DataFrame, key: str, seq: str, row: list[str], known: str, parts: int | None = None) -> DataFrame:
     """Row number, previous row and last known value per key in ``seq`` order.
 
-    A window over ``key`` alone would put a hot key into one task. The rows of a key are cut into
-    blocks of ``block`` consecutive sequence numbers; windows run inside a block, and a small table
-    with one row per (key, block) carries the counts and the last row over the block borders.
-    Adds ``row_no``, ``prev`` (struct of ``row``) and ``last_known``. Rows without ``seq`` come first, in the order
-    of ``row``; rows without a key are one group; none is dropped. Joins are null-safe for that."""
-    df = df.withColumn("_b", F.coalesce(F.floor(F.col(seq) / block), F.lit(-9223372036854775807)))
-    packed = F.struct(*row)
-    blocks = df.groupBy(key, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.coalesce(F.max_by(packed, F.struct(F.col(seq), *row)), F.max(packed)).alias("_last"),
-        F.max_by(F.col(known), F.when(F.col(known).isNotNull(), F.struct(F.col(seq), *row))).alias("_known"))
-    over = Window.partitionBy(key).orderBy("_b")
+    A window over ``key`` alone would put a hot key into one task. The rows are split into sampled ranges of (key, seq);
+    windows run inside the piece of a key in one range, and a small table with one row per piece, of which a key
+    has no more than there are ranges, carries the counts and the last row over the borders.
+    Adds ``row_no``, ``prev`` (struct of ``row``) and ``last_known``. Rows without ``seq`` come first, rows of one number
+    in the order of ``row``; rows without a key are one group; none is dropped. Joins are null-safe for that."""
+    packed, at = F.struct(*row), F.struct(F.col(seq), *row)
+    split = range_split(df, [key, seq, *row], parts)
+    # max and max_by see a row without a number as the smallest: null sorts first in a struct
+    pieces = split.groupBy(key, "_p").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(at).alias("_end"), F.max_by(F.col(known), F.when(F.col(known).isNotNull(), at)).alias("_known"))
+    over = Window.partitionBy(key).orderBy("_p")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                           F.lag("_last").over(over).alias("_carry_row"),
-                           F.last("_known", ignorenulls=True).over(before).alias("_carry_known"))
-    inner = Window.partitionBy(key, "_b").orderBy(seq, *row)
-    inside = df.withColumns({
+    pieces = pieces.select(F.col(key).alias("_k"), F.col("_p").alias("_kp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                           F.lag("_end").over(over).alias("_carry"), F.last("_known", ignorenulls=True).over(before).alias("_carry_known"))
+    inner = Window.partitionBy(key, "_p").orderBy(seq, *row)
+    inside = split.withColumns({
         "_rn": F.row_number().over(inner), "_prev": F.lag(packed).over(inner),
         "_seen": F.last(known, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1))})
-    carried = blocks.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), "_offset", "_carry_row", "_carry_known")
-    out = inside.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
-    return out.select(*[c for c in df.columns if c != "_b"],
-                      (F.col("_rn") + F.col("_offset")).alias("row_no"),
-                      F.when(F.col("_rn") == 1, F.col("_carry_row")).otherwise(F.col("_prev")).alias("prev"),
+    out = inside.join(pieces, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_kp")))
+    carried = F.when(F.col("_carry").isNotNull(), F.struct(*[F.col("_carry")[c].alias(c) for c in row]))
+    return out.select(*df.columns, (F.col("_rn") + F.col("_offset")).alias("row_no"),
+                      F.when(F.col("_rn") == 1, carried).otherwise(F.col("_prev")).alias("prev"),
                       F.coalesce("_seen", "_carry_known").alias("last_known"))
 
 

@@ -24,13 +24,34 @@ def test_attach_unique_with_hot_and_null_keys(spark):
     assert skew.hot_keys(left, ["k"]).count() <= skew.HOT_SHARE
 
 
+def scanned(df, **options):
+    out = skew.ordered_scan(df, "key", "seq", ["val"], "ts", **options)
+    return sorted(map(tuple, out.select("key", "seq", "val", F.col("row_no").alias("n"), F.col("prev.val").alias("p"), F.col("last_known").alias("k")).collect()), key=repr)
+
+
+def windowed(df):
+    w = Window.partitionBy("key").orderBy("seq", "val")
+    out = df.select("key", "seq", "val", F.row_number().over(w).alias("n"), F.lag("val").over(w).alias("p"), F.last("ts", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("k"))
+    return sorted(map(tuple, out.collect()), key=repr)
+
+
 def test_ordered_scan_equals_one_window(spark):
     df = spark.range(500).select((F.col("id") % 4).cast("string").alias("key"), F.col("id").alias("seq"), F.when(F.col("id") % 9 == 0, F.col("id")).alias("ts"), F.col("id").alias("val"))
-    w = Window.partitionBy("key").orderBy("seq")
-    want = df.select("key", "seq", F.row_number().over(w).alias("n"), F.lag("val").over(w).alias("p"), F.last("ts", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("k")).orderBy("key", "seq").collect()
-    for block in (1, 7, 4096):
-        got = skew.ordered_scan(df, "key", "seq", ["val"], "ts", block).select("key", "seq", F.col("row_no").alias("n"), F.col("prev.val").alias("p"), F.col("last_known").alias("k")).orderBy("key", "seq").collect()
-        assert got == want
+    odd = df.select(F.when(F.col("key") != "2", F.col("key")).alias("key"), F.when(F.col("seq") % 7 != 0, F.floor(F.col("seq") / 11) * 10 ** 9).alias("seq"), "ts", "val")
+    for table in (df, odd, df.limit(0)):
+        want = windowed(table)
+        for parts in (1, 5, 40):
+            assert scanned(table, parts=parts) == want
+
+
+def test_hot_key_is_dealt_evenly(spark):
+    """Half of all rows have one key, with sparse, repeated and null numbers."""
+    n = F.col("id")
+    df = spark.range(40_000).select(F.when(n % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), (n % 3001).cast("string"))).alias("key"),
+                                    F.when(n % 6 == 0, None).when(n % 6 == 2, 5).otherwise(n * n * 1000).alias("seq"), F.when(n % 9 == 0, n).alias("ts"), n.alias("val"))
+    sizes = sorted(r["count"] for r in skew.range_split(df, ["key", "seq", "val"], 32).groupBy("_p").count().collect())
+    assert len(sizes) == 32 and sizes[-1] <= 3 * sizes[16]
+    assert scanned(df, parts=32) == windowed(df)
 
 
 def test_no_query_plans_a_cross_join(spark):
