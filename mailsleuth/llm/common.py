@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import stored  # noqa: F401
 
@@ -33,6 +33,14 @@ def content_key(text: Column) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit("null"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Whole texts are large rows: no more than so many go to a Python worker in one Arrow batch, which both sides hold
+    in memory beside the batch that comes back. A smaller number that the session has stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Bloom:
     """Blocked Bloom filter as one array of 64-bit numbers. A block is four numbers; a key sets one bit in
     each, so that a probe touches one block. The array's size is set by the number of keys up to

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import components
-from .common import Bloom, content_key, stored
+from .common import Bloom, content_key, small_batches, stored
 from .ngram_join import candidate_groups, local_roots, similar
 from .wordhash import SLICE_BYTES, WordHasher, mix, shingles, slices
 
@@ -111,7 +111,7 @@ def sign_documents(docs: DataFrame, doc_id: str, text: str, width: int, bands: i
     def sign(batches):
         shingled = ShingleSets(width)
         for batch in batches:
-            for begin, own in slices(batch.column("text").to_pylist()):
+            for begin, own in slices(batch.column("text")):
                 found, first = shingled.of(own)
                 labels = iter(band_labels(circulant_signatures(found, first, bands * rows), bands, rows) if len(found) else ())
                 held = [np.unique(found[first[i]:first[i + 1]]) for i in range(len(own))]
@@ -120,6 +120,7 @@ def sign_documents(docs: DataFrame, doc_id: str, text: str, width: int, bands: i
                             pa.array([next(labels) if len(h) else np.zeros(0, np.int64) for h in held], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_key", "digest", "size", "labels"])
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), content_key(F.col(text)).alias("_key"), F.col(text).alias("text"))
     signed = texts.mapInArrow(sign, "doc_id long, _key string, digest string, size long, labels array<long>")
     return stored(signed.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "circulant-signatures")
@@ -150,7 +151,7 @@ def confirm_with_hubs(width: int, percent: int):
         shingled, now, held = ShingleSets(width), None, None
         for batch in batches:
             hub, part, of = (batch.column(c).to_pylist() for c in ("hub", "share", "set_id"))
-            for begin, own in slices(batch.column("text").to_pylist()):
+            for begin, own in slices(batch.column("text")):
                 out = []
                 for i, found in enumerate(shingled.sets(own), begin):
                     if (hub[i], part[i]) != now:
@@ -192,7 +193,7 @@ def compare_groups(width: int, percent: int):
         for batch in batches:
             groups = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "x", "y")), strict=True))
             of, side = batch.column("set_id").to_pylist(), batch.column("side").to_pylist()
-            for begin, own in slices(batch.column("text").to_pylist()):
+            for begin, own in slices(batch.column("text")):
                 for i, found in enumerate(shingled.sets(own), begin):
                     if groups[i] != now and rows:
                         yield settle()

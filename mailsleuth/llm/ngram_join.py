@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import components
-from .common import Bloom, content_key, stored
+from .common import Bloom, content_key, small_batches, stored
 from .wordhash import WordHasher, mix, shingles, slices
 
 WIDTH, THRESHOLD, TREES, LONGEST, TARGET, BLOCK = 5, 0.8, 16, 8, 0.999, 256
@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, trees: int,
         hasher = WordHasher()
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("_key").to_pylist()
-            for begin, own in slices(batch.column("text").to_pylist()):
+            for begin, own in slices(batch.column("text")):
                 found, first = shingles(*hasher.words(own), width)
                 labels = iter(label_hashes(found, first, trees, depth).astype(np.int64) if len(found) else ())
                 digests, sizes, marks = [], [], []
@@ -76,6 +76,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, trees: int,
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, len(own)), pa.array(keys[begin:begin + len(own)], pa.string()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
                                                  names=["doc_id", "_key", "digest", "size", "labels"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), content_key(F.col(text)).alias("_key"), F.col(text).alias("text"))
     signed = rows.mapInArrow(sign, "doc_id long, _key string, digest string, size long, labels array<long>")
     return stored(signed.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "signatures")

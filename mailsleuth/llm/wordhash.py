@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 MASK = (1 << 64) - 1
 SLICE_BYTES = 1 << 20
@@ -85,12 +86,15 @@ def shingles(words: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndar
     return mix(out), first
 
 
-def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: list[str | None] | pa.Array, limit: int = SLICE_BYTES, most: int = 256) -> Iterator[tuple[int, list[bytes]]]:
     """The texts as UTF-8 in slices of about ``limit`` bytes, with the place of each slice's first text; null is
-    empty. A longer text is a slice of its own."""
+    empty. A longer text is a slice of its own. Of an Arrow column, ``most`` texts at a time become Python bytes."""
+    if isinstance(texts, pa.Array):
+        raws = (raw or b"" for low in range(0, len(texts), most) for raw in texts.slice(low, most).cast(pa.binary()).to_pylist())
+    else:
+        raws = (b"" if text is None else text.encode("utf-8", "surrogatepass") for text in texts)
     begin, own, size = 0, [], 0
-    for i, text in enumerate(texts):
-        raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+    for i, raw in enumerate(raws):
         if own and size + len(raw) > limit:
             yield begin, own
             begin, own, size = i, [], 0

@@ -2,23 +2,39 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from mailsleuth.llm import secret_scan
 
 from .test_operators import plain_links, words
 
 SF_DIR = "/root/testdata/sf0.001"
+ALIEN = "他在北京大学学习历史已经三年了每天早上都坐地铁去图书馆看书"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["score", "lang_pred", "trigrams", "_key", "_id", "_hit", "_path", "_v", "_p", "_nth", "digest", "label"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    docs = docs.select(*[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in names], "*")
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[c] == f"{c} of {r['doc_id']}" for r in kept for c in names)
 
 
 def test_stages_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    extra = [(9001, None, "en", "src1", 0), (9002, "123 ...", "en", "src1", 7), (9003, "0123456789 " * 30 + "q", "en", "src1", 331)]
+    extra = [(9001, None, "en", "src1", 0), (9002, "123 ...", "en", "src1", 7)]
+    extra += [(9003 + i, (ALIEN * 60)[:n], "en", "src1", n) for i, n in enumerate((20, 99, 120, 2000))]
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     rows = {r["doc_id"]: r for r in docs.collect()}
     kept = P.STAGES[0][1](spark, docs, SF_DIR)
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.collect()}
-    assert ids >= set(rows) - {9001, 9002, 9003} - {d for d, r in rows.items() if not re.search("[^\\W\\d_]", r["text"] or "")} and not ids & {9001, 9002}
+    odd = {d for d, *_ in extra}
+    assert ids == set(rows) - odd - {d for d, r in rows.items() if not re.search("[^\\W\\d_]", r["text"] or "")}
 
     single = P.STAGES[1][1](spark, kept, SF_DIR)
     assert single.columns == docs.columns
