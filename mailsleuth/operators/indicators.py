@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ip as IP, rules as R, text as TX, url as U
+from ..session import stored
 
 
 def with_indicators(messages: DataFrame, text: Column, urls: Column | None = None, hashes: Column | None = None) -> DataFrame:
@@ -19,6 +20,13 @@ def with_indicators(messages: DataFrame, text: Column, urls: Column | None = Non
         "hashes": TX.sorted_set(hashes if hashes is not None else empty), "crypto_wallets": TX.sorted_set(found(R.RE_WALLET))}).drop("_txt")
 
 
+def with_hashes(df: DataFrame, attachments: DataFrame) -> DataFrame:
+    """The sets above with the hashes of the attachments (``ingest.attachment_facts``), joined to the narrow rows."""
+    narrow = df.select("message_id", *[c for _, c in KINDS if c != "hashes"])
+    both = narrow.join(stored(attachments.select("message_id", "hashes"), "attachment-hashes"), "message_id", "left")
+    return both.withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>")))
+
+
 KINDS = [("ip", "ip_addresses"), ("domain", "domains"), ("url", "urls"), ("email", "email_addresses"), ("hash", "hashes"), ("wallet", "crypto_wallets")]
 
 

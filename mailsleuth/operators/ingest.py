@@ -106,11 +106,30 @@ def attachment_links(parts: DataFrame) -> DataFrame:
                      F.when(F.size("qr_urls") > 0, 45).otherwise(0).alias("quishing_score"))
 
 
-def attachment_penalty(parts: Column, pdf_links: Column | None = None, image_links: Column | None = None) -> Column:
-    """Gateway attachment penalty of an array of ``named_parts``; capped at 45."""
+def attachment_facts(parts: DataFrame, named: int = 3) -> DataFrame:
+    """What the payloads of a message add to its score, one row per message: ``pdf_links`` and ``image_links`` (number of
+    PDFs and images that hold links), ``link_findings`` in the order of the parts, of which a PDF's counts all its links
+    and names the first ``named``, and the sorted ``hashes``. Parts without a message id belong to none."""
+    known = parts.where(F.col("message_id").isNotNull())
+    links = attachment_links(known).withColumns({"n_pdf": F.size("pdf_urls"), "n_image": F.size("qr_urls")})
+    name = F.concat(F.lit("'"), blank("original_filename"), F.lit("'"))
+    pdf = F.when(F.col("n_pdf") > 0, F.concat(F.lit("PDF "), name, F.lit(" holds links ("), F.col("n_pdf").cast("string"), F.lit("): "), F.array_join(F.slice("pdf_urls", 1, named), ", ")))
+    image = F.when(F.col("n_image") > 0, F.concat(F.lit("Image "), name, F.lit(" leads to "), F.get("qr_urls", F.lit(0))))
+    texts = F.array_sort(F.collect_list(F.struct("pos", F.array_compact(F.array(pdf, image)).alias("t"))))
+    found = links.groupBy("message_id").agg(F.sum((F.col("n_pdf") > 0).cast("int")).cast("int").alias("pdf_links"), F.sum((F.col("n_image") > 0).cast("int")).cast("int").alias("image_links"), F.flatten(F.transform(texts, lambda x: x["t"])).alias("link_findings"))
+    hashes = known.groupBy("message_id").agg(F.array_sort(F.collect_set(F.sha2(F.col("content").cast("binary"), 256))).alias("hashes"))
+    return hashes.join(found, "message_id", "left").select("message_id", "hashes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pdf_links", "image_links")], F.coalesce("link_findings", F.array().cast("array<string>")).alias("link_findings"))
+
+
+LINK_POINTS = {"pdf_links": 15, "image_links": 35}
+
+
+def attachment_points(parts: Column) -> Column:
+    """Points for the names of an array of ``named_parts``, not yet capped."""
     one = lambda x: F.when(files.dangerous_part(x), 35).otherwise(0) + F.when(files.double_part(x), 30).otherwise(0)
-    total = F.aggregate(parts, F.lit(0), lambda a, x: a + one(x))
-    for links, points in ((pdf_links, 15), (image_links, 35)):
-        if links is not None:
-            total = total + F.coalesce(links, F.lit(0)) * points
-    return F.least(F.lit(45), total.cast("int"))
+    return F.aggregate(parts, F.lit(0), lambda a, x: a + one(x))
+
+
+def attachment_penalty(points: Column, *links: Column) -> Column:
+    """Gateway attachment penalty: points for names, and for the numbers of PDFs and of images with links; 45 at most."""
+    return F.least(F.lit(45), sum((F.coalesce(n, F.lit(0)) * p for n, p in zip(links, LINK_POINTS.values())), points).cast("int"))

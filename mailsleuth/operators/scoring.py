@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, files, header as H, rules as R, text as TX, url as U
-from .ingest import attachment_penalty, gateway_urls, upload_urls
+from ..session import stored
+from .ingest import LINK_POINTS, attachment_penalty, attachment_points, gateway_urls, upload_urls
 from .urls import with_url_risk
 
 
@@ -61,7 +62,8 @@ def gateway_profile(messages: DataFrame, lure_text: str = "subject") -> DataFram
             F.when(F.col("g_tld") != "", F.concat(F.lit("Sender domain uses suspicious TLD: "), F.col("g_tld"))))),
         "content_penalty": F.least(F.lit(40), F.floor(F.col("lure_score") / 2).cast("int") + F.size("content_labels") * 5),
         "_cc": F.transform("content_labels", lambda l: F.concat(F.lit("Content indicator detected: "), l)),
-        "_tt": attachment_texts(F.col("_parts")), "attachment_penalty": attachment_penalty(F.col("_parts"))})
+        "_tt": attachment_texts(F.col("_parts")), "name_points": attachment_points(F.col("_parts"))})
+    df = df.withColumn("attachment_penalty", attachment_penalty(F.col("name_points")))
     df = df.withColumn("header_penalty", F.least(F.lit(35), F.size("_ht") * 12))
     return df.withColumn("row_findings", F.concat("_ht", "_at", "_st", "_cc")).drop("_auth", "_ht", "_at", "_st", "_cc", "_parts", "_rp", "_fd").withColumnRenamed("_tt", "attachment_findings")
 
@@ -77,35 +79,68 @@ def attachment_texts(parts: Column) -> Column:
 PENALTIES = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "url_penalty", "attachment_penalty"]
 
 
-def gateway_scores(messages: DataFrame, redirect_summary: DataFrame | None = None, lure_text: str = "subject", max_urls: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+def url_findings(messages: DataFrame, redirect_summary: DataFrame | None = None, max_urls: int | None = None) -> DataFrame:
+    """URLs of ``_urls`` in each message with their score and findings. A URL's redirects come by a join with a stored
+    table, so that Spark can split a URL that sits in very many mails."""
+    urls = F.col("_urls")
+    rest = [c for c in messages.columns if c != "_urls"]
+    df = messages.select(*rest, F.posexplode_outer(urls if max_urls is None else F.slice(urls, 1, max_urls)).alias("pos", "url"))
+    if redirect_summary is not None:
+        df = df.join(stored(redirect_summary, "redirect-risks"), "url", "left")
+    df = with_url_risk(df, redirect_risk=F.coalesce(F.col("redirect_risk"), F.lit(0)) if redirect_summary is not None else None)
+    label = F.concat(F.lit("URL ["), F.col("url"), F.lit("]: "))
+    return df.withColumn("url_texts", F.transform("url_findings", lambda t: F.concat(label, t)))
+
+
+def gateway_scores(messages: DataFrame, redirect_summary: DataFrame | None = None, lure_text: str = "subject", max_urls: int | None = None, also: tuple[str, ...] = (),
+                   attachments: DataFrame | None = None) -> DataFrame:
     """One row per row of ``messages``, also where ids repeat: the six penalties, score, severity,
     recommendation, policy decision. ``max_urls`` None scores all URLs of a mail; ``also`` names further columns of
-    the profile to keep."""
+    the profile to keep. ``redirect_summary`` (url, redirect_risk) and ``attachments`` (``ingest.attachment_facts``) add
+    what captured redirects and the payloads say; both are joined to narrow rows, without headers and bodies."""
     df = gateway_profile(messages.withColumn("_urls", gateway_urls(F.col("text_body"), F.col("html_body"))), lure_text)
-    keep = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "attachment_penalty", "spf", "dkim", "dmarc",
+    keep = ["header_penalty", "auth_penalty", "sender_penalty", "content_penalty", "attachment_penalty", "name_points", "spf", "dkim", "dmarc",
             "row_findings", "attachment_findings", "header_security_score", "lure_score", "g_from_domain", "subject", "from_hdr", *also]
     extra = [c for c in ("received_at", "doc_id", "user_email") if c in messages.columns]
     df = df.select("message_id", F.monotonically_increasing_id().alias("_row"), F.struct(*keep, *extra).alias("m"), "_urls")
-    urls = F.col("_urls")
-    df = df.select("message_id", "_row", "m", F.posexplode_outer(urls if max_urls is None else F.slice(urls, 1, max_urls)).alias("pos", "url"))
-    if redirect_summary is not None:
-        from .skew import attach_unique
-        df = attach_unique(df, redirect_summary, ["url"])
-    df = with_url_risk(df, redirect_risk=F.col("redirect_risk") if redirect_summary is not None else None)
+    df = url_findings(df, redirect_summary, max_urls)
     points = F.when(F.col("url_risk_score") >= 50, 25).when(F.col("url_risk_score") >= 25, 10).otherwise(0)
-    label = F.concat(F.lit("URL ["), F.col("url"), F.lit("]: "))
-    texts = F.when(F.col("url").isNotNull(), F.struct(F.col("pos"), F.transform("url_findings", lambda t: F.concat(label, t)).alias("t")))
+    texts = F.when(F.col("url").isNotNull(), F.struct(F.col("pos"), F.col("url_texts").alias("t")))
     # a row's URLs share its own row number, so first() sees one value only
     df = df.groupBy("_row", "message_id").agg(
         F.first("m").alias("m"), F.least(F.lit(45), F.sum(points)).cast("int").alias("url_penalty"), F.count("url").alias("urls_scored"),
         F.array_sort(F.collect_list(texts)).alias("_u"))
     df = df.select("message_id", "m.*", "url_penalty", "urls_scored", F.flatten(F.transform("_u", lambda u: u["t"])).alias("url_findings"))
+    if attachments is not None:
+        df = df.join(stored(attachments, "attachment-facts"), "message_id", "left")
+        df = df.withColumns({"attachment_penalty": attachment_penalty(F.col("name_points"), *[F.col(c) for c in LINK_POINTS]),
+                             "attachment_findings": F.concat("attachment_findings", F.coalesce("link_findings", F.array().cast("array<string>")))}).drop("link_findings")
     total = sum((F.col(p) for p in PENALTIES[1:]), F.col(PENALTIES[0]))
     df = df.withColumns({"risk_score": bands.clamp(total), "findings": F.concat("row_findings", "url_findings", "attachment_findings")})
     return df.withColumns({
         "severity": bands.severity(F.col("risk_score")), "recommendation": bands.recommendation(F.col("risk_score")),
         "decision": bands.decision(F.col("risk_score")), "reason": bands.decision_reason(F.col("risk_score"), F.col("findings")),
-    }).drop("row_findings", "url_findings", "attachment_findings")
+    }).drop("row_findings", "url_findings", "attachment_findings", "name_points")
+
+
+def findings_union(messages: DataFrame, redirect_summary: DataFrame | None = None, attachments: DataFrame | None = None) -> DataFrame:
+    """Bag of the findings of all analyzers: message_id, source, finding. The sources that look at the message alone come
+    from one pass over it; URLs and payloads add rows of their own."""
+    p = gateway_profile(messages)
+    named = lambda findings: F.transform(findings, lambda f: f["finding"])
+    own = {"auth": named(H.auth_findings()), "sender": named("sender_findings"), "routing": named("routing_findings"), "integrity": named("integrity_findings"),
+           "content": F.col("content_labels"), "attachment": F.col("attachment_findings")}
+    p = stored(p.select("message_id", *[c.alias(k) for k, c in own.items()]), "findings")  # the analyzers run once
+    rows = p.select("message_id", F.explode(F.array(*[F.struct(F.lit(k).alias("source"), F.col(k).alias("findings")) for k in own])).alias("f"))
+    rows = rows.select("message_id", "f.source", F.explode("f.findings").alias("finding"))
+    urls = messages.select("message_id", gateway_urls(F.col("text_body"), F.col("html_body")).alias("_urls"))
+    # an inner explode would be given a filter on its array, which the optimizer copies through all steps of the score
+    urls = url_findings(urls, redirect_summary).select("message_id", F.lit("url").alias("source"), F.explode_outer("url_texts").alias("finding"))
+    rows = rows.unionByName(urls.where(F.col("finding").isNotNull()))
+    if attachments is not None:  # payloads of messages that are there
+        mine = attachments.join(messages.select("message_id"), "message_id", "left_semi")
+        rows = rows.unionByName(mine.select("message_id", F.lit("attachment").alias("source"), F.explode("link_findings").alias("finding")))
+    return rows
 
 
 def upload_scores(messages: DataFrame, attached: DataFrame | None = None) -> DataFrame:
@@ -114,7 +149,8 @@ def upload_scores(messages: DataFrame, attached: DataFrame | None = None) -> Dat
     ``attached`` (message_id, pdf_parts, links array) comes from ``attached_links``."""
     df = H.header_profile(messages)
     if attached is not None:
-        df = df.join(attached, "message_id", "left")
+        # both sides of the join are plain, so that Spark can split a common id
+        df = df.join(stored(attached, "attached-links"), "message_id", "left")
     links = F.coalesce(F.col("links"), F.array().cast("array<string>")) if attached is not None else F.array().cast("array<string>")
     pdf_parts = F.coalesce(F.col("pdf_parts"), F.lit(0)) if attached is not None else F.lit(0)
     body = F.when(TX.blank("text_body") != "", F.col("text_body")).otherwise(TX.blank("html_body"))

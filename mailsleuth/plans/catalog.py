@@ -390,10 +390,17 @@ def a08_message_url_penalty(v):
     return urls.message_url_penalty(urls.score_back(v.urls, urls.url_scores(v.urls))).select("message_id", *big("url_penalty", "urls_scored"))
 
 
+def attachment_facts(v: Views) -> DataFrame:
+    return ingest.attachment_facts(v.attachment_payloads.withColumnRenamed("payload", "content"))
+
+
 @query
 def a09_attachment_penalty(v):
-    m = v.messages.withColumn("attachments", scoring.names_array())
-    return m.select("message_id", ingest.attachment_penalty(files.named_parts(F.col("attachments"))).cast("bigint").alias("attachment_penalty"), joined(scoring.attachment_texts(files.named_parts(F.col("attachments")))).alias("findings"))
+    m = v.messages.select("message_id", files.named_parts(scoring.names_array()).alias("parts"))
+    m = m.select("message_id", ingest.attachment_points(F.col("parts")).alias("points"), scoring.attachment_texts(F.col("parts")).alias("texts"))
+    m = skew.attach_unique(m, attachment_facts(v), ["message_id"], skew.hot_keys(v.messages, ["message_id"]))
+    return m.select("message_id", ingest.attachment_penalty(F.col("points"), F.col("pdf_links"), F.col("image_links")).cast("bigint").alias("attachment_penalty"),
+                    joined(F.concat("texts", F.coalesce("link_findings", F.array().cast("array<string>")))).alias("findings"))
 
 
 def profile(v: Views) -> DataFrame:
@@ -427,7 +434,7 @@ def a13_content_penalty_full(v):
 
 @query
 def a14_gateway_score(v):
-    s = scoring.gateway_scores(v.messages)
+    s = scoring.gateway_scores(v.messages, redirects.redirect_risk_by_url(v.redirect_hops), attachments=attachment_facts(v))
     return s.select("message_id", *big(*scoring.PENALTIES, "risk_score"), "severity", "recommendation", "decision", F.size("findings").cast("bigint").alias("findings"), joined("findings").alias("top_findings"))
 
 
@@ -463,12 +470,12 @@ def indicator_rows(v: Views) -> DataFrame:
 
 @query
 def a18_indicator_sets(v):
-    return indicator_rows(v).select("message_id", *[joined(c).alias(c) for _, c in indicators.KINDS if c != "hashes"])
+    return indicators.with_hashes(indicator_rows(v), attachment_facts(v)).select("message_id", *[joined(c).alias(c) for _, c in indicators.KINDS])
 
 
 @query
 def a18_indicator_sightings(v):
-    return indicators.sightings(indicators.indicator_table(indicator_rows(v)))
+    return indicators.sightings(indicators.indicator_table(indicators.with_hashes(indicator_rows(v), attachment_facts(v))))
 
 
 def mailboxes(v: Views) -> DataFrame:
@@ -581,15 +588,7 @@ def u01_url_union(v):
 
 @query
 def u02_findings_union(v):
-    p = profile(v)
-    rows = lambda src, c: p.select("message_id", F.lit(src).alias("source"), F.explode(c).alias("finding"))
-    parts = [rows("auth", F.transform(H.auth_findings(), lambda f: f["finding"])), rows("sender", F.transform("sender_findings", lambda f: f["finding"])),
-             rows("routing", F.transform("routing_findings", lambda f: f["finding"])), rows("integrity", F.transform("integrity_findings", lambda f: f["finding"])),
-             rows("content", F.col("content_labels"))]
-    out = parts[0]
-    for d in parts[1:]:
-        out = out.unionByName(d)
-    return out.groupBy("source", "finding").agg(F.count(F.lit(1)).alias("messages"))
+    return scoring.findings_union(v.messages, redirects.redirect_risk_by_url(v.redirect_hops), attachment_facts(v)).groupBy("source", "finding").agg(F.count(F.lit(1)).alias("messages"))
 
 
 @query

@@ -91,6 +91,8 @@ SELECT chain_id, hop_no, source_url, destination_url, status_code FROM (
               ELSE lead(url) OVER (PARTITION BY page_id - page_id % 4 ORDER BY page_id) END AS destination_url,
          CASE WHEN page_id % 2 = 0 THEN 301 ELSE 302 END AS status_code
   FROM {pages}) x WHERE destination_url IS NOT NULL
+UNION ALL SELECT * FROM (VALUES (-1, 1, 'https://bit.ly/3abcd', 'http://parcel.example.click/a', 301), (-1, 2, 'http://parcel.example.click/a', 'https://login.example.top/b', 302), (-1, 3, 'http://other.example.org/c', 'http://192.168.7.9/login', 302),
+  (-2, 1, 'https://t.co/zz', 'http://t.co/zz', 302), (-2, 2, 'http://t.co/zz', 'https://office365-login.com/a', 302)) AS t(chain_id, hop_no, source_url, destination_url, status_code)
 """
 
 USERS = """

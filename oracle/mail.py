@@ -233,7 +233,8 @@ IND = f"""{URLS_OF},
 it AS (SELECT message_id, {_asc("raw_headers || chr(10) || text_body || chr(10) || html_body")} AS t FROM msg),
 ia AS (SELECT message_id, list_filter(list_concat(regexp_extract_all(t, '{R.RE_IPV4}'), regexp_extract_all(t, '{R.RE_IPV6}')), lambda a: NOT starts_with(a, '127.') AND a <> '0.0.0.0') AS ips,
   list_filter(regexp_extract_all(t, '{R.RE_DOMAIN}'), lambda d: length(d) <= 253 AND NOT ends_with(d, '.local')) AS doms, regexp_extract_all(t, '{R.RE_EMAIL}') AS mails, regexp_extract_all(t, '{R.RE_WALLET}') AS wals FROM it)"""
-S["a18_indicator_sets"] = stmt(MSG, IND, final=f"""SELECT message_id, {_set('ips')} AS ip_addresses, {_set('doms')} AS domains, coalesce((SELECT string_agg(url, '|' ORDER BY url) FROM gu WHERE gu.message_id = ia.message_id), '') AS urls,
- {_set('mails')} AS email_addresses, {_set('wals')} AS crypto_wallets FROM ia""")
-S["a18_indicator_sightings"] = stmt(MSG, IND, """il AS (SELECT DISTINCT message_id, 'ip' AS ioc_type, unnest(ips) AS ioc_value FROM ia UNION ALL SELECT DISTINCT message_id, 'domain', unnest(doms) FROM ia UNION ALL SELECT DISTINCT message_id, 'email', unnest(mails) FROM ia
-  UNION ALL SELECT DISTINCT message_id, 'wallet', unnest(wals) FROM ia UNION ALL SELECT message_id, 'url', url FROM gu)""", final="SELECT ioc_type, ioc_value, count(*) AS sightings FROM il GROUP BY ALL")
+HASHES = f"""{view("attachment_payloads", "ap")}, hs0 AS (SELECT DISTINCT message_id, sha256(payload) AS h FROM ap), ha AS (SELECT message_id, string_agg(h, '|' ORDER BY h) AS hl FROM hs0 GROUP BY message_id)"""
+S["a18_indicator_sets"] = stmt(MSG, IND, HASHES, final=f"""SELECT message_id, coalesce(hl, '') AS hashes, {_set('ips')} AS ip_addresses, {_set('doms')} AS domains, coalesce((SELECT string_agg(url, '|' ORDER BY url) FROM gu WHERE gu.message_id = ia.message_id), '') AS urls,
+ {_set('mails')} AS email_addresses, {_set('wals')} AS crypto_wallets FROM ia LEFT JOIN ha USING (message_id)""")
+S["a18_indicator_sightings"] = stmt(MSG, IND, HASHES, """il AS (SELECT DISTINCT message_id, 'ip' AS ioc_type, unnest(ips) AS ioc_value FROM ia UNION ALL SELECT DISTINCT message_id, 'domain', unnest(doms) FROM ia UNION ALL SELECT DISTINCT message_id, 'email', unnest(mails) FROM ia
+  UNION ALL SELECT DISTINCT message_id, 'wallet', unnest(wals) FROM ia UNION ALL SELECT message_id, 'url', url FROM gu UNION ALL SELECT message_id, 'hash', h FROM hs0 WHERE message_id IN (SELECT message_id FROM msg))""", final="SELECT ioc_type, ioc_value, count(*) AS sightings FROM il GROUP BY ALL")

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import Window, functions as F
 
-from mailsleuth.operators import analyst, skew
+from mailsleuth.operators import analyst, scoring, skew
 from mailsleuth.plans.catalog import QUERIES
 from mailsleuth.plans.fixtures import Views
 
@@ -62,7 +62,7 @@ def test_no_query_plans_a_cross_join(spark):
 
 
 def test_message_scoring_has_one_shuffle(spark):
-    text = plan(QUERIES["a14_gateway_score"](Views(spark, SF)))
+    text = plan(scoring.gateway_scores(Views(spark, SF).messages))
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
 
 
