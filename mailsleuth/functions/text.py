@@ -35,13 +35,6 @@ def matching_phrase(phrase: str) -> str:
     return re.sub(r"\s+", " ", t).strip()
 
 
-def hits(text: Column, phrases: list[str], shown: list[str] | None = None) -> Column:
-    """Matched phrases in rule order. A chain of literal CASEs stays inside generated code."""
-    shown = shown or phrases
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(s))
-                                     for p, s in zip(phrases, shown)]))
-
-
 def hit_count(text: Column, phrases: list[str]) -> Column:
     total = F.lit(0)
     for p in phrases:
@@ -49,34 +42,84 @@ def hit_count(text: Column, phrases: list[str]) -> Column:
     return total
 
 
-def any_hit(text: Column, phrases: list[str]) -> Column:
-    found = F.lit(False)
-    for p in phrases:
-        found = found | F.contains(text, F.lit(p))
-    return found
+def phrase_ids(text: Column, phrases: list[str]) -> Column:
+    """Sorted numbers of the phrases that stand anywhere in the text, by one pass of an automaton over it, whose cost does
+    not depend on the number of phrases. Spark can only test phrase by phrase, so the texts go to Arrow workers; null
+    and empty texts hold none. A worker without the automaton module tests phrase by phrase."""
+    numbers: dict[str, list[int]] = {}
+    for i, phrase in enumerate(phrases):
+        numbers.setdefault(phrase, []).append(i)
+    numbers.pop("", None)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def find(texts: pd.Series) -> pd.Series:
+        try:
+            import ahocorasick
+            automaton = ahocorasick.Automaton()
+            for phrase, own in numbers.items():
+                automaton.add_word(phrase, own)
+            if numbers:
+                automaton.make_automaton()
+            met = lambda x: (own for _, own in automaton.iter(x)) if numbers else ()
+        except ImportError:
+            met = lambda x: (own for phrase, own in numbers.items() if phrase in x)
+        return texts.map(lambda x: sorted({i for own in met(x) for i in own}) if x else [])
+
+    return find(text)
+
+
+# all keywords in rule order, and the numbers of each category among them
+KEYWORDS = [k for _, _, kws in R.KEYWORD_CATEGORIES for k in kws]
+_ENDS = [sum(len(kws) for _, _, kws in R.KEYWORD_CATEGORIES[:i + 1]) for i in range(len(R.KEYWORD_CATEGORIES))]
+KEYWORD_RANGES = [(end - len(kws), end) for end, (_, _, kws) in zip(_ENDS, R.KEYWORD_CATEGORIES)]
+
+
+def keyword_ids(text: Column) -> Column:
+    """Numbers of the keywords in an evasion-resistant text; the functions below take them."""
+    return phrase_ids(text, [matching_phrase(k) for k in KEYWORDS])
 
 
-def category_matches(text: Column) -> Column:
+def _within(a: int, b: int):
+    return lambda i: (i >= a) & (i < b)
+
+
+def category_matches(ids: Column) -> Column:
     """array<struct<category, weight, keywords>> over all categories with at least one hit."""
+    shown = F.array(*[F.lit(k) for k in KEYWORDS])
     return F.filter(F.array(*[
         F.struct(F.lit(name).alias("category"), F.lit(weight).alias("weight"),
-                 hits(text, [matching_phrase(k) for k in kws], kws).alias("keywords"))
-        for name, weight, kws in R.KEYWORD_CATEGORIES]), lambda m: F.size(m["keywords"]) > 0)
+                 F.transform(F.filter(ids, _within(a, b)), lambda i: F.get(shown, i)).alias("keywords"))
+        for (name, weight, _), (a, b) in zip(R.KEYWORD_CATEGORIES, KEYWORD_RANGES)]), lambda m: F.size(m["keywords"]) > 0)
+
+
+def _held(ids: Column, a: int, b: int) -> Column:
+    return F.exists(ids, _within(a, b))
 
 
-def keyword_score(text: Column) -> Column:
+def keyword_score(ids: Column) -> Column:
     """Sum of the weights of the categories hit, capped."""
     raw = F.lit(0)
-    for _, weight, kws in R.KEYWORD_CATEGORIES:
+    for (_, weight, _), (a, b) in zip(R.KEYWORD_CATEGORIES, KEYWORD_RANGES):
         if weight:
-            raw = raw + F.when(any_hit(text, [matching_phrase(k) for k in kws]), weight).otherwise(0)
+            raw = raw + F.when(_held(ids, a, b), weight).otherwise(0)
     return F.least(F.lit(R.KEYWORD_CAP), raw)
 
 
-def categories_hit(text: Column) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(any_hit(text, [matching_phrase(k) for k in kws]), F.lit(name))
-        for name, _, kws in R.KEYWORD_CATEGORIES]))
+def categories_hit(ids: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(_held(ids, a, b), F.lit(name)) for (name, *_), (a, b) in zip(R.KEYWORD_CATEGORIES, KEYWORD_RANGES)]))
+
+
+LURE_TERMS = [term for *_, terms in R.LURES for term in terms]
+
+
+def lure_counts(ids: Column) -> dict[str, Column]:
+    """Number of terms of each lure list, from the numbers of ``LURE_TERMS`` in a lower-case text."""
+    out, begin = {}, 0
+    for key, *_, terms in R.LURES:
+        end = begin + len(terms)
+        out[key] = F.size(F.filter(ids, _within(begin, end)))
+        begin = end
+    return out
 
 
 def lure_score(points: dict[str, Column]) -> Column:

@@ -156,12 +156,13 @@ def upload_scores(messages: DataFrame, attached: DataFrame | None = None) -> Dat
     body = F.when(TX.blank("text_body") != "", F.col("text_body")).otherwise(TX.blank("html_body"))
     df = df.withColumns({"body": body, "attachments": names_array(), "_links": links, "_pdfs": pdf_parts})
     df = df.withColumn("_norm", F.trim(F.concat(TX.matching_text(F.col("subject")), F.lit(" "), TX.matching_text(F.col("body")))))
+    df = df.withColumn("_ids", TX.keyword_ids(F.col("_norm")))
     execs = F.size(F.filter("attachments", lambda n: files.ends_with_any(n, R.UPLOAD_EXECUTABLES)))
     status = lambda p: F.col(f"auth.{p}.status").isin("FAIL", "PERMERROR")
     spoofs = F.size(F.filter("sender_findings", lambda f: f["finding"].isin("Display Name Email Spoofing", "Free Email Brand Impersonation")))
     df = df.withColumns({
-        "reply_points": F.when(F.col("reply_mismatch"), 25).otherwise(0), "keyword_points": TX.keyword_score(F.col("_norm")),
-        "_kc": TX.categories_hit(F.col("_norm")), "exec_points": execs * 35, "pdf_points": F.col("_pdfs") * 20,
+        "reply_points": F.when(F.col("reply_mismatch"), 25).otherwise(0), "keyword_points": TX.keyword_score(F.col("_ids")),
+        "_kc": TX.categories_hit(F.col("_ids")), "exec_points": execs * 35, "pdf_points": F.col("_pdfs") * 20,
         "auth_points": F.when(status("spf"), 25).otherwise(0) + F.when(status("dkim"), 25).otherwise(0) + F.when(status("dmarc"), 30).otherwise(0),
         "spoof_points": spoofs * 25})
     facts = ["reply_points", "keyword_points", "_kc", "exec_points", "pdf_points", "auth_points", "spoof_points", "header_security_score", "from_addr", "subject"]

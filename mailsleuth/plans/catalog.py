@@ -364,7 +364,8 @@ def upload_text(v: Views) -> DataFrame:
 
 @query
 def a05_keyword_score(v):
-    return upload_text(v).select("message_id", TX.keyword_score(F.col("norm")).cast("bigint").alias("keyword_score"), joined(TX.categories_hit(F.col("norm"))).alias("categories"))
+    t = upload_text(v).select("message_id", TX.keyword_ids(F.col("norm")).alias("ids"))
+    return t.select("message_id", TX.keyword_score(F.col("ids")).cast("bigint").alias("keyword_score"), joined(TX.categories_hit(F.col("ids"))).alias("categories"))
 
 
 @query
@@ -616,7 +617,7 @@ def f02_content_text(v):
 
 @query
 def f03_keyword_hits(v):
-    t = upload_text(v).select("message_id", F.explode(TX.category_matches(F.col("norm"))).alias("m"))
+    t = upload_text(v).select("message_id", TX.keyword_ids(F.col("norm")).alias("ids")).select("message_id", F.explode(TX.category_matches(F.col("ids"))).alias("m"))
     return t.select("message_id", F.col("m.category").alias("category"), F.col("m.weight").cast("bigint").alias("weight"), joined("m.keywords").alias("keywords"))
 
 
@@ -628,8 +629,8 @@ def f04_content_patterns(v):
 @query
 def f05_lure_hits(v):
     d = v.base("documents").unionByName(v.messages.select(F.col("doc_id") + 10000000, F.col("text_body").alias("text")).toDF("doc_id", "text"), allowMissingColumns=True)
-    low = F.lower("text")
-    return d.select("doc_id", *[TX.hit_count(low, terms).cast("bigint").alias(k) for k, _, _, _, terms in R.LURES])
+    d = d.select("doc_id", TX.phrase_ids(F.lower("text"), TX.LURE_TERMS).alias("ids"))
+    return d.select("doc_id", *[n.cast("bigint").alias(k) for k, n in TX.lure_counts(F.col("ids")).items()])
 
 
 @query

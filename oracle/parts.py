@@ -5,7 +5,6 @@ from __future__ import annotations
 import ipaddress
 
 from mailsleuth.functions import rules as R
-from mailsleuth.functions.text import matching_phrase
 from mailsleuth.plans.fixtures import view_sql
 
 

@@ -50,7 +50,7 @@ def test_matching_text_undoes_evasion(spark):
 
 def test_keyword_score_is_capped(spark):
     text = ["act now verify your account wire transfer", "urgent, your account will be closed", "hello", ""]
-    assert column(spark, text, lambda c: TX.keyword_score(TX.matching_text(c))) == [40, 12, 0, 0]
+    assert column(spark, text, lambda c: TX.keyword_score(TX.keyword_ids(TX.matching_text(c)))) == [40, 12, 0, 0]
 
 
 def test_content_text(spark):
@@ -149,3 +149,27 @@ def test_sender_spoofing(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "message_id int, raw_headers string")
     got = [r.spoofing_score for r in H.sender_identity(H.with_headers(df)).orderBy("message_id").collect()]
     assert got == [40, 40, 15]
+
+
+def test_phrases_found_as_by_plain_search(spark, monkeypatch):
+    rng = random.Random(8)
+    phrases = ["ab", "b", "abc abc", "", "é x", "b"] + ["".join(rng.choice("ab c") for _ in range(rng.randrange(1, 6))) for _ in range(400)]
+    texts = ["".join(rng.choice("abc é x") for _ in range(60)) for _ in range(50)] + ["", None, "abc abc abc"]
+    want = [[i for i, p in enumerate(phrases) if p and p in (t or "")] for t in texts]
+    assert column(spark, texts, lambda c: TX.phrase_ids(c, phrases)) == want
+    assert column(spark, texts, lambda c: TX.phrase_ids(c, [])) == [[] for _ in texts]
+    names = {k: i for i, k in enumerate(TX.KEYWORDS)}
+    assert len(names) <= len(TX.KEYWORDS) == TX.KEYWORD_RANGES[-1][1] and TX.KEYWORD_RANGES[0][0] == 0
+
+
+def test_content_text_states_its_texts(spark):
+    """Entities, compatibility forms, invisible characters and blanks, with the texts that come out."""
+    pairs = [("Pay&nbsp;now &amp; win &#x41;&lt;b&gt;", "Pay now & win A<b>"), ("\uff36\uff45\uff52\uff49\uff46\uff59 \u2460\ufb01", "Verify 1fi"), ("pass\u200bword\u202e\ufeff", "password"),
+             ("  a\t\n b\u00a0c ", "a b c"), ("cafe\u0301", "caf\u00e9"), ("", ""), (None, ""), ("plain", "plain"), ("&unknown; &copy", "&unknown; \u00a9"), ("x\u2126\u212b", "x\u03a9\u00c5")]
+    assert column(spark, [a for a, _ in pairs], TX.content_text) == [b for _, b in pairs]
+
+
+def test_punycode_states_its_texts(spark):
+    pairs = [("xn--e1afmkfd.xn--p1ai", "\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444"), ("xn--mnchen-3ya.de", "m\u00fcnchen.de"), ("example.com", "example.com"), ("a.xn--n3h.example", "a.\u2603.example"), ("xn--99999999999.com", "xn--99999999999.com"), ("", ""), (None, None)]
+    got = column(spark, [a for a, _ in pairs], U.unicode_host)
+    assert [g for g, (_, b) in zip(got, pairs) if b is not None] == [b for _, b in pairs if b is not None]
