@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import bands, rules as R
 from ..session import stored
@@ -111,27 +111,37 @@ def fold_attempts(attempts: DataFrame, max_retries: int = R.MAX_RETRIES) -> Data
     return attempt_states(attempt_facts(attempts, max_retries), max_retries)
 
 
+def _first_failures(failures: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of the rows message_id, no, text of each message, one for each number. Numbers are folded first, with
+    the id and the number as key, and the limit on row numbers is applied before the shuffle too, so that a job with
+    very many attempts brings no more than ``n`` rows from each task."""
+    each = failures.groupBy("message_id", "no").agg(F.min("text").alias("text"))
+    return each.withColumn("_rn", F.row_number().over(Window.partitionBy("message_id").orderBy("no"))).where(F.col("_rn") <= n).drop("_rn")
+
+
+def _facts(first: DataFrame, ends: DataFrame) -> DataFrame:
+    """message_id, ok_at, failures (array of no and text, in order) of every message in ``ends``."""
+    lists = first.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("failures")).withColumnRenamed("message_id", "_m")
+    both = ends.join(lists, F.col("message_id").eqNullSafe(F.col("_m")), "left").drop("_m")
+    return both.withColumn("failures", F.coalesce("failures", F.array().cast("array<struct<no:bigint,text:string>>")))
+
+
 def attempt_facts(attempts: DataFrame, max_retries: int = R.MAX_RETRIES) -> DataFrame:
     """What counts of a job's attempts: the first success and the first ``max_retries`` failures. Facts of two sets
     of attempts merge into the facts of both, so they can be kept per batch."""
     at = F.col("attempt_no").cast("bigint")
-    failed = F.collect_set(F.when(F.col("outcome") == "failed", F.struct(at.alias("n"), F.col("error_text").alias("text"))))
-    f = attempts.groupBy("message_id").agg(F.min(F.when(F.col("outcome") == "ok", at)).alias("ok_at"), failed.alias("failures"))
-    return f.withColumn("failures", _first_failures(F.col("failures"), max_retries))
-
-
-def _first_failures(failures: Column, n: int) -> Column:
-    """The first failure of each of the first n attempt numbers."""
-    each = F.aggregate(F.array_sort(failures), F.slice(failures, 1, 0), lambda a, f: F.when(
-        (F.size(a) > 0) & (F.element_at(a, -1)["n"] == f["n"]), a).otherwise(F.concat(a, F.array(f))))
-    return F.slice(each, 1, n)
+    ends = attempts.groupBy("message_id").agg(F.min(F.when(F.col("outcome") == "ok", at)).alias("ok_at"))
+    failed = attempts.where(F.col("outcome") == "failed").select("message_id", at.alias("no"), F.col("error_text").alias("text"))
+    return _facts(_first_failures(failed, max_retries), ends)
 
 
 def attempt_states(facts: DataFrame, max_retries: int = R.MAX_RETRIES) -> DataFrame:
     """Job states from facts (message_id, ok_at, failures), of one or of many batches."""
-    f = facts.groupBy("message_id").agg(F.min("ok_at").alias("ok_at"), F.flatten(F.collect_list("failures")).alias("failures"))
-    before = F.filter("failures", lambda x: F.col("ok_at").isNull() | (x["n"] < F.col("ok_at")))
-    f = f.withColumn("failures", _first_failures(before, max_retries))
+    ends = facts.groupBy("message_id").agg(F.min("ok_at").alias("ok_at"))
+    failed = facts.select("message_id", F.explode("failures").alias("f")).select("message_id", "f.no", "f.text")
+    f = _facts(_first_failures(failed, max_retries), ends)
+    # failures after the first success do not count; the first ones of all are enough to know those before it
+    f = f.withColumn("failures", F.filter("failures", lambda x: F.col("ok_at").isNull() | (x["no"] < F.col("ok_at"))))
     f = f.withColumns({"retry_count": F.size("failures").cast("bigint"), "last_error": F.get("failures", F.size("failures") - 1)["text"]})
     done = F.col("ok_at").isNotNull() & (F.col("retry_count") < max_retries)
     return f.select("message_id", "retry_count", F.when(F.col("retry_count") >= max_retries, "FAILED").when(done, "READY_FOR_ANALYSIS").otherwise("QUEUED").alias("status"),

@@ -58,9 +58,9 @@ def _grams(c: Column, size: int) -> Column:
     return F.when(F.length(c) >= size, F.transform(starts, lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def search_terms(terms: DataFrame, scans: DataFrame, limit: int = 10) -> DataFrame:
-    """Bulk indicator search: for each distinct term the newest ``limit`` scans with the term in urls,
-    indicators, sender or subject, then the count of all matches, score and verdict.
+def search_terms(terms: DataFrame, scans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bulk indicator search: for each distinct term the scans with the term in urls, indicators, sender or subject,
+    all or the newest ``limit`` of them, then the count of all matches, score and verdict.
 
     Substring search becomes an equi-join: texts are cut into windows of 1 to 3 characters, a term is
     looked up by the rarest of its own windows, and the full test follows on those candidates only.
@@ -80,7 +80,7 @@ def search_terms(terms: DataFrame, scans: DataFrame, limit: int = 10) -> DataFra
     candidates = scan_grams.join(rarest, "g").select("term", "scan_id")
     matched = candidates.join(hay, "scan_id").where(F.contains(F.col("hay"), low)).select("term", "scan_id", "scan_time")
     newest = Window.partitionBy("term").orderBy(F.col("scan_time").desc(), F.col("scan_id").desc())
-    top = matched.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= limit)
+    top = matched if limit is None else matched.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= limit)
     listed = top.groupBy("term").agg(F.array_sort(F.collect_list("scan_id")).alias("scan_ids"))
     found = matched.groupBy("term").agg(F.count(F.lit(1)).alias("matches_count"))
     df = t.join(found, "term", "left").join(listed, "term", "left").withColumn("matches_count", F.coalesce("matches_count", F.lit(0)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, rules as R, url as U
-from .skew import attach_unique, hot_keys
+from ..session import stored
+from .skew import HOT_SHARE, attach_unique
 
 
 def with_url_risk(df: DataFrame, col: str = "url", redirect_risk: Column | None = None) -> DataFrame:
@@ -46,7 +47,8 @@ def url_inventory(urls: DataFrame) -> DataFrame:
 
 
 def url_scores(urls: DataFrame, redirect_summary: DataFrame | None = None) -> DataFrame:
-    """Scores of the distinct URLs; ``redirect_summary`` (url, redirect_risk) comes from captured chains."""
+    """Scores of the distinct URLs, with their occurrences; ``redirect_summary`` (url, redirect_risk) comes from captured
+    chains."""
     inventory = url_inventory(urls)
     if redirect_summary is None:
         return with_url_risk(inventory)
@@ -54,9 +56,11 @@ def url_scores(urls: DataFrame, redirect_summary: DataFrame | None = None) -> Da
 
 
 def score_back(urls: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scores joined to every occurrence. A URL that a third of all mails carry does not hurt: the
-    few hot URLs are found in the inventory counts and served by broadcast."""
-    return attach_unique(urls, scores.select("url", "url_risk_score", "risk_level"), ["url"], hot_keys(urls, ["url"]))
+    """Scores joined to every occurrence. A URL that a third of all mails carry does not hurt: the few hot URLs follow
+    from the occurrences that the stored scores hold, and are served by broadcast."""
+    known = stored(scores.select("url", "url_risk_score", "risk_level", "occurrences"), "url-scores")
+    hot = known.where(F.col("occurrences") * HOT_SHARE > known.agg(F.sum("occurrences")).scalar()).select("url")
+    return attach_unique(urls, known.drop("occurrences"), ["url"], hot)
 
 
 def message_url_penalty(scored: DataFrame, max_urls: int | None = None) -> DataFrame:

@@ -187,10 +187,10 @@ def p06_review_list(v):
 
 @query
 def p07_indicator_search(v):
-    terms = v.ips.where(F.col("ip").startswith("198.") | F.col("ip").startswith("8.8.")).select(F.col("ip").alias("term")).union(
+    terms = v.ips.where(F.coalesce("ip", F.lit("")) != "").select(F.col("ip").alias("term")).union(
         v.networks.select(F.lower("city"))).union(v.base("nation").select(F.md5(F.col("n_name").cast("binary")))).union(
         v.base("region").select(F.element_at(F.array(*[F.lit(t) for t in ("malicious.xyz", "bulk7.example.net", "ORDER NOTE 5", "10.0.0.1", "m")]), (F.col("r_regionkey") % 5 + 1).cast("int"))))
-    out = indicators.search_terms(terms, v.scans)
+    out = indicators.search_terms(terms, v.scans, limit=10)
     return out.select("term", "ioc_type", "is_private_ip", "md5", "sha1", "sha256", "domain_entropy", *big("matches_count"), F.coalesce(joined("scan_ids"), F.lit("")).alias("scan_ids"), *big("reputation_score"), "verdict")
 
 
@@ -293,10 +293,17 @@ def attached(v: Views) -> DataFrame:
     return scoring.attached_links(ingest.attachment_links(v.attachment_payloads.withColumnRenamed("payload", "content")))
 
 
+def payload_bodies(v: Views) -> DataFrame:
+    """All payloads of a message but PDFs and images, in order, as its body."""
+    p = v.attachment_payloads
+    text = p.where(~((F.col("mime_type") == "application/pdf") | F.lower("original_filename").endswith(".pdf") | files.is_image(F.col("original_filename"), F.col("mime_type"))))
+    each = F.array_sort(F.collect_list(F.struct("pos", "payload")))
+    return text.groupBy("message_id").agg(F.array_join(F.transform(each, lambda x: x["payload"]), "\n").alias("text_body")).withColumn("html_body", F.lit(""))
+
+
 @query
 def j06_url_origin(v):
-    p = v.attachment_payloads
-    bodies = p.groupBy("message_id").agg(F.max("payload").alias("text_body")).withColumn("html_body", F.lit(""))
+    bodies = payload_bodies(v)
     return scoring.url_origins(bodies, attached(v)).select("message_id", "url", "origin", "in_body")
 
 
@@ -582,9 +589,8 @@ def t06_capped_graph(v):
 
 @query
 def u01_url_union(v):
-    p = attached(v)
-    bodies = v.attachment_payloads.groupBy("message_id").agg(F.max("payload").alias("body")).join(p, "message_id", "left")
-    return bodies.select("message_id", F.posexplode(ingest.upload_urls(F.col("body"), F.col("links"))).alias("pos", "url")).select("message_id", *big("pos"), "url")
+    bodies = payload_bodies(v).join(attached(v), "message_id", "full")
+    return bodies.select("message_id", F.posexplode(ingest.upload_urls(F.col("text_body"), F.col("links"))).alias("pos", "url")).select("message_id", *big("pos"), "url")
 
 
 @query

@@ -17,8 +17,8 @@ FILE_SCHEMA = T.StructType([
 
 
 def read_mail_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``.eml`` files below a folder; listing and reading are spread over the tasks."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(folder))
+    """All ``.eml`` files below a folder, in whatever case the suffix is; listing and reading are spread over the tasks."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][mM][lL]").option("recursiveFileLookup", "true").load(folder))
 
 
 def list_mail(files: DataFrame) -> DataFrame:

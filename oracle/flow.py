@@ -102,11 +102,11 @@ def votes(src: str, where: str) -> str:
 _RO = "SELECT ioc_type, ioc_value, cast(coalesce(m, 0) AS bigint) AS malicious, cast(coalesce(s, 0) AS bigint) AS suspicious, cast(coalesce(h, 0) AS bigint) AS harmless, cast(coalesce(u, 1) AS bigint) AS unknown, round(coalesce(c, cast(0.5 AS double)), 6) AS confidence, coalesce(p, 0) AS providers FROM si LEFT JOIN vo USING (ioc_type, ioc_value)"
 S["j07_reputation"] = stmt(SC, SI, RP, votes("rp", "expires_at >= timestamp '2024-01-01 12:00:00'"), final=_RO)
 S["x02_feed_union"] = stmt(SC, SI, RP, "rx AS (SELECT * REPLACE ('url_feed' AS provider) FROM rp UNION ALL SELECT * FROM rp)", votes("rx", "TRUE"), final=_RO)
-_terms = """tm AS (SELECT ip AS term FROM iv WHERE starts_with(ip, '198.') OR starts_with(ip, '8.8.') UNION SELECT lower(city) FROM nw UNION SELECT md5(n_name) FROM nation UNION SELECT ['malicious.xyz', 'bulk7.example.net', 'ORDER NOTE 5', '10.0.0.1', 'm'][r_regionkey % 5 + 1] FROM region)"""
+_terms = """tm AS (SELECT ip AS term FROM iv WHERE coalesce(ip, '') <> '' UNION SELECT lower(city) FROM nw UNION SELECT md5(n_name) FROM nation UNION SELECT ['malicious.xyz', 'bulk7.example.net', 'ORDER NOTE 5', '10.0.0.1', 'm'][r_regionkey % 5 + 1] FROM region)"""
 S["p07_indicator_search"] = stmt(SC, view("ips", "iv"), view("networks", "nw"), _terms, P.ip_steps("tm", "term", "ti"),
     f"""tk AS (SELECT *, CASE WHEN regexp_full_match(term, '\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}') THEN 'IPv4 Address' WHEN length(term) = 32 AND regexp_full_match(term, '[a-fA-F0-9]+') THEN 'Cryptographic Hash (MD5)' WHEN length(term) = 64 AND regexp_full_match(term, '[a-fA-F0-9]+') THEN 'Cryptographic Hash (SHA-256)' ELSE 'Domain / Hostname' END AS ioc_type,
   {P.RESTRICTED} AS bad, round({P.entropy("split_part(lower(term), ':', 1)")}, 2) AS domain_entropy FROM ti)""",
-    "mt AS (SELECT term, scan_id, row_number() OVER (PARTITION BY term ORDER BY scan_time DESC, scan_id DESC) AS rn FROM tk JOIN sc ON contains(lower(urls_text), lower(term)) OR contains(lower(iocs_text), lower(term)) OR contains(lower(sender), lower(term)) OR contains(lower(coalesce(subject, '')), lower(term)))",
+    "sh AS (SELECT scan_id, scan_time, lower(concat_ws(chr(1), urls_text, iocs_text, sender, coalesce(subject, ''))) AS hay FROM sc), mt AS (SELECT term, scan_id, row_number() OVER (PARTITION BY term ORDER BY scan_time DESC, scan_id DESC) AS rn FROM (SELECT term, lower(term) AS low FROM tk) JOIN sh ON contains(hay, low))",
     "mc AS (SELECT term, count(*) AS n, string_agg(cast(scan_id AS varchar), '|' ORDER BY scan_id) FILTER (rn <= 10) AS ids FROM mt GROUP BY term)",
     final="""SELECT term, ioc_type, ioc_type = 'IPv4 Address' AND bad AS is_private_ip, md5(term) AS md5, sha1(term) AS sha1, sha256(term) AS sha256, domain_entropy, coalesce(n, 0) AS matches_count, coalesce(ids, '') AS scan_ids, CASE WHEN n > 0 THEN 85 ELSE 0 END AS reputation_score,
  CASE WHEN n > 0 THEN 'Threat Record Found' ELSE 'Clean / No Threats Recorded' END AS verdict FROM tk LEFT JOIN mc USING (term)""")

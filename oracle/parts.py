@@ -107,7 +107,7 @@ au0 AS (SELECT *, {auth_cols('lower(auth_all)')}, upper(regexp_extract(lower(rsp
 au1 AS (SELECT *, spf_m IN ('', 'NONE') AND rs <> '' AS use_rs, dkim_m IN ('', 'NONE') AND sig <> '' AS use_sig, arc_m IN ('', 'NONE') AND arc_seal <> '' AS use_seal FROM au0),
 au AS (SELECT *,
   CASE WHEN use_rs THEN rs WHEN spf_m = '' THEN 'NONE' ELSE spf_m END AS spf, CASE WHEN use_rs THEN {_risk('rs', 25, 10)} WHEN spf_m = '' THEN 0 ELSE {_risk('spf_m', 25, 10)} END AS spf_risk,
-  CASE WHEN use_rs THEN 'Received-SPF header evaluated as ' || rs WHEN spf_m = '' THEN 'No SPF authentication header found.' WHEN spf_note <> '' THEN spf_note ELSE 'SPF evaluated as ' || spf_m END AS spf_reason,
+  CASE WHEN use_rs THEN 'SPF result of the Received-SPF header: ' || rs WHEN spf_m = '' THEN 'The receiver states no SPF result.' WHEN spf_note <> '' THEN spf_note ELSE 'SPF result: ' || spf_m END AS spf_reason,
   CASE WHEN use_rs THEN from_domain WHEN spf_m = '' THEN '' ELSE spf_dom END AS spf_domain,
   CASE WHEN use_sig THEN 'PASS' WHEN dkim_m = '' THEN 'NONE' ELSE dkim_m END AS dkim, CASE WHEN use_sig OR dkim_m = '' THEN 0 ELSE {_risk('dkim_m', 25, 10)} END AS dkim_risk,
   CASE WHEN use_sig THEN sig_d WHEN dkim_m = '' THEN '' ELSE dkim_dom END AS dkim_domain,

@@ -119,10 +119,12 @@ _up_re = _rx(R.RE_URL_UPLOAD)
 
 AP = view("attachment_payloads", "ap")
 S["c08_attachment_links"] = stmt(AP, attached_steps(), final="SELECT message_id, pos, original_filename, array_to_string(pdf_urls, '|') AS pdf_urls, array_to_string(qr_urls, '|') AS qr_urls, CASE WHEN len(qr_urls) > 0 THEN 45 ELSE 0 END AS quishing_score FROM al WHERE len(pdf_urls) > 0 OR len(qr_urls) > 0")
-_UB = f"ub AS (SELECT message_id, max(payload) AS body FROM ap GROUP BY message_id), uu AS (SELECT DISTINCT message_id, unnest(regexp_extract_all(body, '{_up_re}')) AS url FROM ub)"
+_IMG = "contains(lower(mime_type), 'image') OR " + " OR ".join(f"ends_with(lower(original_filename), '{x}')" for x in R.IMAGE_SUFFIXES)
+_UBODY = f"ub AS (SELECT message_id, string_agg(payload, chr(10) ORDER BY pos) AS body FROM ap WHERE NOT (mime_type = 'application/pdf' OR ends_with(lower(original_filename), '.pdf') OR {_IMG}) GROUP BY message_id)"
+_UB = f"{_UBODY}, uu AS (SELECT DISTINCT message_id, unnest(regexp_extract_all(body, '{_up_re}')) AS url FROM ub)"
 S["j06_url_origin"] = stmt(AP, attached_steps(), _UB, final="""SELECT message_id, url, CASE WHEN ay.url IS NOT NULL THEN 'PDF attachment' ELSE 'message body' END AS origin, uu.url IS NOT NULL AS in_body FROM uu FULL JOIN ay USING (message_id, url)""".replace("SELECT message_id, url,", "SELECT coalesce(uu.message_id, ay.message_id) AS message_id, coalesce(uu.url, ay.url) AS url,").replace("USING (message_id, url)", "ON uu.message_id = ay.message_id AND uu.url = ay.url"))
-S["u01_url_union"] = stmt(AP, attached_steps(), f"""ub AS (SELECT message_id, regexp_extract_all(max(payload), '{_up_re}') AS l FROM ap GROUP BY message_id), ux AS (SELECT message_id, unnest(l) AS url, unnest(range(1, len(l) + 1)) AS i FROM ub
- UNION ALL SELECT message_id, url, 100000 + row_number() OVER (PARTITION BY message_id ORDER BY url) FROM ay), uy AS (SELECT message_id, url, min(i) AS i FROM ux GROUP BY ALL)""", final="SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY i) - 1 AS pos, url FROM uy")
+S["u01_url_union"] = stmt(AP, attached_steps(), _UBODY, f"""ul AS (SELECT message_id, regexp_extract_all(body, '{_up_re}') AS l FROM ub), ux AS (SELECT message_id, unnest(l) AS url, unnest(range(1, len(l) + 1)) AS i FROM ul
+ UNION ALL SELECT message_id, url, 10000000 + row_number() OVER (PARTITION BY message_id ORDER BY url) FROM ay), uy AS (SELECT message_id, url, min(i) AS i FROM ux GROUP BY ALL)""", final="SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY i) - 1 AS pos, url FROM uy")
 
 
 def upload(with_attached: bool) -> list[str]:

@@ -6,6 +6,7 @@ from mailsleuth.functions import header as H
 from mailsleuth.operators import correlation, enforcement, indicators, scoring
 from mailsleuth.operators.components import components
 from mailsleuth.operators.skew import ordered_scan
+from mailsleuth.sources import mail_files
 from mailsleuth.streaming import jobs
 
 HEAD = "From: a <a@x.example>\r\nSubject: hi\r\n"
@@ -14,7 +15,7 @@ HEAD = "From: a <a@x.example>\r\nSubject: hi\r\n"
 def test_ordered_scan_keeps_null_keys_and_numbers(spark):
     rows = [("a", 1, 10), ("a", None, 5), ("a", 9000, None), ("a", 9001, 7), (None, 1, 1), (None, None, None)]
     df = spark.createDataFrame(rows, "key string, seq long, v long")
-    got = {(r["key"], r["seq"]): r for r in ordered_scan(df, "key", "seq", ["v"], "v", block=10).collect()}
+    got = {(r["key"], r["seq"]): r for r in ordered_scan(df, "key", "seq", ["v"], "v", parts=3).collect()}
     assert len(got) == 6
     assert [got["a", s]["row_no"] for s in (None, 1, 9000, 9001)] == [1, 2, 3, 4]
     assert got["a", 1]["prev"]["v"] == 5 and got["a", 9001]["prev"]["v"] is None and got["a", 9001]["last_known"] == 10
@@ -58,6 +59,27 @@ def test_attempts_with_gaps_and_repeats(spark):
     assert {r["message_id"]: (r["retry_count"], r["status"], r["error_message"]) for r in enforcement.attempt_states(halves).collect()} == got
 
 
+def test_a_job_of_very_many_attempts(spark):
+    """Half of all attempts are those of one job, and some repeat; only its first failures are ever together."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("j"), F.col("id").cast("string"))).alias("message_id"), (F.col("id") % 9001 + 5).cast("int").alias("attempt_no"),
+                                    F.lit("failed").alias("outcome"), F.concat(F.lit("e"), (F.col("id") % 9001).cast("string")).alias("error_text"))
+    facts = enforcement.attempt_facts(df)
+    assert facts.agg(F.max(F.size("failures"))).first()[0] == 3
+    assert "WindowGroupLimit" in facts._jdf.queryExecution().executedPlan().toString()
+    hot = enforcement.attempt_states(facts).where("message_id = 'hot'").first()
+    assert (hot["status"], hot["retry_count"], hot["error_message"]) == ("FAILED", 3, "e2")
+
+
+def test_mail_files_of_any_case_are_listed_and_read(spark, tmp_path):
+    for name in ("a.eml", "b.EML", "sub/c.Eml", "d.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("Subject: x\n\nbody " + name)
+    found = mail_files.read_mail_files(spark, str(tmp_path))
+    assert sorted(r["file_name"] for r in mail_files.list_mail(found).collect()) == ["a.eml", "b.EML", "c.Eml"]
+    bodies = mail_files.decode_mime(found.select(F.col("path").alias("message_id"), "content")).select("text_body").collect()
+    assert sorted(r[0] for r in bodies) == ["body a.eml", "body b.EML", "body sub/c.Eml"]
+
+
 def test_release_belongs_to_its_tenant(spark):
     held = spark.createDataFrame([("m", "t1", "q1", "QUARANTINED"), ("m", "t2", "q2", "QUARANTINED")], "message_id string, tenant_id string, quarantine_id string, status string")
     asked = spark.createDataFrame([(1, "m", "t1", "x"), (2, "m", "t2", "x"), (3, "m", "t3", "x"), (4, "m", "t1", "x")], "request_id long, message_id string, tenant_id string, requested_by string")
