@@ -24,6 +24,8 @@ def network_index(networks: DataFrame) -> DataFrame:
     df = networks.select(*[text(c, kind).alias(c) for c, kind in {**PLACE, **OWNER}.items()], have("build_date", "string").alias("build_date"))
     df = df.withColumn("length", F.substring_index("network", "/", -1).try_cast("int"))
     df = IP.with_ip_flags(df, F.substring_index("network", "/", 1), "_f", "_b")
+    # stored before the filter, which the optimizer would else copy through all steps of the address rules
+    df = stored(df.drop("_f"), "parsed-networks")
     df = df.where(F.col("_b").isNotNull() & F.contains("network", F.lit("/")) & F.col("length").between(0, F.when(F.col("_b.version") == 4, 32).otherwise(128)))
     upper, lower = IP.prefix_masks(F.col("length"))
     place = F.when((F.col("city") != "Unknown") | (F.col("country") != "Unknown"), F.struct(*PLACE, "build_date"))
