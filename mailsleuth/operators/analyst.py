@@ -34,12 +34,24 @@ _PUBLIC_WORDS = ["public", "visitor", "anon", "guest", "unassigned"]
 _SEARCHED = ["subject", "sender", "receiver", "reply_to", "urls_text", "iocs_text", "username", "email"]
 
 
-def search_history(scans: DataFrame, users: DataFrame, term: str = "", verdict: str = "", category: str = "", user_id: int | None = None) -> DataFrame:
+def history_text(scans: DataFrame, users: DataFrame) -> DataFrame:
+    """id and text of every scan for the index of the history search."""
+    return with_submitter(scans, users).select(F.col("scan_id").alias("id"), F.concat_ws("\u0001", *_SEARCHED).alias("text"))
+
+
+def search_history(scans: DataFrame, users: DataFrame, term: str = "", verdict: str = "", category: str = "", user_id: int | None = None, index=None) -> DataFrame:
     """Visible scans that hold the term in one of eight columns, carry its number as id, or have no
     owner when the term asks for public ones; then verdict and category. Newest first.
 
-    The verdict test and the visibility test sit directly on the scan and reach the file reader."""
+    The verdict test and the visibility test sit directly on the scan and reach the file reader. With a kept
+    ``GramIndex`` of ``history_text``, the columns are looked into only for scans that hold the rarest gram of the term;
+    a term that asks for public scans is not looked up, as these need not hold it."""
     df = visible(scans, user_id)
+    if index is not None and term.strip() and not any(w in term.lower() for w in _PUBLIC_WORDS):
+        ids = index.candidates(scans.sparkSession.createDataFrame([(term.strip(),)], "term string")).select("id")
+        if term.strip().isdigit():
+            ids = ids.unionByName(scans.sparkSession.createDataFrame([(int(term),)], "id long"))
+        df = df.join(ids, F.col("scan_id") == F.col("id"), "left_semi")
     if verdict in R.VERDICTS:
         df = df.where(F.col("verdict") == verdict)
     if category:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ip as IP, rules as R, text as TX, url as U
 from ..session import stored
+from ..sources.gram_index import SIZES, grams, term_grams
 
 
 def with_indicators(messages: DataFrame, text: Column, urls: Column | None = None, hashes: Column | None = None) -> DataFrame:
@@ -53,31 +54,33 @@ def classify_terms(terms: DataFrame, col: str = "term") -> DataFrame:
         "domain_entropy": F.round(U.entropy(F.substring_index(F.lower(t), ":", 1)), 2)}).drop("_f")
 
 
-def _grams(c: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1)))
-    return F.when(F.length(c) >= size, F.transform(starts, lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+def scan_text() -> Column:
+    """What a term search looks at in a scan, as one text."""
+    return F.lower(F.concat_ws("\u0001", "urls_text", "iocs_text", "sender", F.coalesce("subject", F.lit(""))))
 
 
-def search_terms(terms: DataFrame, scans: DataFrame, limit: int | None = None) -> DataFrame:
+def rarest_grams(terms: DataFrame, hay: DataFrame) -> DataFrame:
+    """term, scan_id of the scans that hold the rarest gram of a term, without an index: all scans are cut up."""
+    own = term_grams(terms)
+    every = F.array_distinct(F.concat(*[grams(F.col("hay"), n) for n in SIZES]))
+    held = hay.select("scan_id", F.explode(every).alias("gram")).join(own.select("gram").distinct(), "gram")
+    frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(frequency, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("term", "r.gram")
+    return held.join(rarest, "gram").select("term", "scan_id")
+
+
+def search_terms(terms: DataFrame, scans: DataFrame, limit: int | None = None, index=None) -> DataFrame:
     """Bulk indicator search: for each distinct term the scans with the term in urls, indicators, sender or subject,
     all or the newest ``limit`` of them, then the count of all matches, score and verdict.
 
-    Substring search becomes an equi-join: texts are cut into windows of 1 to 3 characters, a term is
-    looked up by the rarest of its own windows, and the full test follows on those candidates only.
+    Substring search becomes an equi-join: a term is looked up by the rarest of its own grams (runs of 1 to 3
+    characters), and the full test follows on those candidates only. ``index`` is a kept ``GramIndex`` of ``scan_text``;
+    without one the scans are cut up for this search.
     The newest scans come from a row-number limit, which Spark applies before its shuffle too."""
     t = classify_terms(terms.select("term").distinct())
-    hay = scans.select("scan_id", "scan_time", F.lower(F.concat_ws("\u0001", "urls_text", "iocs_text", "sender", F.coalesce("subject", F.lit("")))).alias("hay"))
-    size = F.least(F.length("term"), F.lit(3))
+    hay = scans.select("scan_id", "scan_time", scan_text().alias("hay"))
     low = F.lower("term")
-    own = F.when(size == 3, _grams(low, 3)).when(size == 2, _grams(low, 2)).otherwise(_grams(low, 1))
-    term_grams = t.select("term", F.explode(F.array_distinct(own)).alias("g"))
-    wanted = term_grams.select("g").distinct()
-    every = F.array_distinct(F.concat(*[_grams(F.col("hay"), n) for n in (1, 2, 3)]))
-    scan_grams = hay.select("scan_id", F.explode(every).alias("g")).join(wanted, "g")
-    frequency = scan_grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (term_grams.join(frequency, "g", "left").groupBy("term")
-              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("g"))).alias("b")).select("term", F.col("b.g").alias("g")))
-    candidates = scan_grams.join(rarest, "g").select("term", "scan_id")
+    candidates = rarest_grams(t.select("term"), hay) if index is None else index.candidates(t.select("term")).select("term", F.col("id").alias("scan_id"))
     matched = candidates.join(hay, "scan_id").where(F.contains(F.col("hay"), low)).select("term", "scan_id", "scan_time")
     newest = Window.partitionBy("term").orderBy(F.col("scan_time").desc(), F.col("scan_id").desc())
     top = matched if limit is None else matched.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= limit)

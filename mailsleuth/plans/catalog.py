@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import bands, dates, files, header as H, ip as IP, rules as R, text as TX, url as U
 from ..operators import analyst, correlation, enforcement, enrichment, indicators, ingest, postdelivery, redirects, routing, scoring, skew, urls
 from ..sources import mail_files, tables
+from ..sources.gram_index import GramIndex
 from ..sources.keyed_table import KeyedTable
-from ..session import new_folder
+from ..session import new_folder, stored
 from ..streaming import jobs
 from .fixtures import VIEWS, Views
 
@@ -152,6 +153,20 @@ def p02_history_search_number(v):
     return analyst.search_history(v.scans, v.users, "14").select("scan_id", "subject", "submitted_by")
 
 
+@query
+def p02_index_search(v):
+    """The history search by a kept index, after half of the scans are in it and after the rest was appended."""
+    index, out = GramIndex(v.spark, new_folder(v.spark, "history-index"), 8), []
+    for step in (0, 1):
+        known = v.scans.where(F.col("scan_id") % 2 <= step)
+        index.append(analyst.history_text(v.scans.where(F.col("scan_id") % 2 == step), v.users), step)
+        for term, user in (("PayPal-help", 7), ("14", None), ("r1", 11), ("guest", None)):
+            found = analyst.search_history(known, v.users, term, user_id=user, index=index)
+            # written before the next append: one plan must not read a table as it is at two times
+            out.append(stored(found.select(F.lit(step).cast("bigint").alias("step"), F.lit(term).alias("term"), "scan_id", "submitted_by"), "found"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 @query
 def p03_category_filter(v):
     return analyst.search_history(v.scans, v.users, category="Suspicious URL", user_id=11).select("scan_id", "categories_text")
@@ -185,15 +200,31 @@ def p06_review_list(v):
     return decided(v).where((F.col("final_status") == "REVIEW") & (F.col("tenant_id") == "t1")).select("message_id", "from_addr", *big("risk_score"))
 
 
-@query
-def p07_indicator_search(v):
-    terms = v.ips.where(F.coalesce("ip", F.lit("")) != "").select(F.col("ip").alias("term")).union(
+def search_words(v: Views) -> DataFrame:
+    """Terms to search for: all addresses, cities, hashes, and some words."""
+    return v.ips.where(F.coalesce("ip", F.lit("")) != "").select(F.col("ip").alias("term")).union(
         v.networks.select(F.lower("city"))).union(v.base("nation").select(F.md5(F.col("n_name").cast("binary")))).union(
         v.base("region").select(F.element_at(F.array(*[F.lit(t) for t in ("malicious.xyz", "bulk7.example.net", "ORDER NOTE 5", "10.0.0.1", "m")]), (F.col("r_regionkey") % 5 + 1).cast("int"))))
-    out = indicators.search_terms(terms, v.scans, limit=10)
+
+
+def searched(out: DataFrame) -> DataFrame:
     return out.select("term", "ioc_type", "is_private_ip", "md5", "sha1", "sha256", "domain_entropy", *big("matches_count"), F.coalesce(joined("scan_ids"), F.lit("")).alias("scan_ids"), *big("reputation_score"), "verdict")
 
 
+@query
+def p07_indicator_search(v):
+    return searched(indicators.search_terms(search_words(v), v.scans, limit=10))
+
+
+@query
+def p07_index_search(v):
+    """The same by a kept index that took the scans in three batches."""
+    index = GramIndex(v.spark, new_folder(v.spark, "scan-index"), 8)
+    for n in range(3):
+        index.append(v.scans.where(F.col("scan_id") % 3 == n).select(F.col("scan_id").alias("id"), indicators.scan_text().alias("text")), n)
+    return searched(indicators.search_terms(search_words(v), v.scans, limit=10, index=index))
+
+
 @query
 def p08_fetch_safety(v):
     df = U.with_fetch_reason(U.url_parts(v.urls.select("url").distinct()))

@@ -32,16 +32,16 @@ def is_committed(spark: SparkSession, out: str, batch_id: int) -> bool:
     return bool(ledger(spark, out).where(F.col("batch_id") == batch_id).take(1))
 
 
-def commit_tables(spark: SparkSession, out: str, batch_id: int, build: Callable[[Callable[[str, DataFrame], DataFrame]], None]) -> bool:
-    """Run ``build(put)``, where ``put(name, df)`` writes a table of this batch and gives it back as stored, so that later
-    tables need not compute it again; then commit. False if the batch was committed before."""
+def commit_tables(spark: SparkSession, out: str, batch_id: int, build: Callable[[Callable[..., DataFrame]], None]) -> bool:
+    """Run ``build(put)``, where ``put(name, df, by)`` writes a table of this batch, parted by columns, and gives it back
+    as stored, so that later tables need not compute it again; then commit. False if the batch was committed before."""
     if is_committed(spark, out, batch_id):
         return False
     attempt, counts = uuid.uuid4().hex, {}
 
-    def put(name: str, df: DataFrame) -> DataFrame:
+    def put(name: str, df: DataFrame, by: list[str] | None = None) -> DataFrame:
         seen, folder = Observation(), f"{out}/{name}/batch_id={batch_id}/attempt={attempt}"
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy(*by or []).parquet(folder)
         counts[name] = seen.get["n"]
         return spark.read.schema(df.schema).parquet(folder)
 
@@ -52,7 +52,8 @@ def commit_tables(spark: SparkSession, out: str, batch_id: int, build: Callable[
 
 
 def committed(spark: SparkSession, out: str, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """Rows of a table from committed batches, with ``batch_id``. Folders of other attempts are pruned by the join."""
+    """Rows of a table from committed batches, with ``batch_id``. Folders of other attempts are pruned by the join. A plan
+    should read a table once, or as it is at one time: Spark takes two scans of one folder for the same."""
     reader = spark.read.schema(T.StructType([*schema, T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType())])) if schema else spark.read
     rows = reader.parquet(f"{out}/{name}")
     known = ledger(spark, out).where(F.col("table_name") == name).select("batch_id", "attempt")

@@ -24,6 +24,8 @@ S["p01_visible_scans"] = stmt(SC, final="SELECT scan_id, user_id, verdict FROM s
 S["p02_history_search"] = stmt(SC, US, SU, final=f"SELECT scan_id, sender, submitted_by, verdict FROM su WHERE (user_id = 7 OR user_id IS NULL) AND {hay('PayPal-help')}")
 S["p02_history_search_public"] = stmt(SC, US, SU, final=f"SELECT scan_id, sender, submitted_by, verdict FROM su WHERE user_id IS NULL AND verdict = 'High Risk' AND ({hay('guest')} OR user_id IS NULL)")
 S["p02_history_search_number"] = stmt(SC, US, SU, final=f"SELECT scan_id, subject, submitted_by FROM su WHERE user_id IS NULL AND ({hay('14')} OR scan_id = 14)")
+_mine = [("PayPal-help", "(user_id = 7 OR user_id IS NULL)", "FALSE"), ("14", "user_id IS NULL", "scan_id = 14"), ("r1", "(user_id = 11 OR user_id IS NULL)", "FALSE"), ("guest", "user_id IS NULL", "user_id IS NULL")]
+S["p02_index_search"] = stmt(SC, US, SU, final=" UNION ALL ".join(f"SELECT cast({step} AS bigint) AS step, '{t}' AS term, scan_id, submitted_by FROM su WHERE scan_id % 2 <= {step} AND {seen} AND ({hay(t)} OR {more})" for step in (0, 1) for t, seen, more in _mine))
 S["p03_category_filter"] = stmt(SC, final="SELECT scan_id, categories_text FROM sc WHERE (user_id = 11 OR user_id IS NULL) AND list_contains(string_split(categories_text, ';'), 'Suspicious URL')")
 S["p04_category_facets"] = stmt(SC, final="SELECT category, count(*) AS scans FROM (SELECT unnest(string_split(categories_text, ';')) AS category FROM sc WHERE user_id = 7 OR user_id IS NULL) WHERE category <> '' GROUP BY category")
 S["p05_user_search"] = stmt(US, final="SELECT user_id, username, email, role FROM us WHERE (username ILIKE '%#0000%' OR email ILIKE '%#0000%') AND role = 'analyst'")
@@ -111,6 +113,8 @@ S["p07_indicator_search"] = stmt(SC, view("ips", "iv"), view("networks", "nw"),
     final="""SELECT term, ioc_type, ioc_type = 'IPv4 Address' AND bad AS is_private_ip, md5(term) AS md5, sha1(term) AS sha1, sha256(term) AS sha256, domain_entropy, coalesce(n, 0) AS matches_count, coalesce(ids, '') AS scan_ids, CASE WHEN n > 0 THEN 85 ELSE 0 END AS reputation_score,
  CASE WHEN n > 0 THEN 'Threat Record Found' ELSE 'Clean / No Threats Recorded' END AS verdict FROM tk LEFT JOIN mc USING (term)""")
 
+S["p07_index_search"] = S["p07_indicator_search"]
+
 # ---- graph and response --------------------------------------------------------------------
 def graph(src: str) -> str:
     h = "split_part(replace(replace(u, 'http://', ''), 'https://', ''), '/', 1)"
