@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import rules as R
 from .analyst import list_of
 from ..session import stored
-from .components import components
+from .components import components, grow_components, kept_components
 
 
 def _domain(sender: Column) -> Column:
@@ -87,6 +87,27 @@ def campaign_components(scans: DataFrame, kinds: tuple[str, ...] = ("domain", "u
     return scans.select("scan_id").distinct().join(roots.withColumnRenamed("v", "scan_id"), "scan_id", "left").select("scan_id", F.coalesce("root", "scan_id").alias("component"))
 
 
+NODE_ROW = "node_id string, scan_id long, step long"
+
+
+def grow_campaigns(nodes, parents, scans: DataFrame, batch_id: int, kinds: tuple[str, ...] = ("domain", "url")) -> None:
+    """Add a batch of scans to the kept campaigns: ``nodes`` (a ``KeyedTable`` of the row above, by ``node_id``) keeps one scan
+    of every shared node, ``parents`` the forest of ``grow_components``. Nodes known before tie the batch to their scan.
+    A batch that broke off between the two tables is completed by its replay, which finds the same nodes."""
+    m = stored(_mentions(scans, None).where(F.col("node_group").isin(*kinds)).select("scan_id", "node_id").distinct(), "mentions")
+    own = stored(m.groupBy("node_id").agg(F.min("scan_id").alias("low")), "mention-roots")
+    known = nodes.read(own).select("node_id", F.col("scan_id").alias("known"))
+    own = stored(own.join(known, "node_id", "left").select("node_id", "known", F.coalesce("known", "low").alias("low")), "node-scans")
+    nodes.upsert(own.where("known IS NULL").select("node_id", F.col("low").alias("scan_id"), F.lit(batch_id).cast("long").alias("step")), batch_id)
+    grow_components(parents, m.join(own, "node_id").select(F.col("scan_id").alias("a"), F.col("low").alias("b")), batch_id)
+
+
+def kept_campaigns(parents, scans: DataFrame) -> DataFrame:
+    """(scan_id, component) as ``campaign_components`` gives it, from the kept forest."""
+    roots = kept_components(parents)
+    return scans.select("scan_id").distinct().join(roots, F.col("scan_id") == F.col("v"), "left").select("scan_id", F.coalesce("root", "scan_id").alias("component"))
+
+
 # ---- response ------------------------------------------------------------------------------
 
 def playbook_ids(score: Column, verdict: Column, categories: Column, findings_text: Column) -> Column:

@@ -12,6 +12,7 @@ from ..operators import analyst, correlation, enforcement, enrichment, indicator
 from ..sources import mail_files, tables
 from ..sources.gram_index import GramIndex
 from ..sources.keyed_table import KeyedTable
+from ..operators.components import PARENT_ROW
 from ..session import new_folder, stored
 from ..streaming import jobs
 from .fixtures import VIEWS, Views
@@ -1000,6 +1001,16 @@ def c02_campaign_components(v):
     return c.select("scan_id", "component")
 
 
+@query
+def c02_campaign_batches(v):
+    """The same from three appended batches of scans, each of which touches its own components only."""
+    nodes = KeyedTable(v.spark, new_folder(v.spark, "campaign-nodes"), correlation.NODE_ROW, ["node_id"], ["step"], buckets=8)
+    parents = KeyedTable(v.spark, new_folder(v.spark, "campaign-forest"), PARENT_ROW, ["v"], ["step"], buckets=8)
+    for n in range(3):
+        correlation.grow_campaigns(nodes, parents, v.scans.where(F.col("scan_id") % 3 == n), n)
+    return correlation.kept_campaigns(parents, v.scans)
+
+
 @query
 def c03_playbooks(v):
     return correlation.playbooks(v.scans).select("scan_id", joined("playbook_ids").alias("playbook_ids"), joined("actions").alias("actions"))

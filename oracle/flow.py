@@ -137,6 +137,7 @@ S["c02_campaigns"] = stmt(SC, graph("sc"), final="""SELECT node_id, node_group,
 S["c02_campaign_components"] = stmt(SC, f"sb AS (SELECT * FROM sc)", graph("sb"), """cn AS (SELECT scan_id, 'x' || node_id AS node FROM gn0 WHERE node_group = 'domain' UNION SELECT scan_id, 'xurl_' || lower(split_part(replace(replace(u, 'http://', ''), 'https://', ''), '/', 1)) FROM (SELECT scan_id, unnest(string_split(urls_text, ';')) AS u FROM sb WHERE urls_text <> '')),
  r1 AS (SELECT scan_id, min(m) AS c FROM cn JOIN (SELECT node, min(scan_id) AS m FROM cn GROUP BY node) USING (node) GROUP BY scan_id)""" + "".join(
     f", r{i + 1} AS (SELECT scan_id, min(m) AS c FROM cn JOIN (SELECT node, min(c) AS m FROM cn JOIN r{i} USING (scan_id) GROUP BY node) USING (node) GROUP BY scan_id)" for i in range(1, 12)), final="SELECT scan_id, c AS component FROM r12")
+S["c02_campaign_batches"] = S["c02_campaign_components"]
 _act = {p[0]: p[4] for p in R.PLAYBOOKS}
 _pb = """list_filter([CASE WHEN risk_score >= 50 OR verdict = 'High Risk' THEN 'PB-101' END, CASE WHEN regexp_matches(categories_text, 'Credential|Password|URL') OR contains(findings_text, 'Display Name Email Spoofing') THEN 'PB-102' END, CASE WHEN regexp_matches(categories_text, 'Invoice|BEC|Financial') THEN 'PB-103' END], lambda x: x IS NOT NULL)"""
 S["c03_playbooks"] = stmt(SC, f"p0 AS (SELECT scan_id, {_pb} AS l FROM sc)", "p1 AS (SELECT scan_id, CASE WHEN len(l) = 0 THEN ['PB-100'] ELSE l END AS l FROM p0)",

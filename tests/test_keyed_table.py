@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from mailsleuth.operators.components import PARENT_ROW, components, grow_components, kept_components
 from mailsleuth.sources.keyed_table import KeyedTable
 from mailsleuth.session import children
 
@@ -68,3 +69,24 @@ def test_replayed_and_broken_batches(spark, tmp_path, monkeypatch):
     assert table.upsert(spark.createDataFrame([("a", "t", 0, "old"), ("b", "t", 9, "y")], ROW), 4)
     assert sorted(tuple(r) for r in table.read().collect()) == [("a", "t", 1, "x"), ("b", "t", 9, "y")]
     assert children(spark, str(tmp_path / "none")) == []
+
+
+def test_components_grow_by_batches(spark, tmp_path):
+    rng, edges = random.Random(3), []
+    table = KeyedTable(spark, str(tmp_path / "forest"), PARENT_ROW, ["v"], ["step"], buckets=4, max_deltas=2)
+    for batch in range(5):
+        new = [(rng.randrange(80), rng.randrange(80)) for _ in range(14)] if batch != 2 else []
+        edges += new
+        assert grow_components(table, spark.createDataFrame(new, "a long, b long"), batch)
+        want = {(r["v"], r["root"]) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert {(r["v"], r["root"]) for r in kept_components(table).collect()} == want
+    assert not grow_components(table, spark.createDataFrame([(1, 900)], "a long, b long"), 4)
+
+
+def test_a_batch_writes_its_own_components_only(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "forest"), PARENT_ROW, ["v"], ["step"], buckets=4, max_deltas=9)
+    grow_components(table, spark.createDataFrame([(10 * c, 10 * c + i) for c in range(1, 30) for i in range(1, 5)], "a long, b long"), 0)
+    grow_components(table, spark.createDataFrame([(13, 24), (500, 14)], "a long, b long"), 1)
+    written = table.read().where("step = 1").collect()
+    assert {(r["v"], r["root"]) for r in written} == {(20, 10), (500, 10)}
+    assert {r["v"] for r in kept_components(table).where("root = 10").collect()} == {11, 12, 13, 14, 20, 21, 22, 23, 24, 500}
