@@ -106,6 +106,21 @@ def analyst_counters(scans: DataFrame) -> DataFrame:
         F.bround(F.avg("risk_score"), 0).cast("bigint").alias("average_score"))
 
 
+def analyst_sums() -> dict[str, Column]:
+    """What the analyst counters add up over change rows."""
+    return {"total": F.lit(1), "high_risk": (F.col("verdict") == "High Risk").cast("long"), "score_sum": F.col("risk_score").cast("long")}
+
+
+# the row that a kept table of these sums has
+ANALYST_ROW = "user_id long, total long, high_risk long, score_sum long, step long"
+
+
+def live_analyst_counters(kept: DataFrame) -> DataFrame:
+    """The counters from kept sums; a user whose scans were all taken back has none."""
+    mean = F.col("score_sum").cast("double") / F.col("total")
+    return kept.where((F.col("total") > 0) & F.col("user_id").isNotNull()).select("user_id", "total", "high_risk", F.bround(mean, 0).cast("bigint").alias("average_score"))
+
+
 def newest(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 

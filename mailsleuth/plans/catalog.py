@@ -379,6 +379,21 @@ def a02_analyst_counters(v):
     return analyst.analyst_counters(v.scans)
 
 
+@query
+def a02_live_counters(v):
+    """The same as a stream: every tenth scan lands with a wrong score first and is corrected in a later file."""
+    spark, out = v.spark, new_folder(v.spark, "counters")
+    rows = v.scans.select(F.col("scan_id").cast("long").alias("scan_id"), F.col("user_id").cast("long").alias("user_id"), "verdict", F.col("risk_score").cast("long").alias("risk_score"))
+    wrong = rows.where(F.col("scan_id") % 10 == 0).withColumns({"verdict": F.lit("Low Risk"), "risk_score": F.lit(0).cast("long")})
+    first = rows.where(F.col("scan_id") % 10 != 0)
+    for part in (jobs.signed(first.where(F.col("scan_id") % 2 == 0).unionByName(wrong)), jobs.signed(first.where(F.col("scan_id") % 2 == 1)), jobs.signed(rows.where(F.col("scan_id") % 10 == 0), wrong)):
+        part.coalesce(1).write.mode("append").parquet(f"{out}/landed")
+    landed = spark.readStream.schema(jobs.signed(rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+    table = KeyedTable(spark, f"{out}/counters", analyst.ANALYST_ROW, ["user_id"], ["step"], buckets=8)
+    jobs.run_counters(landed.where(F.col("user_id").isNotNull()), ["user_id"], analyst.analyst_sums(), table, f"{out}/checkpoint").awaitTermination()
+    return analyst.live_analyst_counters(table.read())
+
+
 def event_hops(v: Views) -> DataFrame:
     h = v.hops.withColumn("from_ip", TX.blank("from_ip"))
     return routing.hop_delays(routing.classify_hops(h.select("message_id", "seq", "from_host", "from_ip", "hop_epoch")))

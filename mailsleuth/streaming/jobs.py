@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import bands, rules as R
@@ -42,6 +42,26 @@ def run_ingest(landed: DataFrame, out: str, checkpoint: str, event_time: str = "
     return started(jobs.writeStream.format("parquet").option("path", out), landed.sparkSession, checkpoint, once)
 
 
+def signed(rows: DataFrame, corrected: DataFrame | None = None) -> DataFrame:
+    """Change rows for live counters: rows that are new count once, rows that a correction takes back count minus one."""
+    added = rows.withColumn("sign", F.lit(1).cast("long"))
+    return added if corrected is None else added.unionByName(corrected.withColumn("sign", F.lit(-1).cast("long")))
+
+
+COUNTER_STEP = "step"
+
+
+def run_counters(changes: DataFrame, keys: list[str], sums: dict[str, Column], table, checkpoint: str, once: bool = True):
+    """Live counters: sums over change rows (``sign`` 1 or -1) per key, kept as running state. Every micro-batch puts the new
+    sums of the keys that it touched into ``table`` (a ``KeyedTable`` by these keys with a column ``step``). The order in
+    which rows and corrections land makes no difference, and no row is ever too late."""
+    running = changes.groupBy(*keys).agg(*[F.sum(F.col("sign") * c).alias(name) for name, c in sums.items()])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(batch.withColumn(COUNTER_STEP, F.lit(batch_id).cast("long")), batch_id)
+    return started(running.writeStream.outputMode("update").foreachBatch(write), changes.sparkSession, checkpoint, once)
+
+
 def score_batch(messages: DataFrame, tenant_id: str = "default") -> DataFrame:
     """Score and decide a set of messages; used by the batch job and by every micro-batch."""
     scored = scoring.gateway_scores(messages, also=("to_hdr", "reply_to"))

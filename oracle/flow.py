@@ -86,6 +86,7 @@ SELECT event_id, event, CASE WHEN event_id % 3 = 0 THEN 'user' || cast(user_id A
 S["a01_admin_counters"] = stmt(SC, US, EN, DE, final="""SELECT (SELECT count(*) FROM us) AS users, (SELECT count(*) FROM sc) AS scans, (SELECT count(*) FROM sc WHERE verdict = 'High Risk') AS high_risk, (SELECT count(*) FROM en) AS total_received,
  (SELECT count(*) FROM de WHERE decision = 'ALLOW') AS allowed, (SELECT count(*) FROM de WHERE final_status = 'REVIEW') AS review, (SELECT count(*) FROM qu) AS quarantined, (SELECT count(*) FROM de WHERE decision = 'REJECT') AS rejected""")
 S["a02_analyst_counters"] = stmt(SC, final="SELECT user_id, count(*) AS total, count(*) FILTER (verdict = 'High Risk') AS high_risk, cast(round_even(avg(risk_score), 0) AS bigint) AS average_score FROM sc WHERE user_id IS NOT NULL GROUP BY user_id")
+S["a02_live_counters"] = S["a02_analyst_counters"]
 S["t01_history_newest"] = stmt(SC, final="SELECT scan_id, scan_time FROM sc WHERE user_id = 3 OR user_id IS NULL ORDER BY scan_time DESC, scan_id DESC")
 S["t02_recent_scans"] = stmt(SC, final="SELECT scan_id, verdict, risk_score FROM sc ORDER BY scan_time DESC, scan_id DESC LIMIT 10")
 S["t03_work_batch"] = stmt(AT, "j AS (SELECT message_id, min(attempted_at) AS r, count(*) FILTER (outcome = 'ok') AS ok FROM att GROUP BY message_id)", final="SELECT message_id, CASE ok WHEN 0 THEN 'QUEUED' ELSE 'RECEIVED' END AS status FROM j WHERE ok <= 1 ORDER BY r, message_id LIMIT 10")

@@ -1,9 +1,12 @@
 """Batch ledger, ingest state and the event-time cache across batches, restarts, replays and half-written batches."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from mailsleuth.operators import enforcement
+from mailsleuth.operators import analyst, enforcement
+from mailsleuth.sources.keyed_table import KeyedTable
 from mailsleuth.streaming import jobs, ledger
 
 
@@ -105,3 +108,24 @@ def test_answers_expire_between_batches(spark, tmp_path):
     assert got == {1: (False, "US"), 2: (True, "US"), 3: (False, None), 4: (True, None), 5: (False, "x"), 6: (True, "US"), 7: (False, "FR"), 8: (False, "IT"),
                    9: (False, "GB"), 10: (False, None), 11: (False, "ES"), 12: (True, None), 13: (False, "PT"), 14: (True, "PT")}
     assert kept[-1] < max(kept)  # timers have removed what has expired
+
+
+def test_live_counters_in_any_order(spark, tmp_path):
+    """Rows and corrections land shuffled over files, a correction before the row that it takes back among them."""
+    rng = random.Random(7)
+    schema = "user_id long, verdict string, risk_score long, sign long"
+    scans = [(rng.choice([None, 1, 2, 3]), rng.choice(["High Risk", "Low Risk"]), rng.randrange(100)) for _ in range(60)]
+    wrong = [(4, "High Risk", 50)] + [(u, "High Risk", 99) for u, _, _ in scans[:9]]
+    rows = [(*r, 1) for r in scans + wrong] + [(*r, -1) for r in wrong]
+    rng.shuffle(rows)
+    results = []
+    for name, files in (("a", 1), ("b", 4)):
+        for n in range(files):
+            land(spark, f"{tmp_path}/in-{name}", rows[n::files], schema)
+        table = KeyedTable(spark, f"{tmp_path}/kept-{name}", analyst.ANALYST_ROW, ["user_id"], ["step"], buckets=2, max_deltas=1)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in-{name}")
+        jobs.run_counters(stream, ["user_id"], analyst.analyst_sums(), table, f"{tmp_path}/cp-{name}").awaitTermination()
+        results.append(sorted(map(tuple, analyst.live_analyst_counters(table.read()).collect())))
+    batch = analyst.analyst_counters(spark.createDataFrame(scans, "user_id long, verdict string, risk_score long"))
+    assert results[0] == results[1] == sorted(map(tuple, batch.select("user_id", "total", "high_risk", "average_score").collect()))
+    assert 4 not in {r[0] for r in results[0]}
