@@ -1,11 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by banded MinHash: an LSH forest whose depth is fixed beforehand for all sets, not adapted to each.
 
 1. A document is the set of its word shingles (runs of ``width`` words; of all its words if it has fewer). Documents
    of one set are copies and go on as one.
-2. Each of ``trees`` tries holds the sets under labels of minimum hashes. A pair of similarity s shares the first d
-   hashes of a label with probability s**d, and meets in one of the tries with 1 - (1 - s**d)**trees. Prefixes start
-   at ``longest`` and are shortened until that is at least ``target`` for pairs at the threshold; then it is more for
-   all others. Sets under one prefix are one sorted run of the trie, found by grouping.
+2. Each of ``trees`` bands holds the sets under labels of d minimum hashes. A pair of similarity s shares a label with
+   probability s**d, and meets in one of the bands with 1 - (1 - s**d)**trees. d is the largest number up to
+   ``longest`` for which that is at least ``target`` for pairs at the threshold; then it is more for all others. There
+   are no tries, and no set looks at longer prefixes first. Sets under one label are found by grouping.
 3. Runs that share a set form candidate components. In a component every pair is compared exactly on its shingles,
    so links inside one are never missed. A component of at most ``block`` sets is one group. A larger one is dealt to
    blocks by size band (sets whose sizes differ by more than the threshold allows cannot be similar) and digest, and
