@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ip as IP, rules as R, text as TX, url as U
 from ..session import stored
-from ..sources.gram_index import SIZES, grams, term_grams
+from ..sources.gram_index import every_gram, fits, rarest_gram, term_grams, values_of
 
 
 def with_indicators(messages: DataFrame, text: Column, urls: Column | None = None, hashes: Column | None = None) -> DataFrame:
@@ -59,14 +59,21 @@ def scan_text() -> Column:
     return F.lower(F.concat_ws("\u0001", "urls_text", "iocs_text", "sender", F.coalesce("subject", F.lit(""))))
 
 
-def rarest_grams(terms: DataFrame, hay: DataFrame) -> DataFrame:
-    """term, scan_id of the scans that hold the rarest gram of a term, without an index: all scans are cut up."""
+def held_values(terms: DataFrame, values: DataFrame) -> DataFrame:
+    """term, value of the distinct texts that hold a term, without an index: the texts are cut up for this search."""
     own = term_grams(terms)
-    every = F.array_distinct(F.concat(*[grams(F.col("hay"), n) for n in SIZES]))
-    held = hay.select("scan_id", F.explode(every).alias("gram")).join(own.select("gram").distinct(), "gram")
-    frequency = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.join(frequency, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("term", "r.gram")
-    return held.join(rarest, "gram").select("term", "scan_id")
+    held = values.select("value", F.explode(every_gram(F.col("value"))).alias("gram")).join(own.select("gram").distinct(), "gram")
+    held = stored(held, "held-grams")
+    rarest = stored(rarest_gram(own, held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))), "rarest-grams")
+    return held.join(rarest, "gram").where(fits()).select("term", "value")
+
+
+def scans_with(terms: DataFrame, hay: DataFrame) -> DataFrame:
+    """term, scan_id of the scans with a column that holds the rarest gram of a term, and the term where one column can. Columns
+    repeat from scan to scan, so terms meet their distinct values, and the scans come by these."""
+    entries = stored(hay.select("scan_id", F.explode(values_of(F.col("hay"))).alias("value")), "scan-values")
+    held = stored(held_values(terms, stored(entries.select("value").distinct(), "values")), "held-values")
+    return entries.join(held, "value").select("term", "scan_id").distinct()
 
 
 def search_terms(terms: DataFrame, scans: DataFrame, limit: int | None = None, index=None) -> DataFrame:
@@ -74,13 +81,13 @@ def search_terms(terms: DataFrame, scans: DataFrame, limit: int | None = None, i
     all or the newest ``limit`` of them, then the count of all matches, score and verdict.
 
     Substring search becomes an equi-join: a term is looked up by the rarest of its own grams (runs of 1 to 3
-    characters), and the full test follows on those candidates only. ``index`` is a kept ``GramIndex`` of ``scan_text``;
+    characters) among the distinct column values, and the full test follows on those candidates only. ``index`` is a kept ``GramIndex`` of ``scan_text``;
     without one the scans are cut up for this search.
     The newest scans come from a row-number limit, which Spark applies before its shuffle too."""
     t = classify_terms(terms.select("term").distinct())
     hay = scans.select("scan_id", "scan_time", scan_text().alias("hay"))
     low = F.lower("term")
-    candidates = rarest_grams(t.select("term"), hay) if index is None else index.candidates(t.select("term")).select("term", F.col("id").alias("scan_id"))
+    candidates = scans_with(t.select("term"), hay) if index is None else index.candidates(t.select("term")).select("term", F.col("id").alias("scan_id"))
     matched = candidates.join(hay, "scan_id").where(F.contains(F.col("hay"), low)).select("term", "scan_id", "scan_time")
     newest = Window.partitionBy("term").orderBy(F.col("scan_time").desc(), F.col("scan_id").desc())
     top = matched if limit is None else matched.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= limit)

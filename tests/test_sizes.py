@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from mailsleuth.operators import indicators
 from mailsleuth.plans.catalog import QUERIES
 from mailsleuth.plans.fixtures import Views
+from mailsleuth.sources.gram_index import SEP, GramIndex
+from mailsleuth.streaming import ledger
 
 
 class Own(Views):
@@ -22,3 +25,32 @@ def test_gate_of_a_long_text(spark):
     docs = spark.createDataFrame([(1, 30_000), (2, 30_000), (20, 30_000)], "doc_id long, n_chars long").withColumn("text", F.repeat(F.lit("x"), F.col("n_chars").cast("int")))
     rows = {r["message_id"]: (r["size_bytes"] > 2 ** 31, r["gate"]) for r in QUERIES["p10_message_gate"](Own(spark, documents=docs)).collect()}
     assert rows == {"m1": (True, "552 5.3.4 Message size exceeds fixed limit"), "m2": (False, None), "m20": (False, "550 5.6.0 Empty message payload")}
+
+
+def test_index_costs_a_row_its_values_not_its_grams(spark, tmp_path):
+    """2,000 rows of three columns that repeat: six entries at most a row, and postings of the distinct columns alone."""
+    index = GramIndex(spark, str(tmp_path / "index"), 4)
+    n = F.col("id") % 5
+    text = F.concat_ws(SEP, F.lit("Common subject of all"), F.concat(F.lit("sender"), n, F.lit("@corp.example.com")), F.lit(""), F.lit("common subject of ALL"))
+    rows = spark.range(2000).select("id", text.alias("text"))
+    assert index.append(rows.where("id < 1000"), 0) and index.append(rows.where("id >= 1000"), 1)
+    counts = {r["table_name"]: r["n"] for r in ledger.ledger(spark, index.path).groupBy("table_name").agg(F.sum("n_rows").alias("n")).collect()}
+    assert counts["postings"] < 6 * 3 * 30 and counts["entries"] == 2 * 2000
+    terms = ["SENDER3", "common", "of all", "@corp", "3@c", "m", "all" + SEP + "sender3@", "allsender", "sender9"]
+    got = index.candidates(spark.createDataFrame([(t,) for t in terms], "term string")).join(rows, "id").where(F.contains(F.lower("text"), F.lower("term")))
+    found = {r["term"]: r["n"] for r in got.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {"SENDER3": 400, "common": 2000, "of all": 2000, "@corp": 2000, "3@c": 400, "m": 2000, "all" + SEP + "sender3@": 400}
+
+
+def test_search_without_an_index_cuts_distinct_columns(spark):
+    scans = spark.range(3000).select(F.col("id").alias("scan_id"), F.col("id").alias("scan_time"), F.lit("http://a.example/x").alias("urls_text"), F.lit("").alias("iocs_text"),
+                                     F.concat(F.lit("S"), F.col("id") % 3, F.lit("@b.example")).alias("sender"), F.lit(None).cast("string").alias("subject"))
+    terms = spark.createDataFrame([("s1@",), ("Example",), ("x" + SEP,), ("none",)], "term string")
+    entries, kept = [], indicators.stored
+    indicators.stored = lambda df, name: (entries.append((name, df.count())), kept(df, name))[1]
+    try:
+        rows = {r["term"]: (r["matches_count"], r["scan_ids"]) for r in indicators.search_terms(terms, scans, 2).collect()}
+    finally:
+        indicators.stored = kept
+    assert rows == {"s1@": (1000, [2995, 2998]), "Example": (3000, [2998, 2999]), "x" + SEP: (3000, [2998, 2999]), "none": (0, None)}
+    assert dict(entries)["values"] == 4 and max(n for name, n in entries if name != "scan-values") < 200
