@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from mailsleuth.operators import indicators
-from mailsleuth.plans.catalog import QUERIES
+from mailsleuth.plans.catalog import QUERIES, stream_of
 from mailsleuth.plans.fixtures import Views
+from mailsleuth.session import children, shared_folder
 from mailsleuth.sources.gram_index import SEP, GramIndex
 from mailsleuth.streaming import ledger
 
@@ -54,3 +55,29 @@ def test_search_without_an_index_cuts_distinct_columns(spark):
         indicators.stored = kept
     assert rows == {"s1@": (1000, [2995, 2998]), "Example": (3000, [2998, 2999]), "x" + SEP: (3000, [2998, 2999]), "none": (0, None)}
     assert dict(entries)["values"] == 4 and max(n for name, n in entries if name != "scan-values") < 200
+
+
+def test_labels_are_searched_once(spark):
+    plan = QUERIES["f04_content_patterns"](Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "size(" not in plan
+
+
+def test_bodies_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for name in ("a13_content_penalty", "a15_upload_score"):
+        spark.conf.set(key, "10000")
+        QUERIES[name](Views(spark, "/root/testdata/sf0.001"))
+        assert int(spark.conf.get(key)) <= 256
+        spark.conf.set(key, "100")
+        QUERIES[name](Views(spark, "/root/testdata/sf0.001"))
+        assert int(spark.conf.get(key)) == 100
+    spark.conf.unset(key)
+
+
+def test_a_batch_lands_in_a_file_for_every_core(spark):
+    top = shared_folder(spark)
+    before = set(children(spark, top))
+    stream_of(Views(spark, "/root/testdata/sf0.001"), "messages", "documents", 3)
+    folder, = [c for c in children(spark, top) if c not in before and c.startswith("landed-documents")]
+    files = [c for c in children(spark, f"{top}/{folder}") if c.endswith(".parquet")]
+    assert len(files) == 3 * spark.sparkContext.defaultParallelism
