@@ -15,20 +15,35 @@ def _domain(sender: Column) -> Column:
     return F.when(F.contains(t, F.lit("@")), F.substring_index(t, "@", -1)).otherwise(t)
 
 
+def _host(url: Column) -> Column:
+    return F.substring_index(F.replace(F.replace(url, F.lit("http://"), F.lit("")), F.lit("https://"), F.lit("")), "/", 1)
+
+
+def _domain_id(sender: Column) -> Column:
+    return F.concat(F.lit("domain_"), F.lower(_domain(sender)))
+
+
+def _recipient_id(receiver: Column) -> Column:
+    return F.concat(F.lit("recip_"), F.lower(receiver))
+
+
+def _url_id(host: Column) -> Column:
+    return F.concat(F.lit("url_"), F.lower(host))
+
+
 def _mentions(scans: DataFrame, url_cap: int | None, *carried: str) -> DataFrame:
     """(scan, node) rows of all four node kinds from one scan of the table, with ``carried`` columns."""
     d = _domain(F.col("sender"))
     label = F.when(
         F.coalesce("subject", F.lit("")) == "", F.concat(F.lit("Email #"), F.col("scan_id").cast("string"))).otherwise(F.col("subject"))
     node = lambda kind, node_id, text, risk, edge: F.struct(F.lit(kind).alias("node_group"), node_id.alias("node_id"), text.alias("label"), risk.alias("risk"), F.lit(edge).alias("edge"))
-    host = lambda u: F.substring_index(F.replace(F.replace(u, F.lit("http://"), F.lit("")), F.lit("https://"), F.lit("")), "/", 1)
     sender_risk = F.when(F.col("verdict").isin("High Risk", "Medium Risk"), F.col("verdict")).otherwise("Low Risk")
     url_risk = F.when(F.col("verdict") == "High Risk", "High Risk").otherwise("Medium Risk")
     nodes = F.concat(
         F.array(node("email", F.concat(F.lit("email_"), F.col("scan_id").cast("string")), label, F.col("verdict"), None)),
-        F.when(F.coalesce("sender", F.lit("")) != "", F.array(node("domain", F.concat(F.lit("domain_"), F.lower(d)), d, sender_risk, "SENT_BY"))).otherwise(F.array()),
-        F.when(F.coalesce("receiver", F.lit("")) != "", F.array(node("recipient", F.concat(F.lit("recip_"), F.lower("receiver")), F.col("receiver"), F.lit("Safe"), "TARGETS"))).otherwise(F.array()),
-        F.transform(list_of("urls_text") if url_cap is None else F.slice(list_of("urls_text"), 1, url_cap), lambda u: node("url", F.concat(F.lit("url_"), F.lower(host(u))), host(u), url_risk, "CONTAINS_LINK")))
+        F.when(F.coalesce("sender", F.lit("")) != "", F.array(node("domain", _domain_id(F.col("sender")), d, sender_risk, "SENT_BY"))).otherwise(F.array()),
+        F.when(F.coalesce("receiver", F.lit("")) != "", F.array(node("recipient", _recipient_id(F.col("receiver")), F.col("receiver"), F.lit("Safe"), "TARGETS"))).otherwise(F.array()),
+        F.transform(list_of("urls_text") if url_cap is None else F.slice(list_of("urls_text"), 1, url_cap), lambda u: node("url", _url_id(_host(u)), _host(u), url_risk, "CONTAINS_LINK")))
     return scans.select("scan_id", "scan_time", *carried, F.posexplode(nodes).alias("pos", "n")).select("scan_id", "scan_time", *carried, "pos", "n.*")
 
 
@@ -76,15 +91,53 @@ def campaigns(scans: DataFrame, url_cap: int | None = None) -> DataFrame:
     return g.where(F.col("emails") > 1)
 
 
+def _scan_nodes(scans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(scan_id, nodes): the distinct node ids of the wanted kinds that a row mentions, sorted; row-local."""
+    some = lambda kind, column, ids: [F.when(F.coalesce(column, F.lit("")) != "", ids).otherwise(F.array())] if kind in kinds else []
+    ids = [*some("domain", "sender", F.array(_domain_id(F.col("sender")))), *some("recipient", "receiver", F.array(_recipient_id(F.col("receiver")))),
+           *([F.transform(list_of("urls_text"), lambda u: _url_id(_host(u)))] if "url" in kinds else [])]
+    return scans.select("scan_id", F.coalesce(F.array_sort(F.array_distinct(F.concat(F.array().cast("array<string>"), *ids))), F.array().cast("array<string>")).alias("nodes"))
+
+
+def _node_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets of nodes (nodes, low) and the nodes (node_id, low) with the smallest scan of each. Both are combined
+    before the shuffle, so that a node of very many mails is one row a task."""
+    sets = stored(rows.where(F.col("scan_id").isNotNull() & (F.size("nodes") > 0)).groupBy("nodes").agg(F.min("scan_id").alias("low")), "node-sets")
+    return sets, stored(sets.select(F.explode("nodes").alias("node_id"), "low").groupBy("node_id").agg(F.min("low").alias("low")), "node-roots")
+
+
+def _node_links(sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes of one set, every node named by the scan that ``ends`` (node_id, low) gives it. Nodes that have
+    the same scan share that mail, so they are rightly one vertex."""
+    pairs = sets.select(F.col("nodes")[0].alias("x"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes"))).alias("y")).distinct()
+    end = lambda c, to: ends.select(F.col("node_id").alias(c), F.col("low").alias(to))
+    return stored(pairs, "node-pairs").join(end("x", "a"), "x").join(end("y", "b"), "y").where("a <> b").select("a", "b").distinct()
+
+
+def _components_of_scans(rows: DataFrame, node_roots: DataFrame) -> DataFrame:
+    """(scan_id, component) from the component of a row's first node, its others being in the same. Rows of one id tie their
+    components together; that takes a further round of components only where there are such."""
+    first = rows.select("scan_id", F.get("nodes", F.lit(0)).alias("node_id"))
+    at = stored(first.join(node_roots, "node_id", "left").select("scan_id", F.when(F.col("scan_id").isNotNull(), F.coalesce("root", "scan_id")).alias("root")), "scan-roots")
+    each = stored(at.groupBy("scan_id").agg(F.min("root").alias("root"), F.max("root").alias("last")), "scan-components")
+    apart = each.where("root <> last")
+    if not apart.take(1):
+        return each.select("scan_id", F.col("root").alias("component"))
+    tied = stored(apart.select("scan_id", F.col("root").alias("b")), "repeated-scans")
+    more = components(at.join(tied, "scan_id").select(F.col("root").alias("a"), "b"), "repeated").select(F.col("v").alias("root"), F.col("root").alias("top"))
+    return each.join(more, "root", "left").select("scan_id", F.coalesce("top", "root").alias("component"))
+
+
 def campaign_components(scans: DataFrame, kinds: tuple[str, ...] = ("domain", "url")) -> DataFrame:
     """Connected groups of mails over shared nodes: (scan_id, component), component = smallest scan id.
 
-    A node's mails are tied to the smallest of them, one edge per mention, however many mails share the node;
-    the components of that graph take a logarithmic number of rounds, each written to the shared folder."""
-    m = stored(_mentions(scans, None).where(F.col("node_group").isin(*kinds)).select("scan_id", "node_id").distinct(), "mentions")
-    least = stored(m.groupBy("node_id").agg(F.min("scan_id").alias("low")), "mention-roots")
-    roots = components(m.join(least, "node_id").select(F.col("scan_id").alias("a"), F.col("low").alias("b")), "campaigns")
-    return scans.select("scan_id").distinct().join(roots.withColumnRenamed("v", "scan_id"), "scan_id", "left").select("scan_id", F.coalesce("root", "scan_id").alias("component"))
+    The graph is that of the nodes, linked where a mail has both, not of the mails: however many mails share a node, it is one
+    vertex, named by its smallest scan. A mail takes the component of its first node by a join of two stored tables."""
+    rows = stored(_scan_nodes(scans, kinds), "scan-nodes")
+    sets, ends = _node_sets(rows)
+    roots = components(_node_links(sets, ends), "campaigns")
+    node_roots = stored(ends.join(roots.withColumnRenamed("v", "low"), "low", "left").select("node_id", F.coalesce("root", "low").alias("root")), "node-components")
+    return _components_of_scans(rows, node_roots)
 
 
 NODE_ROW = "node_id string, scan_id long, step long"

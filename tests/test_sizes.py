@@ -1,8 +1,10 @@
 """Queries on rows and tables larger than those of the test data."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from mailsleuth.operators import indicators
+from mailsleuth.operators import correlation, indicators
 from mailsleuth.plans.catalog import QUERIES, stream_of
 from mailsleuth.plans.fixtures import Views
 from mailsleuth.session import children, shared_folder
@@ -81,3 +83,52 @@ def test_a_batch_lands_in_a_file_for_every_core(spark):
     folder, = [c for c in children(spark, top) if c not in before and c.startswith("landed-documents")]
     files = [c for c in children(spark, f"{top}/{folder}") if c.endswith(".parquet")]
     assert len(files) == 3 * spark.sparkContext.defaultParallelism
+
+
+def campaign_scans(spark, rows):
+    scans = spark.createDataFrame(rows, "scan_id long, sender string, urls_text string")
+    return scans.withColumns({"receiver": F.lit("r@y.example"), "subject": F.lit("s"), "verdict": F.lit("Low Risk"), "risk_score": F.lit(1), "scan_time": F.lit("2024-01-01")})
+
+
+def campaigns_by_loop(rows):
+    """Smallest scan reachable over shared domains and hosts; rows of one scan count as one, those without an id tie nothing."""
+    of = {i: i for i, *_ in rows}
+    while True:
+        low = {}
+        for i, sender, urls in rows:
+            for n in [sender.split("@")[-1].lower()] * (sender != "") + ["u" + u.split("/")[2].lower() for u in urls.split(";") if u]:
+                if i is not None:
+                    low[n] = min(of[i], low.get(n, of[i]))
+        new = dict(of)
+        for i, sender, urls in rows:
+            for n in [sender.split("@")[-1].lower()] * (sender != "") + ["u" + u.split("/")[2].lower() for u in urls.split(";") if u]:
+                if i is not None:
+                    new[i] = min(new[i], low[n])
+        if new == of:
+            return of
+        of = new
+
+
+def odd_scans():
+    rng = random.Random(5)
+    url = lambda: f"http://H{rng.randrange(45)}.example/{rng.randrange(9)}"
+    rows = [(i, rng.choice(["", f"a@D{rng.randrange(40)}.example", f"b@d{rng.randrange(40)}.example"]), ";".join(url() for _ in range(rng.choice([0, 0, 0, 1, 2])))) for i in range(100, 160)]
+    rows += [(100, "x@again.example", ""), (159, "y@AGAIN.example", ""), (130, "", ""), (131, "", "http://late.example/a"), (132, "z@late.example", "http://late.example/b")]
+    return rows + [(None, "n@d1.example", "http://h2.example/"), (None, "n@d2.example", "")]
+
+
+def test_campaigns_of_repeated_and_unnamed_scans(spark):
+    rows = odd_scans()
+    want = campaigns_by_loop(rows)
+    assert 3 < len(set(want.values())) < 50
+    got = correlation.campaign_components(campaign_scans(spark, rows)).collect()
+    assert len(got) == len(want) and {r["scan_id"]: r["component"] for r in got} == want
+
+
+def test_campaigns_link_nodes_not_scans(spark, monkeypatch):
+    """3,000 mails over three domains and ten hosts: as few edges as there are pairs of nodes."""
+    rows = [(i, f"a@d{i % 3}.example", f"http://h{i % 10}.example/") for i in range(3000)]
+    edges, plain = [], correlation.components
+    monkeypatch.setattr(correlation, "components", lambda e, name: (edges.append(e.count()), plain(e, name))[1])
+    got = correlation.campaign_components(campaign_scans(spark, rows)).collect()
+    assert len(got) == 3000 and {r["component"] for r in got} == {0} and edges and sum(edges) <= 30
