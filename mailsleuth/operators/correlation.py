@@ -145,20 +145,22 @@ NODE_ROW = "node_id string, scan_id long, step long"
 
 def grow_campaigns(nodes, parents, scans: DataFrame, batch_id: int, kinds: tuple[str, ...] = ("domain", "url")) -> None:
     """Add a batch of scans to the kept campaigns: ``nodes`` (a ``KeyedTable`` of the row above, by ``node_id``) keeps one scan
-    of every shared node, ``parents`` the forest of ``grow_components``. Nodes known before tie the batch to their scan.
+    of every node, ``parents`` the forest of ``grow_components`` over these scans. A batch writes its new nodes and what
+    it ties together, and, where it has a smaller scan of a known node, that one; no row for every scan.
     A batch that broke off between the two tables is completed by its replay, which finds the same nodes."""
-    m = stored(_mentions(scans, None).where(F.col("node_group").isin(*kinds)).select("scan_id", "node_id").distinct(), "mentions")
-    own = stored(m.groupBy("node_id").agg(F.min("scan_id").alias("low")), "mention-roots")
+    sets, own = _node_sets(_scan_nodes(scans, kinds))
     known = nodes.read(own).select("node_id", F.col("scan_id").alias("known"))
-    own = stored(own.join(known, "node_id", "left").select("node_id", "known", F.coalesce("known", "low").alias("low")), "node-scans")
+    own = stored(own.join(known, "node_id", "left").select("node_id", "known", "low"), "node-scans")
     nodes.upsert(own.where("known IS NULL").select("node_id", F.col("low").alias("scan_id"), F.lit(batch_id).cast("long").alias("step")), batch_id)
-    grow_components(parents, m.join(own, "node_id").select(F.col("scan_id").alias("a"), F.col("low").alias("b")), batch_id)
+    smaller = own.where("low < known").select(F.col("known").alias("a"), F.col("low").alias("b"))
+    grow_components(parents, _node_links(sets, own.select("node_id", F.coalesce("known", "low").alias("low"))).unionByName(smaller), batch_id)
 
 
-def kept_campaigns(parents, scans: DataFrame) -> DataFrame:
-    """(scan_id, component) as ``campaign_components`` gives it, from the kept forest."""
-    roots = kept_components(parents)
-    return scans.select("scan_id").distinct().join(roots, F.col("scan_id") == F.col("v"), "left").select("scan_id", F.coalesce("root", "scan_id").alias("component"))
+def kept_campaigns(nodes, parents, scans: DataFrame, kinds: tuple[str, ...] = ("domain", "url")) -> DataFrame:
+    """(scan_id, component) of scans that have been added, as ``campaign_components`` gives it, from the two kept tables."""
+    kept, roots = stored(nodes.read().select("node_id", F.col("scan_id").alias("v")), "kept-nodes"), kept_components(parents)
+    node_roots = stored(kept.join(roots, "v", "left").select("node_id", F.coalesce("root", "v").alias("root")), "node-components")
+    return _components_of_scans(stored(_scan_nodes(scans, kinds), "scan-nodes"), node_roots)
 
 
 # ---- response ------------------------------------------------------------------------------

@@ -5,10 +5,12 @@ import random
 from pyspark.sql import functions as F
 
 from mailsleuth.operators import correlation, indicators
+from mailsleuth.operators.components import PARENT_ROW
 from mailsleuth.plans.catalog import QUERIES, stream_of
 from mailsleuth.plans.fixtures import Views
 from mailsleuth.session import children, shared_folder
 from mailsleuth.sources.gram_index import SEP, GramIndex
+from mailsleuth.sources.keyed_table import KeyedTable
 from mailsleuth.streaming import ledger
 
 
@@ -117,18 +119,30 @@ def odd_scans():
     return rows + [(None, "n@d1.example", "http://h2.example/"), (None, "n@d2.example", "")]
 
 
-def test_campaigns_of_repeated_and_unnamed_scans(spark):
+def test_campaigns_of_repeated_and_unnamed_scans(spark, tmp_path):
     rows = odd_scans()
     want = campaigns_by_loop(rows)
     assert 3 < len(set(want.values())) < 50
     got = correlation.campaign_components(campaign_scans(spark, rows)).collect()
     assert len(got) == len(want) and {r["scan_id"]: r["component"] for r in got} == want
+    nodes = KeyedTable(spark, str(tmp_path / "nodes"), correlation.NODE_ROW, ["node_id"], ["step"], buckets=2)
+    parents = KeyedTable(spark, str(tmp_path / "forest"), PARENT_ROW, ["v"], ["step"], buckets=2)
+    for n in range(3):  # later batches hold smaller scans of known nodes, and other rows of known scans
+        for _ in range(2 if n == 1 else 1):  # one is replayed
+            correlation.grow_campaigns(nodes, parents, campaign_scans(spark, [r for k, r in enumerate(reversed(rows)) if k % 3 == n]), n)
+    got = correlation.kept_campaigns(nodes, parents, campaign_scans(spark, rows)).collect()
+    assert len(got) == len(want) and {r["scan_id"]: r["component"] for r in got} == want
 
 
-def test_campaigns_link_nodes_not_scans(spark, monkeypatch):
-    """3,000 mails over three domains and ten hosts: as few edges as there are pairs of nodes."""
+def test_campaigns_link_nodes_not_scans(spark, tmp_path, monkeypatch):
+    """3,000 mails over three domains and ten hosts: as few edges as there are pairs of nodes, and no kept row for a mail."""
     rows = [(i, f"a@d{i % 3}.example", f"http://h{i % 10}.example/") for i in range(3000)]
     edges, plain = [], correlation.components
     monkeypatch.setattr(correlation, "components", lambda e, name: (edges.append(e.count()), plain(e, name))[1])
     got = correlation.campaign_components(campaign_scans(spark, rows)).collect()
     assert len(got) == 3000 and {r["component"] for r in got} == {0} and edges and sum(edges) <= 30
+    nodes = KeyedTable(spark, str(tmp_path / "nodes"), correlation.NODE_ROW, ["node_id"], ["step"], buckets=2)
+    parents = KeyedTable(spark, str(tmp_path / "forest"), PARENT_ROW, ["v"], ["step"], buckets=2)
+    for n in range(2):
+        correlation.grow_campaigns(nodes, parents, campaign_scans(spark, rows[n::2]), n)
+    assert nodes.read().count() == 13 and parents.read().count() <= 26
