@@ -1,5 +1,6 @@
 """Queries on rows and tables larger than those of the test data."""
 
+import email.policy
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from mailsleuth.operators.components import PARENT_ROW
 from mailsleuth.plans.catalog import QUERIES, stream_of
 from mailsleuth.plans.fixtures import Views
 from mailsleuth.session import children, shared_folder
+from mailsleuth.sources import mail_files
 from mailsleuth.sources.gram_index import SEP, GramIndex
 from mailsleuth.sources.keyed_table import KeyedTable
 from mailsleuth.streaming import ledger
@@ -146,3 +148,18 @@ def test_campaigns_link_nodes_not_scans(spark, tmp_path, monkeypatch):
     for n in range(2):
         correlation.grow_campaigns(nodes, parents, campaign_scans(spark, rows[n::2]), n)
     assert nodes.read().count() == 13 and parents.read().count() <= 26
+
+
+def test_a_header_of_many_mails_is_parsed_once(monkeypatch):
+    part = '--B\nContent-Type: {}\nContent-Disposition: {}\nContent-Transfer-Encoding: {}\n\n{}\n'
+    mails = [("Subject: s\nContent-Type: multipart/mixed; boundary=B\n\n" + part.format("text/plain; charset=utf-8", "inline", "8bit", f"caf\u00e9 {i}")
+              + part.format("text/html; charset=latin-1", "inline", "quoted-printable", f"<p>{i} =E9</p>") + part.format("image/png", f'attachment; filename="{"x" * 2000 * (i == 7)}{i % 3}.png"', "base64", "Ynl0ZXM=")
+              + part.format("text/plain; charset=none-such", "inline", "8bit", "odd") + "--B--\n").encode() for i in range(50)] + [b"", b"Subject: plain\n\nbody", b"Content-Type: text/html;;=\n\n\xff"]
+    want = [mail_files._decode_one(m, None, email.policy.default) for m in mails]
+    parsed, kind = [], type(email.policy.default.header_factory)
+    plain = kind.__call__
+    monkeypatch.setattr(kind, "__call__", lambda self, name, value: (parsed.append((name, value)), plain(self, name, value))[1])
+    policy = mail_files._mail_policy()
+    assert [mail_files._decode_one(m, None, policy) for m in mails] == want and len(want[0][4]) == 1 and want[7][4][0][1].startswith("xxx")
+    short = [p for p in parsed if len(p[1]) <= 1024]
+    assert len(short) == len(set(short)) < 20
