@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from mailsleuth.functions import rules as R, text as TX
 from mailsleuth.operators import correlation, indicators
 from mailsleuth.operators.components import PARENT_ROW
 from mailsleuth.plans.catalog import QUERIES, stream_of
@@ -163,3 +164,20 @@ def test_a_header_of_many_mails_is_parsed_once(monkeypatch):
     assert [mail_files._decode_one(m, None, policy) for m in mails] == want and len(want[0][4]) == 1 and want[7][4][0][1].startswith("xxx")
     short = [p for p in parsed if len(p[1]) <= 1024]
     assert len(short) == len(set(short)) < 20
+
+
+def test_rescan_makes_no_texts_it_does_not_return(spark):
+    plan = QUERIES["c06_mailbox_rescan"](Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Embedded Credentials in URL" not in plan and "uses double extension deception" not in plan
+
+
+def test_patterns_are_searched_in_texts_with_their_words(spark):
+    """The literal tests before a pattern let every text pass that it matches, in any case and between any blanks."""
+    assert TX._outer_words(r"\b(?:a|b)\s+(?:c|d)\b") == [["a", "b"], ["c", "d"]]
+    assert [TX._outer_words(p) for p in (r"\b(?:a|b)?x", r"\b(?:a|b)x|y", r"(?:a|)\b", r"x(?:a[b])\b", r"\b(?:a)|(?:b)\b")] == [[], [], [], [], []]
+    texts = ["VERIFY your\tPassWord", "verify password", "verify passwords", "gift urgent", "overdue  gift card", "unusual sign-in", "tax amount, update mfa", "İ service will be locked", "&#118;erify pass​word", "a\x1cb \x85 c", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(TX.content_text(F.col("t")).alias("c")).select("c", TX.content_labels(F.col("c")).alias("l"))
+    assert "Contains(" in got._jdf.queryExecution().optimizedPlan().toString()
+    names = [n for n, _ in R.CONTENT_PATTERNS]
+    assert [[names.index(x) for x in r["l"]] for r in got.collect()] == [[0], [0], [], [], [2], [3], [0, 4], [1], [0], [], []]
+    assert [r["c"] for r in got.collect()][-3:] == ["verify password", "a\x1cb c", ""]
